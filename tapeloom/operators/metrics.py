@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import ratio
 from .windows import series
@@ -22,11 +22,16 @@ QUANTILES = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 LJUNG_BOX_LAGS, LEAST_RESIDUALS, PASS_ABOVE = 10, 10, 0.05
 # ---- end of fixed values ----
 
-Y, P = F.col("y"), F.col("yhat")
+def truth() -> Column:
+    return F.col("y")
+
+
+def guess() -> Column:
+    return F.col("yhat")
 
 
 def error() -> Column:
-    return Y - P
+    return truth() - guess()
 
 
 def rmse() -> Column:
@@ -39,30 +44,30 @@ def mae() -> Column:
 
 def r2() -> Column:
     """1 - SSR / SST over rows with both values, 0 when the target does not vary."""
-    both = F.when(P.isNotNull(), Y)
+    both = F.when(guess().isNotNull(), truth())
     return F.coalesce(1.0 - F.sum(F.pow(error(), 2.0)) / F.nullif(F.var_pop(both) * F.count(both), F.lit(0.0)), F.lit(0.0))
 
 
 def mape() -> Column:
     """Percent; infinite when every true value is too small to divide by."""
-    term = F.when(F.abs(Y) > SMALL_VALUE, F.abs(error() / F.nullif(Y, F.lit(0.0))))
+    term = F.when(F.abs(truth()) > SMALL_VALUE, F.abs(error() / F.nullif(truth(), F.lit(0.0))))
     return F.coalesce(F.avg(term) * 100.0, F.lit(float("inf")))
 
 
 def smape() -> Column:
-    den = (F.abs(Y) + F.abs(P)) / 2.0
+    den = (F.abs(truth()) + F.abs(guess())) / 2.0
     return F.coalesce(F.avg(F.when(den > SMALL_DENOMINATOR, ratio(F.abs(error()), den))) * 100.0, F.lit(0.0))
 
 
 def directional_accuracy(threshold: float = SMALL_MOVE) -> Column:
-    hit = F.when(F.abs(Y) > threshold, (F.signum(Y) == F.signum(P)).cast("double"))
+    hit = F.when(F.abs(truth()) > threshold, (F.signum(truth()) == F.signum(guess())).cast("double"))
     return F.coalesce(F.avg(hit), F.lit(0.5))
 
 
 def directional_f1(threshold: float = SMALL_MOVE) -> Column:
-    moved = F.abs(Y) > threshold
+    moved = F.abs(truth()) > threshold
     tp, fp, fn = (
-        F.count_if(moved & c).cast("double") for c in ((Y > 0) & (P > 0), (Y <= 0) & (P > 0), (Y > 0) & (P <= 0))
+        F.count_if(moved & c).cast("double") for c in ((truth() > 0) & (guess() > 0), (truth() <= 0) & (guess() > 0), (truth() > 0) & (guess() <= 0))
     )
     precision, recall = tp / (tp + fp + 1e-8), tp / (tp + fn + 1e-8)
     return precision * recall * 2.0 / (precision + recall + 1e-8)
@@ -151,7 +156,7 @@ def max_drawdown(df: DataFrame, column: str, kind: str = "returns", by: str = "s
     return grown.groupBy(by).agg(F.min("__d").alias("max_drawdown"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(q: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail probability of a chi-square value with whole degrees of freedom."""
 
