@@ -120,7 +120,7 @@ def _company_sql(symbol: str) -> tuple[str, str]:
     info = DICTIONARY[symbol]
 
     def found(category: str) -> str:
-        return f"list_filter({quoted(info.get(category, []))}, x -> contains(t, x))"
+        return f"list_filter({quoted(info.get(category, []))}, lambda x: contains(t, x))"
 
     executives = info.get("executives", [])
     weights = " ".join(
@@ -134,7 +134,7 @@ def _company_sql(symbol: str) -> tuple[str, str]:
     score = f"({base} + CASE WHEN {base} > 0 AND fin THEN 1e-1 ELSE 0e0 END + CASE WHEN {base} > 0 AND stk THEN 5e-2 ELSE 0e0 END)"
 
     def labelled(label: str, values: str) -> str:
-        return f"list_transform({values}, x -> '{label}:' || x)"
+        return f"list_transform({values}, lambda x: '{label}:' || x)"
 
     evidence = (
         f"list_concat({labelled('company_name', found('names') + '[1:1]')}, {labelled('product', found('products'))},"

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import text
+from ..functions import evaluate_once, text
 from .positions import exact_quantiles
 
 # ---- fixed values: confidence limits and class bounds ----
@@ -30,7 +30,7 @@ def with_quality_reason(articles: DataFrame) -> DataFrame:
 def clean_articles(articles: DataFrame) -> DataFrame:
     """Articles passing the gate, headline normalised and still long enough."""
     valid = with_quality_reason(articles).filter(F.col("quality_reason") == "valid").drop("quality_reason")
-    cleaned = valid.withColumn("headline", text.normalise_headline(F.col("headline")))
+    cleaned = evaluate_once(valid, "headline", text.normalise_headline(F.col("headline")))
     return cleaned.filter(F.length("headline") >= text.MIN_HEADLINE)
 
 
@@ -77,12 +77,13 @@ def score_lexicon(
 
     p = _probabilities(
         {
-            "sentiment_positive": hits(positive),
+            "sentiment_positive": F.col("__hits.up"),
             "sentiment_neutral": F.lit(0.0),
-            "sentiment_negative": hits(negative),
+            "sentiment_negative": F.col("__hits.down"),
         }
     )
-    return with_scores(articles.withColumns(p))
+    counted = evaluate_once(articles, "__hits", F.struct(hits(positive).alias("up"), hits(negative).alias("down")))
+    return with_scores(counted.withColumns(p).drop("__hits"))
 
 
 def score_with_model(

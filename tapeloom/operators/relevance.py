@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import evaluate_once
+
 # ---- fixed values: evidence weights, caps, bands and context words ----
 NAME_WEIGHT, EXECUTIVE_NAME_WEIGHT = 0.6, 0.5
 PRODUCT_WEIGHT, PRODUCT_CAP = 0.15, 0.4
@@ -156,7 +158,7 @@ def score_relevance(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
     own = F.filter(_companies(dictionary), lambda c: c["symbol"] == F.col("symbol"))
     verdict = F.get(_verdicts(F.col("headline"), own), F.lit(0))
     return (
-        articles.withColumn("__v", verdict)
+        evaluate_once(articles, "__v", verdict)
         .withColumns(
             {
                 "is_relevant": F.coalesce(F.col("__v.accepted"), F.lit(True)),
@@ -173,8 +175,8 @@ def detect_companies(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
     verdicts = _verdicts(F.col("headline"), _companies(dictionary))
     hits = F.filter(verdicts, lambda v: v["accepted"] & (v["confidence"] > DETECT_ABOVE))
     ranked = F.array_sort(F.transform(hits, lambda v: F.struct((-v["confidence"]).alias("rank"), v["symbol"].alias("symbol"))))
-    return articles.withColumn(
-        "detected", F.transform(ranked, lambda v: F.struct(v["symbol"].alias("symbol"), (-v["rank"]).alias("confidence")))
+    return evaluate_once(
+        articles, "detected", F.transform(ranked, lambda v: F.struct(v["symbol"].alias("symbol"), (-v["rank"]).alias("confidence")))
     )
 
 
