@@ -33,8 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- rounding shared by both sides: digits after the point, no negative zero ----
 
 
-def pick(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keys, *[F.round(F.col(v).cast("double"), digits).alias(v) for v in values])
+def pick(df: DataFrame, keys: list[str], values: list[str], digits: int = 6, finer: dict[str, int] | None = None) -> DataFrame:
+    finer = finer or {}
+    return df.select(*keys, *[F.round(F.col(v).cast("double"), finer.get(v, digits)).alias(v) for v in values])
 
 
 def rnd(expression: str, digits: int = 6) -> str:

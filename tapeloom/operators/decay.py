@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import day_number
 from ..functions.numeric import ratio
-from .positions import average_ranks
+from .positions import spearman
 from .windows import asof_attach, exp_scan, rolling, running, series, trailing_days
 
 # ---- fixed values: rates, limits and windows ----
@@ -160,7 +160,7 @@ def score_rates(
     """Spearman correlation of decayed compound with the matching horizon return, per rate.
 
     ``market`` holds training rows with the targets.  All rates are scanned at once
-    as columns; ranks are computed on value counts (see ``average_ranks``).
+    as columns; ranks are computed on value counts (see ``spearman``).
     """
     names = {f"r{h}_{i}": rate for h, rates in grid.items() for i, rate in enumerate(rates)}
     states = decay_states(prepare_daily(daily), names, {"compound": "sentiment_compound"})
@@ -180,13 +180,7 @@ def score_rates(
         )
     )
     long = attached.select(pairs.alias("p")).select("p.*").filter(F.col("target").isNotNull())
-    return spearman(long, ["horizon", "rate"])
-
-
-def spearman(long: DataFrame, by: list[str], x: str = "value", y: str = "target") -> DataFrame:
-    """Rank correlation of ``x`` and ``y`` per group; ``feature`` names the group."""
-    ranked = average_ranks(average_ranks(long, "feature", x, "__rx"), "feature", y, "__ry")
-    return ranked.groupBy(*by).agg(F.corr("__rx", "__ry").alias("spearman"), F.count(F.lit(1)).alias("rows"))
+    return spearman(long, ["horizon", "rate"], "feature", "value", "target")
 
 
 def best_rates(market: DataFrame, daily: DataFrame, refine: bool = True) -> dict[int, float]:

@@ -39,22 +39,38 @@ def dense_positions(distinct_rows: DataFrame, order: str) -> DataFrame:
     )
 
 
-def average_ranks(long: DataFrame, by: str = "feature", value: str = "value", rank: str = "rank") -> DataFrame:
-    """Adds the average rank of ``value`` within ``by`` (ties share their mean rank).
+def rank_dictionary(long: DataFrame, by: str, value: str, rank: str) -> DataFrame:
+    """Average rank and row count ``__n`` of every distinct value within ``by``.
 
     Equal values are counted first, so a value held by a third of the rows is one
-    row of the ranked dictionary; its rows get the rank back by a broadcast of the
-    few heavy values, everything else by a shuffle join.
+    row here; positions come from counts per range partition.
     """
     counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
     ranged = _range_split(counts, [by, value])
     below = Window.partitionBy(by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    dictionary = (
+    return (
         ranged.withColumn("__local", F.coalesce(F.sum("__n").over(below), F.lit(0)))
         .join(F.broadcast(_offsets(ranged, F.col("__n"), [by])), [by, "__part"])
         .select(by, value, "__n", (F.col("__before") + F.col("__local") + (F.col("__n") + 1) / 2.0).alias(rank))
     )
-    return lookup(long, dictionary, [by, value], weight="__n").drop("__n")
+
+
+def average_ranks(long: DataFrame, by: str = "feature", value: str = "value", rank: str = "rank") -> DataFrame:
+    """Adds the average rank of ``value`` within ``by`` (ties share their mean rank)."""
+    return lookup(long, rank_dictionary(long, by, value, rank), [by, value], weight="__n").drop("__n")
+
+
+def spearman(long: DataFrame, by: list[str], group: str, x: str, y: str) -> DataFrame:
+    """Rank correlation of ``x`` and ``y`` per group; ``group`` is the key column of ``by``.
+
+    Rows with both values are written once; both rank dictionaries and the final
+    aggregate read them from there.
+    """
+    rows = durable(long.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    ranked = rows
+    for value, rank in ((x, "__rx"), (y, "__ry")):
+        ranked = lookup(ranked, rank_dictionary(rows, group, value, rank), [group, value], weight="__n").drop("__n")
+    return ranked.groupBy(*by).agg(F.corr("__rx", "__ry").alias("spearman"), F.count(F.lit(1)).alias("rows"))
 
 
 # --------------------------------------------------------------------------
