@@ -93,8 +93,12 @@ SUFFIXES = [
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_from(table(spark, sf_dir, "documents"))
+
+
+def articles_from(documents: DataFrame) -> DataFrame:
     """Every line of every document as a headline; symbol, day and suffix follow from its content."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     size = F.length("line")
     rest = F.length(F.replace("line", F.lit("e")))
     slot = (size + rest) % 10

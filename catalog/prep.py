@@ -64,6 +64,14 @@ def _(spark, sf):
     return splits.split_at_date(bars(spark, sf), None).select(*KEY, "split")
 
 
+@query("first_validation_split", f"""WITH {CTE['panel']}, v AS (SELECT min(date) AS a FROM panel WHERE split = 'val')
+    SELECT symbol, date, CASE WHEN date < a THEN 'train' ELSE 'val' END AS split FROM panel, v""")
+def _(spark, sf):
+    """Cut at the first validation date of an earlier split."""
+    b = splits.temporal_split(bars(spark, sf))
+    return splits.split_at_first(b.drop("split"), b.filter(F.col("split") == "val")).select(*KEY, "split")
+
+
 @query(
     "leakage_report",
     f"""WITH {CTE['panel']} SELECT count(DISTINCT split) = 3 AS all_present,
@@ -210,13 +218,13 @@ def _(spark, sf):
     return pick(prepare.scale_features(panel(spark, sf), _CLIPPED, "zscore"), KEY, _CLIPPED)
 
 
-@query("unscaled_predictions", f"WITH {CTE['panel']} SELECT symbol, date, {rnd('close', 4)} AS prediction FROM panel")
+@query("unscaled_predictions", f"WITH {CTE['panel']} SELECT symbol, date, {rnd('returns')} AS prediction FROM panel")
 def _(spark, sf):
     """A scaled column taken as prediction and brought back to its units."""
     p = panel(spark, sf)
-    scales = prepare.fit_scales(p, ["close"], "standard")
-    scaled = prepare.apply_scales(p, scales).withColumnRenamed("close", "prediction")
-    return pick(prepare.undo_scales(scaled, scales, {"prediction": "close"}), KEY, ["prediction"], 4)
+    scales = prepare.fit_scales(p, ["returns"], "standard")
+    scaled = prepare.apply_scales(p, scales).withColumnRenamed("returns", "prediction")
+    return pick(prepare.undo_scales(scaled, scales, {"prediction": "returns"}), KEY, ["prediction"])
 
 
 # ---- scores and selection ----
@@ -339,6 +347,21 @@ def _(spark, sf):
     return spark.createDataFrame([(k,) for k in kept], "feature string")
 
 
+@query(
+    "protected_inventory",
+    f"""WITH {CTE['panel']} SELECT "group", found, expected, (SELECT count(*) FROM panel) AS rows FROM (VALUES ('core_technical', 2, 27), ('ohlc_basic', 2, 6),
+    ('price_derived', 1, 4), ('sentiment_core', 0, 6), ('time_essential', 0, 6), ('volume_essential', 0, 5)) v("group", found, expected)""",
+)
+def _(spark, sf):
+    """Protected features found and expected per group, beside the size of the panel."""
+    p = panel(spark, sf)
+    groups = F.explode(F.array(*[
+        F.struct(F.lit(g).alias("group"), F.lit(found).alias("found"), F.lit(expected).alias("expected"))
+        for g, (found, expected) in sorted(registry.protected_inventory(p.columns).items())
+    ]))
+    return p.agg(F.count(F.lit(1)).alias("rows")).select("rows", groups.alias("g")).select("rows", "g.*")
+
+
 @query("ordered_feature_table", f"WITH {CTE['bars']} SELECT symbol, date, CAST(year(date) AS INTEGER) AS year, volume FROM bars")
 def _(spark, sf):
     """Columns put in order by role."""
