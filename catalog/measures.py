@@ -308,14 +308,21 @@ def _(spark, sf):
     return pick(summary.nonzero_coverage(mood(spark, sf), _LAST), ["feature"], ["non_zero_pct"])
 
 
+_TARGETS = ["target_5", "target_22"]
+CTE["two_targets"] = CTE["panel"] + f""",
+two AS (SELECT p.*, close / lag(close, 22) OVER ({_BY}) - 1 AS target_22 FROM panel p)"""
+
+
 @query(
     "target_correlations",
-    f"WITH {_MOOD}, c AS (" + " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS correlation, count({t}) AS rows FROM latest" for f in [*_LAST, ] for t in ("target_5d", "target_22d"))
+    f"WITH {CTE['two_targets']}, c AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS correlation, count(*) FILTER ({f} IS NOT NULL AND {t} IS NOT NULL) AS rows FROM two" for f in FEATURES for t in _TARGETS)
     + f") SELECT feature, target, rows, {rnd('correlation')} AS correlation, {rnd('abs(correlation)')} AS abs_correlation FROM c WHERE abs(correlation) > 1e-2 AND rows >= 50",
 )
 def _(spark, sf):
-    t = summary.target_correlations(mood(spark, sf), _LAST, ["target_5d", "target_22d"])
+    w = Window.partitionBy("symbol").orderBy("date")
+    two = panel(spark, sf).withColumn("target_22", F.col("close") / F.lag("close", 22).over(w) - 1)
+    t = summary.target_correlations(two, FEATURES, _TARGETS)
     return pick(t, ["feature", "target", "rows"], ["correlation", "abs_correlation"])
 
 
