@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeloom.operators import news
 from tapeloom.sources.bars import daily_bars
+from tapeloom.sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,7 +94,7 @@ SUFFIXES = [
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles_from(table(spark, sf_dir, "documents"))
+    return articles_from(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def articles_from(documents: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ MIN_HEADLINE, MAX_HEADLINE = 50, 500
 
 
 def squeeze_blanks(x: Column) -> Column:
-    return F.regexp_replace(x, BLANKS, " ")
+    """Every run of blanks as one space; single spaces, the usual case, are not matched at all."""
+    blank = BLANKS.removesuffix("+")
+    return F.regexp_replace(x, f" {blank}+|[{blank}&&[^ ]]{blank}*", " ")
 
 
 def clean_headline(x: Column) -> Column:

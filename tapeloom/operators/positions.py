@@ -78,9 +78,9 @@ def spearman(long: DataFrame, by: list[str], group: str, x: str, y: str) -> Data
 # --------------------------------------------------------------------------
 
 #: First-pass buckets per factor e of magnitude; second-pass buckets per first-pass bucket.
-_LOG_STEPS, _LINEAR_STEPS = 4096, 1 << 20
-#: Above every ``floor(ln(x) * 4096)`` of a double in absolute value.
-_LOG_OFFSET = 4_000_000
+_LOG_STEPS, _LINEAR_STEPS = 512, 1 << 22
+#: Above every ``floor(ln(x) * 512)`` of a double in absolute value.
+_LOG_OFFSET = 500_000
 #: Rows of one bucket that the last pass may value-count without refining first.
 _REFINE_ABOVE = 5_000_000
 
@@ -95,7 +95,7 @@ class _Target:
 
 
 def _bucket(v: Column) -> Column:
-    """A non-decreasing map from doubles to at most a few million buckets."""
+    """A non-decreasing map from doubles to less than a million buckets, a few thousand in practice."""
     size = F.floor(F.ln(F.abs(v)) * _LOG_STEPS) + _LOG_OFFSET
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size)
 
@@ -126,8 +126,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     ``percentile`` would gather every distinct value of a column in one task.  Here
     the ranks are located by counting: a histogram over monotone buckets, a finer
     one inside the hit buckets if they are large, then a count per distinct value
-    in what is left (at most 2**20 distinct doubles per rank).  Each pass is a
+    in what is left (at most 2**22 distinct doubles per rank).  Each pass is a
     map-side aggregate; the driver sees a handful of bucket bounds and values.
+
+    The input is read two or three times: pass a table or a ``durable`` frame when
+    its columns are costly to derive.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
     long = long.filter(F.col("value").isNotNull())

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import clip
+from ..session import durable
 from .positions import exact_quantiles
 from .windows import running
 
@@ -24,6 +25,11 @@ def train_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "train") if "split" in df.columns else df
 
 
+def _train_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of the training rows; the columns are derived once and written."""
+    return exact_quantiles(durable(train_rows(df).select(*columns)), columns, probs)
+
+
 # filters on rows and columns
 
 
@@ -75,7 +81,7 @@ def ready_for_training(df: DataFrame, features: list[str], target: str) -> DataF
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Last value of the symbol, else its training median, else the training median of all, else 0."""
-    overall = exact_quantiles(train_rows(df), columns, [0.5])
+    overall = _train_quantiles(df, columns, [0.5])
     w, own = running(), Window.partitionBy("symbol")
     filled = df.withColumns({f"__ff_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
     is_train = F.col("split") == "train" if "split" in df.columns else F.lit(True)
@@ -94,7 +100,7 @@ def impute_simple(df: DataFrame, columns: list[str], strategy: str = "median") -
     """Training median or mean of the whole column."""
     train = train_rows(df)
     if strategy == "median":
-        value = {c: q[0] for c, q in exact_quantiles(train, columns, [0.5]).items()}
+        value = {c: q[0] for c, q in _train_quantiles(df, columns, [0.5]).items()}
     else:
         value = train.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(value[c]).cast("double")) for c in columns})
@@ -115,11 +121,11 @@ def clip_bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[
             for c in columns
         }
     if method == "percentile":
-        return {c: (q[0], q[1]) for c, q in exact_quantiles(train, columns, list(PERCENTILE_RANGE)).items()}
+        return {c: (q[0], q[1]) for c, q in _train_quantiles(df, columns, list(PERCENTILE_RANGE)).items()}
     if method != "iqr":
         raise ValueError(f"unknown clipping method {method}")
     out = {}
-    for c, (q1, q3) in exact_quantiles(train, columns, [0.25, 0.75]).items():
+    for c, (q1, q3) in _train_quantiles(df, columns, [0.25, 0.75]).items():
         out[c] = (None, None) if q1 is None else (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
     return out
 
@@ -154,7 +160,7 @@ def fit_scales(
     """Scales from training rows: median and quartile range, mean and population deviation, or the range."""
     train = train_rows(df)
     if method == "robust":
-        q = exact_quantiles(train, columns, [0.25, 0.5, 0.75])
+        q = _train_quantiles(df, columns, [0.25, 0.5, 0.75])
         return {c: Scale(v[1] or 0.0, ((v[2] or 0.0) - (v[0] or 0.0)) or 1.0) for c, v in q.items()}
     if method not in ("standard", "minmax", "zscore"):
         raise ValueError(f"unknown scaling method {method}")

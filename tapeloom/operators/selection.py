@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import durable
 from . import registry
 from .positions import exact_quantiles
 from .prepare import train_rows
@@ -36,7 +37,7 @@ def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     for f in features:
         r2 = F.pow(F.corr(F.col(f).cast("double"), F.col(target)), 2)
         n = F.count(F.when(F.col(f).isNotNull() & F.col(target).isNotNull(), 1))
-        made[f] = r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (n - 2)
+        made[f] = F.when(r2 < 1.0, r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (n - 2)).when(r2 >= 1.0, F.lit(float("inf")))
     return long_scores(train_rows(df), made, "score")
 
 
@@ -46,7 +47,7 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     Joint counts per feature have ``bins * bins`` cells and are summed on the map
     side; marginals are windows over those cells.
     """
-    train = train_rows(df).select(target, *features).dropna(subset=[target])
+    train = durable(train_rows(df).select(target, *features).dropna(subset=[target]))
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(train, [target, *features], probs)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import durable
 from . import registry
 from .positions import exact_quantiles
 from .windows import whole
@@ -46,8 +47,9 @@ def rows_per_symbol(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum per column."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    numbers = durable(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    quartiles = exact_quantiles(numbers, columns, [0.25, 0.5, 0.75])
+    long = numbers.unpivot([], columns, "column", "value")
     stats = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),

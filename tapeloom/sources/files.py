@@ -15,6 +15,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """The table over at least as many partitions as there are cores.
+
+    Only a small input stored in few row groups is moved; a large one already has
+    more splits than that and is returned as it is.
+    """
+    least = least or df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(least) if len(files) < least and df.rdd.getNumPartitions() <= least else df
+
+
 def read_news(spark: SparkSession, path: str, symbols: list[str] | None, start: str, end: str) -> DataFrame:
     """Raw news file as ``article date, symbol, headline`` limited to a universe and a date range.
 
