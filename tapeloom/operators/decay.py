@@ -28,6 +28,9 @@ HALF_LIVES = [2, 5, 10]
 DEFAULT_CONFIDENCE = 0.8
 # ---- end of fixed values ----
 
+#: Decayed values equal up to this digit are ties when they are ranked: what is left is floating-point noise.
+NOISE_DIGITS = 9
+
 #: What is decayed: output suffix -> daily sentiment column.
 DECAYED = {
     "compound": "sentiment_compound",
@@ -172,7 +175,7 @@ def score_rates(
             *[
                 F.struct(
                     F.lit(h).alias("horizon"), F.lit(rate).alias("rate"), F.lit(f"r{h}_{i}").alias("feature"),
-                    F.col(f"r{h}_{i}_compound").alias("value"), F.col(targets[h]).alias("target"),
+                    F.round(f"r{h}_{i}_compound", NOISE_DIGITS).alias("value"), F.col(targets[h]).alias("target"),
                 )
                 for h, rates in grid.items()
                 for i, rate in enumerate(rates)
