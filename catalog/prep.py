@@ -139,7 +139,7 @@ def _(spark, sf):
 @query("null_columns_dropped", f"WITH {CTE['panel']} SELECT symbol, date, {rnd('coalesce(returns, 0)')} AS returns FROM panel")
 def _(spark, sf):
     """Mostly-NULL columns leave, the rest is filled with 0."""
-    p = panel(spark, sf).select(*KEY, "returns", F.when(F.col("symbol") < "S0010", F.col("close")).alias("mostly_null"), F.lit(None).cast("double").alias("empty"))
+    p = panel(spark, sf).select(*KEY, "returns", F.when(F.col("volume") <= 5, F.col("close")).alias("mostly_null"), F.lit(None).cast("double").alias("empty"))
     kept = prepare.drop_null_columns(prepare.drop_empty_columns(p, ["returns", "mostly_null", "empty"]), ["returns", "mostly_null"])
     return pick(kept, KEY, [c for c in kept.columns if c not in KEY])
 
