@@ -378,6 +378,12 @@ def _(spark, sf):
 # ---- quality rules ----
 
 
+@query("panel_violations", f"WITH {CTE['scored']} SELECT symbol, date, count(*) AS rows FROM scored GROUP BY symbol, date HAVING count(*) > 1")
+def _(spark, sf):
+    """Symbol-days with several scored articles: what must be aggregated before any window."""
+    return quality.panel_violations(scored(spark, sf))
+
+
 @query(
     "value_ranges",
     f"WITH {CTE['daily']} " + " UNION ALL ".join(

@@ -32,6 +32,15 @@ def _schema_issues(spark: SparkSession, rows: list[tuple[str, str, str]]) -> Dat
     return spark.createDataFrame([(*r, None) for r in rows], _ISSUES)
 
 
+def panel_violations(df: DataFrame) -> DataFrame:
+    """Keys that break the panel rule of one row per ``(symbol, date)``, with their row count.
+
+    An empty result means every per-symbol window is bounded by the calendar.
+    """
+    counts = df.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.filter(F.col("rows") > 1)
+
+
 def value_ranges(df: DataFrame, stage: str) -> DataFrame:
     """Smallest and largest value of each ranged column and whether they break the rule."""
     rules = {c: r for c, r in STAGES[stage].ranges.items() if c in df.columns}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 #: A key is heavy when it holds more than 1/200 of the rows: there are fewer than 200 of them.
@@ -13,13 +15,16 @@ def lookup(rows: DataFrame, dictionary: DataFrame, keys: list[str], weight: str)
 
     The heavy keys (fewer than 200 by construction) are broadcast, so their rows
     stay where they are; the rest are shuffled, where no key exceeds 1/200 of the
-    rows.  Every row is returned exactly once.
+    rows.  Rows with a NULL key match nothing and are not moved at all.  Every row
+    is returned exactly once.
     """
     total = dictionary.agg(F.sum(weight)).scalar()
     marked = dictionary.withColumn("__heavy", F.col(weight) * HEAVY_SHARE > total)
     payload = [c for c in dictionary.columns if c not in keys]
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     heavy = F.broadcast(marked.filter("__heavy"))
-    tagged = rows.join(heavy, keys, "left")
+    tagged = rows.filter(keyed).join(heavy, keys, "left")
     done = tagged.filter(F.col("__heavy").isNotNull()).drop("__heavy")
     rest = tagged.filter(F.col("__heavy").isNull()).drop("__heavy", *payload)
-    return done.unionByName(rest.join(marked.filter(~F.col("__heavy")).drop("__heavy"), keys, "left"))
+    light = rest.join(marked.filter(~F.col("__heavy")).drop("__heavy"), keys, "left")
+    return done.unionByName(light).unionByName(rows.filter(~keyed), allowMissingColumns=True)

@@ -22,8 +22,7 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     more splits than that and is returned as it is.
     """
     least = least or df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(least) if len(files) < least and df.rdd.getNumPartitions() <= least else df
+    return df.repartition(least) if df.rdd.getNumPartitions() <= least else df
 
 
 def read_news(spark: SparkSession, path: str, symbols: list[str] | None, start: str, end: str) -> DataFrame:

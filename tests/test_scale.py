@@ -59,6 +59,22 @@ def test_lookup_returns_every_row_once(spark):
     assert unknown.count() == 3000
 
 
+def test_lookup_keeps_rows_without_a_key(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), "id")
+    dictionary = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") + 1)
+    got = skew.lookup(rows, dictionary, ["k"], "n")
+    assert got.count() == 900 and got.filter("k IS NULL AND v IS NULL").count() == 300 and got.filter("v = k + 1").count() == 600
+
+
+def test_bars_are_a_panel(spark):
+    from catalog.base import bars, scored
+    from tapeloom.operators.quality import panel_violations
+
+    assert panel_violations(bars(spark, SF_DIR)).isEmpty()
+    one = scored(spark, SF_DIR)
+    assert panel_violations(one.unionByName(one)).count() == one.select("symbol", "date").distinct().count()
+
+
 def test_symbol_ids_follow_the_global_order(spark):
     symbols = spark.range(500).select(F.format_string("T%03d", F.pmod(F.col("id") * 37, F.lit(250))).alias("symbol"))
     got = {r.symbol: r.stock_id for r in symbol_dimension(symbols).collect()}
