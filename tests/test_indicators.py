@@ -147,3 +147,23 @@ def test_asof_attach_keeps_every_left_row(spark):
     right = market(spark, [3]).withColumn("v", F.lit(1.5))
     got = windows.asof_attach(market(spark, [1, 3, 9]), right, ["v"])
     assert column(got, "v") == [None, 1.5, 1.5]
+
+
+def test_combined_indicators_equal_the_single_ones(spark):
+    from catalog.base import bars
+
+    from .conftest import SF_DIR
+
+    b = bars(spark, SF_DIR).cache()
+    whole = ind.add_indicators(b, fill=False).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    for step in (
+        ind.returns, ind.exponential_averages, ind.vwap, ind.bollinger, ind.rsi, ind.macd, ind.simple_averages, ind.volatility,
+        ind.true_range_average, ind.stochastic, ind.rate_of_change, ind.volume_features, ind.price_shape,
+    ):
+        one = step(b).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+        for c in [c for c in one.columns if c not in b.columns]:
+            pd.testing.assert_series_equal(one[c], whole[c], check_exact=False, rtol=1e-9, atol=1e-9)
+    for c in ind.LAG_COLUMNS:
+        for k in ind.LAG_STEPS:
+            want = whole.groupby("symbol")[c].shift(k).astype(float)
+            pd.testing.assert_series_equal(whole[f"{c}_lag_{k}"].astype(float), want, check_names=False)
