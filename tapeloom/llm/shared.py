@@ -49,9 +49,9 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array
 
 
 def blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """One binary per row from an array of fixed-width values."""
+    """One binary per row from an array whose first axis the bounds cut."""
     data = np.ascontiguousarray(values)
-    at = (bounds * data.itemsize).astype(np.int32)
+    at = (bounds * (data.nbytes // max(len(data), 1))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
 
 
@@ -69,3 +69,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def n_words(text):
     """Words of a text column, without regular expressions over the words themselves; 0 for null."""
     return F.coalesce(F.expr(f"regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("bigint")
+
+
+def xxhash64(ids: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a long column."""
+    u = lambda x: np.uint64(x)
+    p1, p2, p3, p4, p5 = map(u, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    roll = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    h = (np.full(len(ids), 42 + 8, np.uint64) + p5) ^ (roll(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = roll(h, 27) * p1 + p4
+    h = (h ^ (h >> u(33))) * p2
+    h = (h ^ (h >> u(29))) * p3
+    return (h ^ (h >> u(32))).view(np.int64)
