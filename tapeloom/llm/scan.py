@@ -35,6 +35,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: Every byte that is neither a letter, a digit nor part of a longer character separates terms.
+NOT_TERM = np.ones(256, bool)
+NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
 class _Powers:
     """Powers of the hash base and of its inverse, grown to the longest run seen."""
 
@@ -106,11 +111,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def words(run: Run, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+``; A-Z count as a-z when ``lower``."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def words(run: Run, lower: bool = True, between: np.ndarray = _SPACE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+``, or what lies between other bytes; A-Z count as a-z when ``lower``."""
     data = _LOWER[run.data] if lower else run.data
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~between[data]
     rise = np.diff(inside)
     begins, ends = rise[:-1] == 1, rise[1:] == -1
     cut = run.bounds[1:-1]
