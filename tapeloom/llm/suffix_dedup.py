@@ -295,7 +295,17 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], reach[np.append(starts[1:], len(spans)) - 1]], axis=1)
 
 
-def _cut(kept_name: str = "kept") -> Callable:
+def _to_characters(spans: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Spans shrunk to whole UTF-8 characters."""
+    inner = np.append((data & 0xC0) == 0x80, False)
+    at = np.flatnonzero(~inner)
+    spans = spans.copy()
+    spans[:, 0] = at[np.searchsorted(at, spans[:, 0])]
+    spans[:, 1] = at[np.searchsorted(at, spans[:, 1], "right") - 1]
+    return spans
+
+
+def _cut(whole_characters: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, kept = batch.column("spans"), []
@@ -309,6 +319,8 @@ def _cut(kept_name: str = "kept") -> Callable:
                     counts.append(0)
                     continue
                 spans = np.minimum(_union(np.concatenate(pieces)), len(raw))
+                if whole_characters:
+                    spans = _to_characters(spans, np.frombuffer(raw, np.uint8))
                 spans = spans[spans[:, 0] < spans[:, 1]]
                 starts += spans[:, 0].tolist()
                 ends += spans[:, 1].tolist()
@@ -318,7 +330,7 @@ def _cut(kept_name: str = "kept") -> Callable:
             pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.ListArray.from_arrays(at, pairs), pa.array(kept, pa.binary())], ["row", "spans", kept_name]
+                [batch.column("row"), pa.ListArray.from_arrays(at, pairs), pa.array(kept, pa.binary())], ["row", "spans", "kept"]
             )
 
     return run
@@ -340,13 +352,13 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     return spans.df.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, size: int = 50, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = 50, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """``row, spans, kept`` of every row: a struct of the ``carry`` columns (all columns unless given), the removed byte
     spans, and the bytes that stay, in order.
 
     A byte goes if a ``size``-byte string that covers it also starts in a document with a smaller ``doc_id``; the input
     decides, not what is left of it.  A null text counts as empty; texts shorter than ``size`` bytes stay whole.  Rows with
-    the same doc_id do not remove from each other.  A null doc_id is smaller than none and keeps its text.  Columns of the
+    the same doc_id do not remove from each other.  ``whole_characters`` keeps characters that a span would split.  A null doc_id is smaller than none and keeps its text.  Columns of the
     input sit inside ``row``, so their names cannot clash.  An empty table gives no rows.
     """
     if not GRAM < size < 256:
@@ -360,4 +372,4 @@ def suffix_dedup(docs: DataFrame, size: int = 50, carry: list[str] | None = None
     )
     kinds = rows.schema["row"].dataType.simpleString()
     joined = rows.join(F.broadcast(spans) if small else spans, "doc_id", "left").select("row", "text", "spans")
-    return joined.mapInArrow(_cut(), f"row {kinds}, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(_cut(whole_characters), f"row {kinds}, spans array<struct<start:int,end:int>>, kept binary")
