@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat_format import format_chat, read_back
+from .embedding_dedup import embedding_dedup
 from .jaccard_join import ngram_jaccard_join
 from .mixing import mix
 from .ordinal import classify
 from .packing import pack
 from .quality_rules import ERROR, RISK, RULES, quality_rules
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,12 +106,45 @@ FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 """
 
 
+_CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@_query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_chat(turns.unionByName(spark.createDataFrame(_CONTROL_TURNS, turns.schema))))
+
+
+def _escaped_sql(x: str) -> str:
+    x = f"replace({x}, '\\', '\\\\')"
+    for control in ("<s>", "</s>", "[INST]", "[/INST]"):
+        x = f"replace({x}, '{control}', '{control[0]}\\{control[1:]}')"
+    return x
+
+
+SQL["op4_chat_formatting"] = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(replace({_escaped_sql("role")}, chr(10), '\\' || chr(10))) + length({_escaped_sql("text")})
+            + CASE role WHEN 'assistant' THEN 0 ELSE 15 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 @_query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
     return docs.select("row.doc_id", "expected_grade", "p_poor_or_better", "p_good", "kept")
 
 
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
@@ -118,6 +155,27 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_embedding_dedup"] = """
+WITH RECURSIVE units AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))
+  WHERE list_dot_product(v, v) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+          WHERE list_dot_product(a.u, b.u) >= 9e-1),
+reach AS (SELECT a AS id, a AS r FROM (SELECT DISTINCT a FROM links) UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.id AND reach.r < l.a),
+least_of AS (SELECT id, min(r) AS c FROM reach GROUP BY id),
+counted AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings e LEFT JOIN least_of ON least_of.id = vec_id LEFT JOIN counted ON counted.id = vec_id
+"""
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "piece", "first_word", "n_words", "bin_id", "bin_length", "bin_offset")
