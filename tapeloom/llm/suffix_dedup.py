@@ -43,10 +43,11 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: -(width - span)], values[width - span :]) if width > span else values
 
 
-def anchors(run: scan.Run, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and byte position of the anchors of a run; rows shorter than ``size`` have none."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(run: scan.Run, size: int) -> tuple[np.ndarray, ...]:
+    """Hash, row and byte position of the anchors of a run, and the bytes before it and from its start on that the windows
+    it stands for reach.  A window's anchor is the leftmost of its least grams, so each window has one."""
     n, width = len(run.data), size - GRAM + 1
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     if n < size:
         return none
     starts = np.arange(n - GRAM + 1)
@@ -56,23 +57,34 @@ def anchors(run: scan.Run, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     whole[take_ranges(run.bounds[:-1], np.maximum(np.diff(run.bounds) - size + 1, 0))] = True
     least[~whole] = 0
     edge = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum)[: len(gram)] == gram)
-    row = np.searchsorted(run.bounds, chosen, "right") - 1
-    inside = chosen + GRAM <= run.bounds[row + 1]
-    chosen, row = chosen[inside], row[inside]
-    return gram[chosen], row, chosen - run.bounds[row]
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum)[: len(gram)] == gram)
+    row = np.searchsorted(run.bounds, at, "right") - 1
+    own = gram[at]
+    first = np.maximum(at - width + 1, run.bounds[row])  # the first and last window this anchor may stand for
+    last = np.minimum(at, run.bounds[row + 1] - size)
+    for d in range(width - 1, 0, -1):
+        before, after = at - d, at + d
+        first = np.where((before >= first) & (gram[np.maximum(before, 0)] <= own), before + 1, first)
+        last = np.where((after < len(gram)) & (gram[np.minimum(after, len(gram) - 1)] < own), np.minimum(last, after - width), last)
+    used = first <= last
+    at, row, first, last = at[used], row[used], first[used], last[used]
+    return own[used], row, at - run.bounds[row], at - first, last + size - at
 
 
-def _sent(bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int, squeeze: bool = False):
-    """Rows ``bucket, n, data``: the values of each bucket, column by column."""
+_STEPS = (np.dtype("<i8"), np.dtype("<u4"))  # ids and places go as differences, which compress well
+
+
+def _sent(bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int):
+    """``bucket, n, data`` of each bucket used: its values, column by column, compressed."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     columns = [np.ascontiguousarray(c[order]) for c in columns]
     used = np.flatnonzero(np.diff(cuts))
     data = []
     for b in used:
-        raw = b"".join(c[cuts[b] : cuts[b + 1]].tobytes() for c in columns)
-        data.append(pa.compress(raw, "zstd", asbytes=True) if squeeze else raw)
+        parts = [c[cuts[b] : cuts[b + 1]] for c in columns]
+        raw = b"".join((np.diff(c, prepend=c.dtype.type(0)) if c.dtype in _STEPS else c).tobytes() for c in parts)
+        data.append(pa.compress(raw, "zstd", asbytes=True))
     return used.astype(np.int32), np.diff(cuts)[used].astype(np.int32), data
 
 
@@ -80,7 +92,8 @@ def _read(raw: bytes, n: int, kinds: list) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
         wide = np.dtype(kind)
-        out.append(np.frombuffer(raw, wide, n, at))
+        part = np.frombuffer(raw, wide, n, at)
+        out.append(np.cumsum(part, dtype=wide) if wide in _STEPS else part)
         at += n * wide.itemsize
     return out
 
@@ -117,30 +130,29 @@ def _find_anchors(size: int, n_buckets: int, n_blocks: int) -> Callable:
         for batch in batches:
             ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for r in scan.runs(batch.column("text")):
-                gram, row, pos = anchors(r, size)
+                gram, row, pos, _, _ = anchors(r, size)
                 if not len(gram):
                     continue
                 ids = ids_all[r.first + row]
                 order, starts, shared = _shared_in(gram, ids)
-                here = order[shared]
+                here = np.sort(order[shared])
                 if len(here):
                     yield _batch(_PLACE_ROW, *_sent(_block_of(ids[here], n_blocks), [ids[here], pos[here].astype(np.uint32)], n_blocks))
                 alone = np.zeros(len(order), bool)
                 alone[~shared] = True
                 alone[starts] = True  # of a shared gram, the smallest document speaks for the run
-                sent = order[alone]
+                sent = np.sort(order[alone])
                 bucket = (gram[sent] % np.uint64(n_buckets)).astype(np.int32)
                 yield _batch(_GRAM_ROW, *_sent(bucket, [gram[sent], ids[sent], pos[sent].astype(np.uint32)], n_buckets))
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: list, squeezed: bool = False) -> list[np.ndarray]:
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
     wide, held = sum(np.dtype(k).itemsize for k in kinds), []
     for batch in batches:
         for n, data in zip(batch.column("n").to_pylist(), batch.column("data")):
-            raw = data.as_buffer()
-            held.append(_read(pa.decompress(raw, n * wide, "zstd", asbytes=True) if squeezed else raw, n, kinds))
+            held.append(_read(pa.decompress(data.as_buffer(), n * wide, "zstd", asbytes=True), n, kinds))
     return [np.concatenate(c) for c in zip(*held)] if held else []
 
 
@@ -178,29 +190,28 @@ def _around(size: int, n_buckets: int) -> Callable:
         got = _gathered(iter(places.to_batches()), ["<i8", "<u4"])
         if got and docs.num_rows:
             ids, pos = got
-            pos = pos.astype(np.int64)
             order = np.lexsort((pos, ids))
-            ids, pos = ids[order], pos[order]
+            ids, pos = ids[order], pos[order].astype(np.int64)
             text = docs.column("text").combine_chunks()
             docs_ids = docs.column("doc_id").to_numpy()
             for r in scan.runs(text, 1 << 21):
                 own = docs_ids[r.first : r.last]
+                gram, row, p, before, after = anchors(r, size)
                 a, b = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-                row = np.repeat(np.arange(len(own)), b - a)
-                p = pos[take_ranges(a, b - a)]
-                length = np.diff(r.bounds)[row]
-                fits = p + GRAM <= length  # places of another row with the same doc_id may not
-                row, p, length = row[fits], p[fits], length[fits]
+                known = np.repeat(np.arange(len(own)), b - a) << 32 | pos[take_ranges(a, b - a)]
+                here = row << 32 | p
+                if not len(known) or not len(here):
+                    continue
+                shared = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
+                gram, row, p, before, after = (x[shared] for x in (gram, row, p, before, after))
                 if not len(p):
                     continue
                 at = r.bounds[:-1][row] + p
-                before, after = np.minimum(p, left), np.minimum(length - p, size)
                 cells = np.empty((len(p), wide), np.uint8)
                 for c in range(wide):
                     k = c - left
                     real = (before >= -k) if k < 0 else (after > k)
                     cells[:, c] = np.where(real, r.data[np.clip(at + k, 0, len(r.data) - 1)], 0)
-                gram = scan.span_hash(r.data, at, at + GRAM)
                 weights = scan.mix(np.arange(1, wide + 3, dtype=np.uint64))
                 code = scan.mix((cells * weights[:wide]).sum(axis=1, dtype=np.uint64) + before.astype(np.uint64) * weights[wide] + after.astype(np.uint64) * weights[wide + 1])
                 doc = own[row]
@@ -211,12 +222,12 @@ def _around(size: int, n_buckets: int) -> Callable:
                 me = order_
                 same = (cells[me] == cells[lead]).all(axis=1) & (before[me] == before[lead]) & (after[me] == after[lead])
                 done = same & (doc[me] > doc[lead])
-                gone = me[done & (before[me] + after[me] >= size)]
+                gone = np.sort(me[done])
                 if len(gone):
                     out.append((_PLACE_ROW, *_sent(_block_of(doc[gone], n_buckets), [doc[gone], (p - before)[gone].astype(np.uint32), (p + after)[gone].astype(np.uint32)], n_buckets)))
-                keep = me[~done]
+                keep = np.sort(me[~done])
                 bucket = (gram[keep] % np.uint64(n_buckets)).astype(np.int32)
-                out.append((_GRAM_ROW, *_sent(bucket, [doc[keep], p[keep].astype(np.uint32), before[keep].astype(np.uint8), after[keep].astype(np.uint8), cells[keep]], n_buckets, squeeze=True)))
+                out.append((_GRAM_ROW, *_sent(bucket, [doc[keep], p[keep].astype(np.uint32), before[keep].astype(np.uint8), after[keep].astype(np.uint8), cells[keep]], n_buckets)))
         if not out:
             return pa.Table.from_batches([_batch(0, np.zeros(0, np.int32), np.zeros(0, np.int32), [])])
         return pa.Table.from_batches([_batch(*o) for o in out])
@@ -224,12 +235,12 @@ def _around(size: int, n_buckets: int) -> Callable:
     return run
 
 
-def _find_repeats(size: int) -> Callable:
+def _find_repeats(size: int, n_buckets: int) -> Callable:
     left, wide = size - GRAM, 2 * size - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        got = _gathered(_split(batches, passed), ["<i8", "<u4", "u1", "u1", np.dtype(("u1", (wide,)))], squeezed=True)
+        got = _gathered(_split(batches, passed), ["<i8", "<u4", "u1", "u1", np.dtype(("u1", (wide,)))])
         yield from passed
         if not got:
             return
@@ -258,29 +269,30 @@ def _find_repeats(size: int) -> Callable:
             nearest[hit] = np.minimum(nearest[hit], a)
         hit = np.flatnonzero(furthest >= 0)
         if len(hit):
-            yield _batch(_PLACE_ROW, *_sent(np.zeros(len(hit), np.int32), [doc[hit], (pos - furthest)[hit].astype(np.uint32), (pos + size - nearest)[hit].astype(np.uint32)], 1))
+            yield _batch(_PLACE_ROW, *_sent(_block_of(doc[hit], n_buckets), [doc[hit], (pos - furthest)[hit].astype(np.uint32), (pos + size - nearest)[hit].astype(np.uint32)], n_buckets))
 
     return run
 
 
 def _merge_spans() -> Callable:
-    """Spans as sent -> one row per document of this task, its spans merged."""
+    """Spans as sent, all of a document in one task -> one row per document, its spans merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = _gathered(iter([batch]), ["<i8", "<u4", "<u4"])
-            if not got:
-                continue
-            doc, start, end = got
-            order = np.lexsort((start, doc))
-            doc, spans = doc[order], np.stack([start[order], end[order]], axis=1).astype(np.int32)
-            ids, first = np.unique(doc, return_index=True)
-            cuts = np.append(first, len(doc))
-            merged = [_union(spans[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), blobs(np.concatenate(merged), np.concatenate([[0], np.cumsum([len(m) for m in merged])]))],
-                ["doc_id", "spans"],
-            )
+        got = _gathered(batches, ["<i8", "<u4", "<u4"])
+        if not got:
+            return
+        doc, start, end = got
+        order = np.lexsort((start, doc))
+        doc, spans = doc[order], np.stack([start[order], end[order]], axis=1).astype(np.int64)
+        ids, first = np.unique(doc, return_index=True)
+        far = np.arange(len(ids)) << 33  # documents end to end, so that one pass merges them all
+        far = np.repeat(far, np.diff(np.append(first, len(doc))))[:, None]
+        spans = _union(spans + far)
+        owner = spans[:, 0] >> 33
+        spans = (spans - (owner << 33)[:, None]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), blobs(spans, np.searchsorted(owner, np.arange(len(ids) + 1)))], ["doc_id", "spans"]
+        )
 
     return run
 
@@ -313,12 +325,11 @@ def _cut(whole_characters: bool) -> Callable:
             texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
             for i in range(len(batch)):
                 raw = texts[i].as_py()
-                pieces = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in held[i].values] if held[i].is_valid else []
-                if not pieces:
+                if not held[i].is_valid:
                     kept.append(raw)
                     counts.append(0)
                     continue
-                spans = np.minimum(_union(np.concatenate(pieces)), len(raw))
+                spans = np.minimum(np.frombuffer(held[i].as_buffer(), np.int32).reshape(-1, 2), len(raw))
                 if whole_characters:
                     spans = _to_characters(spans, np.frombuffer(raw, np.uint8))
                 spans = spans[spans[:, 0] < spans[:, 1]]
@@ -337,7 +348,7 @@ def _cut(whole_characters: bool) -> Callable:
 
 
 def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
-    """``doc_id, spans``: per document with such bytes a list of span lists (each binary, pairs of int32)."""
+    """``doc_id, spans`` of each document with such bytes: its merged spans, binary pairs of int32."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size))
@@ -348,8 +359,8 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")).groupBy("block")
     around = blocked.cogroup(places.withColumn("block", F.col("bucket")).groupBy("block"))
     near = around.applyInArrow(_around(size, n_buckets), _SENT).repartitionById(n_buckets, F.expr(f"pmod(bucket, {n_buckets})"))
-    spans = Stage(near.mapInArrow(_find_repeats(size), _SENT).mapInArrow(_merge_spans(), "doc_id long, spans binary"), "spans")
-    return spans.df.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = near.mapInArrow(_find_repeats(size, n_buckets), _SENT).repartitionById(n_buckets, F.col("bucket"))
+    return Stage(spans.mapInArrow(_merge_spans(), "doc_id long, spans binary"), "spans").df
 
 
 def suffix_dedup(docs: DataFrame, size: int = 50, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
@@ -364,7 +375,7 @@ def suffix_dedup(docs: DataFrame, size: int = 50, carry: list[str] | None = None
     if not GRAM < size < 256:
         raise ValueError(f"size must be above {GRAM} and below 256")
     spans = repeated_spans(docs, size)
-    found = spans.agg(F.count("*"), F.sum(F.aggregate("spans", F.lit(0), lambda n, x: n + F.length(x)))).first()
+    found = spans.agg(F.count("*"), F.sum(F.length("spans"))).first()
     small = found[0] <= BROADCAST_ROWS and (found[1] or 0) <= 32 << 20
     rows = docs.select(
         F.struct(*(carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"),
