@@ -23,7 +23,7 @@ from .shared import blobs
 BUCKETS = 1 << 20
 SAMPLE = 20_000
 STEM_BYTES, LEAST_ROWS = 5, 5
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.15, 1e-3
+STEPS, BATCH, RATE, DECAY = 1500, 128, 0.15, 1e-3
 FALSE_REJECTION = 0.01
 
 _CLASSES = {"symbols": b"#*$%&|<>!", "capitals": bytes(range(65, 91)), "digits": bytes(range(48, 58)), "lines": b"\n"}
@@ -92,7 +92,7 @@ def fit(texts: list[tuple[np.ndarray, int]], held: np.ndarray, n_grades: int = 3
     found = np.bincount(np.concatenate([texts[i][0] for i in fitted] or [value[:0]]), minlength=BUCKETS) >= LEAST_ROWS
     weights, seen, seen_cuts = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), np.full(n_grades - 1, 1e-6)
     shuffle = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // max(len(fitted), 1)) if len(fitted) else 0):
         shuffle.shuffle(fitted)
         for a in range(0, len(fitted), BATCH):
             rows = fitted[a : a + BATCH]
