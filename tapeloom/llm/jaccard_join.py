@@ -4,19 +4,20 @@ Documents are sets of word shingles; two link when ``100 * |A n B| >= percent *
 
 * Index lists hold, for each shingle, the sets that have it among their first ``n - ceil(percent * n / 100) + 1``
   shingles, in one global order: shingles of long lists last, else by hash.  Two sets that link meet in a list.
-* Lists are cut in blocks of similar set size.  Blocks more than one apart, and entries whose position leaves too few
+* Long lists are cut in blocks of similar set size.  Blocks more than one apart, and entries whose position leaves too few
   shingles behind it, are skipped without being read against each other.
-* Answers are derived from the answers of a similar set.  Every list and block has a pivot, its smallest id; the sets
-  of the list are first compared with the pivots alone.  A set that links with a pivot takes over its component, and
-  from then on only sets outside of that component are compared with it.
-* A 256-bit parity map of each set bounds ``|A xor B|`` from below, so most pairs fall without reading the sets; what
-  remains is decided by the sets themselves.
+* Answers are derived from the answers of a similar set.  Every longer list has a pivot, its smallest id; the sets of
+  the list are first compared with the pivot alone.  A set that links with a pivot takes over its component, and from
+  then on only sets outside of that component are compared with it.
+* A 256-bit parity map of each set bounds ``|A xor B|`` from below, so most pairs fall inside the join, without reading
+  the sets; what remains is decided by the sets themselves.
 
 Copies are one set.  A group of n near copies costs n comparisons per pivot, not n * n.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,12 +28,15 @@ from . import scan
 from .components import components
 from .shared import Stage, blobs, lists, maybe_broadcast, signed, take_ranges
 
+#: Lists of so many sets get a pivot; lists of so many are cut in blocks.  Both only steer the order of the work.
+PIVOT_FROM, BLOCKS_FROM = 8, 64
+
 #: Size of the table of shingles that go last in the order.  It only steers speed: any order gives the same links.
 LONG_LISTS = 1 << 16
 LONG_FROM = 16
 
 _SIGNATURE = "doc_id long, n_shingles long, lo long, hi long, m0 long, m1 long, m2 long, m3 long, prefix array<long>"
-_POSTING = "token long, doc_id long, n int, pos int, band int"
+_POSTING = "token long, doc_id long, pos int"
 
 
 def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,12 +88,10 @@ def _postings(size: int, percent: int, long_lists) -> Callable:
                 ahead = _prefix(counts, percent)
                 index = take_ranges(bounds[:-1], ahead)
                 own = np.repeat(np.arange(len(counts)), ahead)
-                band = np.floor(np.log(np.maximum(counts, 1)) / -np.log(percent / 100)) if percent < 100 else counts
                 ids = batch.column("doc_id").slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(value[index]), ids.take(pa.array(own)), pa.array(counts[own].astype(np.int32)),
-                     pa.array((index - bounds[:-1][own]).astype(np.int32)), pa.array(band[own].astype(np.int32))],
-                    ["token", "doc_id", "n", "pos", "band"],
+                    [signed(value[index]), ids.take(pa.array(own)), pa.array((index - bounds[:-1][own]).astype(np.int32))],
+                    ["token", "doc_id", "pos"],
                 )
 
     return run
@@ -125,7 +127,7 @@ def _linked(percent: int) -> Callable:
     return run
 
 
-def _verified(docs: DataFrame, pairs: Stage, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: Stage, size: int, percent: int) -> Stage:
     """The pairs whose sets pass.  Only texts of the pairs are read into sets; a doc_id with several rows has several."""
     ids = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select(F.col("b").alias("doc_id"))).distinct()
     needed = docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "text")
@@ -137,27 +139,21 @@ def _verified(docs: DataFrame, pairs: Stage, size: int, percent: int) -> DataFra
     )
     links = Stage(both.mapInArrow(_linked(percent), "a long, b long").distinct(), "verified")
     whole.drop()
-    return links.df
+    pairs.drop()
+    return links
 
 
-def _possible(pairs: DataFrame, signature: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and parity maps allow."""
-    s = signature.filter("n_shingles > 0").select("doc_id", "n_shingles", "m0", "m1", "m2", "m3")
-    for side in "ab":
-        pairs = pairs.join(s.select(F.col("doc_id").alias(side), *[F.col(c).alias(side + c) for c in s.columns[1:]]), side)
-    apart = sum((F.bit_count(F.col(f"am{k}").bitwiseXOR(F.col(f"bm{k}"))) for k in range(4)), F.lit(0))
-    total = F.col("an_shingles") + F.col("bn_shingles")
-    return pairs.filter(
-        (100 * F.least("an_shingles", "bn_shingles") >= percent * F.greatest("an_shingles", "bn_shingles"))
-        & (apart * (100 + percent) <= total * (100 - percent))
-    ).select("a", "b").distinct()
+def _possible(x: str, y: str, percent: int):
+    """Whether sizes and parity maps allow that the sets of aliases ``x`` and ``y`` link."""
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    apart = sum((F.bit_count(F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))) for k in range(4)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _long_lists(signature: DataFrame, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _long_lists(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The tokens found in most prefixes of different sets, and their places, the longest list last."""
-    reps = signature.join(classes.select("lo", "hi", F.col("rep").alias("doc_id")), ["lo", "hi", "doc_id"], "left_semi")
     top = (
-        reps.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= LONG_FROM)
+        sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= LONG_FROM)
         .orderBy(F.desc("count"), "token").limit(LONG_LISTS).collect()
     )
     tokens = np.array([r[0] for r in top], np.int64).view(np.uint64)
@@ -182,42 +178,42 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         sig.select("lo", "hi", "n_shingles", "doc_id").join(classes.df, ["lo", "hi", "n_shingles"])
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     )
-    reps = classes.df.select("rep").distinct()
-    long_lists = spark.sparkContext.broadcast(_long_lists(sig, classes.df))
+    key = classes.df.withColumnRenamed("rep", "doc_id")
+    maps = ["doc_id", "n_shingles", "m0", "m1", "m2", "m3"]
+    sets = Stage(sig.select(*maps, "lo", "hi").join(key, ["lo", "hi", "n_shingles", "doc_id"], "left_semi").select(*maps).distinct(), "sets")
+    n_sets = sets.df.count()
+    long_lists = spark.sparkContext.broadcast(_long_lists(sig.join(key, ["lo", "hi", "n_shingles", "doc_id"], "left_semi")))
     posts = docs.filter("doc_id IS NOT NULL").mapInArrow(_postings(size, percent, long_lists), _POSTING)
-    blocks = posts.groupBy("token", "band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
-    whole = blocks.groupBy("token").agg(F.min("lead").alias("first"), F.max("last").alias("end")).filter("first < end")
-    listed = Stage(posts.join(whole.select("token", "first"), "token"), "lists")
-    lead_of = listed.df.groupBy("token", "band").agg(F.min("doc_id").alias("lead"))
+    whole = posts.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("end"), F.count("*").alias("entries"))
+    listed = Stage(posts.join(whole.filter("first < end").drop("end"), "token"), "lists")
+
+    of = lambda name: maybe_broadcast(sets.df, n_sets).alias(name)
     stars = (
-        listed.df.join(lead_of, ["token", "band"])
-        .select(F.explode(F.array("first", "lead")).alias("a"), F.col("doc_id").alias("b")).filter("a < b").distinct()
-    )
-    only_reps = lambda p: p.join(reps.withColumnRenamed("rep", "b"), "b", "left_semi")
-    near = Stage(_possible(only_reps(stars), sig, percent), "stars")
-    links = _verified(docs, near, size, percent)
-    known = Stage(components(links.unionAll(copies)), "known")
-
-    entries = (
-        listed.df.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        .join(known.df.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("token", "doc_id", "n", "pos", "band", F.coalesce("component", "doc_id").alias("c"))
+        listed.df.filter((F.col("entries") >= PIVOT_FROM) & (F.col("first") < F.col("doc_id"))).select("first", "doc_id").distinct().alias("p")
+        .join(of("x"), F.col("p.first") == F.col("x.doc_id")).join(of("y"), F.col("p.doc_id") == F.col("y.doc_id"))
+        .filter(_possible("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
+    links = _verified(docs, Stage(stars, "stars"), size, percent)
+    known = Stage(components(links.df.unionAll(copies)), "known")
+
+    placed = sets.df.join(known.df.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    band = F.floor(F.log("n_shingles") / -math.log(percent / 100)) if percent < 100 else F.col("n_shingles")
+    entries = listed.df.drop("first").join(maybe_broadcast(placed.drop("component"), n_sets), "doc_id")
     mixed = entries.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
-    entries = Stage(entries.join(mixed, "token", "left_semi"), "entries")
-    x, y = entries.df.alias("x"), entries.df.withColumn("near", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
-    need = (F.col("x.n") + F.col("y.n")) * percent
+    entries = Stage(entries.withColumn("band", band.cast("int")).join(mixed, "token", "left_semi"), "entries")
+    cut = F.col("entries") >= BLOCKS_FROM
+    x = entries.df.withColumn("block", F.when(cut, F.col("band")).otherwise(0)).alias("x")
+    y = entries.df.withColumn("block", F.explode(F.when(cut, F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array(F.lit(0))))).alias("y")
+    ahead = F.least(F.col("x.n_shingles") - F.col("x.pos"), F.col("y.n_shingles") - F.col("y.pos"))
     rest = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.near"))
-        & ((F.col("y.band") > F.col("x.band")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.col("x.c") != F.col("y.c"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (100 + percent) >= need),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") != F.col("y.c"))
+        & F.when(F.col("x.band") == F.col("y.band"), F.col("x.doc_id") < F.col("y.doc_id")).otherwise(F.col("x.band") < F.col("y.band"))
+        & (ahead * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent) & _possible("x", "y", percent),
     ).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    far = Stage(_possible(rest, sig, percent), "rest")
-    more = _verified(docs, far, size, percent)
-    last = components(links.unionAll(more).unionAll(copies))
-    for done in (listed, near, far, entries, known):
+    more = _verified(docs, Stage(rest, "rest"), size, percent)
+    last = components(links.df.unionAll(more.df).unionAll(copies))
+    for done in (listed, entries, known, sets):
         done.drop()
     out = signature.df.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
