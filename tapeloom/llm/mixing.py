@@ -16,14 +16,14 @@ is dealt out like any other rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import maybe_broadcast, n_words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Rows that share a digest prefix, about.
-PER_PREFIX = 20_000
 #: Multipliers of a weight over training time: light sources open the training, heavy ones close it.
 SCHEDULES = {
     1: [(0.0, 1.5), (0.5, 1.25), (1.0, 0.25)],
@@ -84,7 +84,7 @@ def mix(
     rows = rows.select("row", "source", n_words("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"), F.xxhash64("text").alias("tie"))
     slim = docs.select(F.col("source").cast("string").alias("source"), text.alias("text")).select("source", n_words("text").alias("size"))
     targets = source_targets(slim, weights, most)
-    prefix = F.greatest(F.lit(0), F.ceil(F.log(F.col("source_rows") / F.lit(float(PER_PREFIX))) / F.log(F.lit(16.0)))).cast("int")
+    prefix = F.ceil(F.log(F.col("source_rows").cast("double")) / (2 * math.log(16.0))).cast("int")  # as many prefixes as rows in one
     targets = targets.withColumn("words", F.round("target").cast("long")).withColumn("cut", prefix).withColumnRenamed("source", "name")
     targets = maybe_broadcast(targets, targets.count(), 100_000)
     placed = rows.join(targets, F.col("source").eqNullSafe(F.col("name"))).drop("source")
