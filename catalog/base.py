@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeloom.operators import news
 from tapeloom.sources.bars import daily_bars
-from tapeloom.sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +50,7 @@ def pick_sql(source: str, keys: list[str], values: list[str], digits: int = 6) -
 
 # ---- tables ----
 
-TRADE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+TRADE_ORDER = [("l_orderkey", 16), ("l_linenumber", 6), ("l_partkey", 16)]
 FIRST_DAY, DAYS = "1995-01-02", 2400
 
 
@@ -94,7 +93,7 @@ SUFFIXES = [
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles_from(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return articles_from(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def articles_from(documents: DataFrame) -> DataFrame:
@@ -125,8 +124,8 @@ DICTIONARY = {
 
 # ---- the same tables in SQL ----
 
-ORDER_SQL = ", ".join(TRADE_ORDER)
-ORDER_DESC_SQL = ", ".join(f"{c} DESC" for c in TRADE_ORDER)
+ORDER_SQL = ", ".join(c for c, _ in TRADE_ORDER)
+ORDER_DESC_SQL = ", ".join(f"{c} DESC" for c, _ in TRADE_ORDER)
 CTE: dict[str, str] = {}
 CTE["bars"] = f"""bars AS (
   SELECT symbol, date, first(p ORDER BY {ORDER_SQL}) AS open, max(p) AS high, min(p) AS low,

@@ -49,6 +49,32 @@ def _(spark, sf):
     return a.select("article_id", "symbol", "date", "headline")
 
 
+_RAW_DATES = ["yyyy-MM-dd HH:mm:ss 'UTC'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd", "MMM d, yyyy", "M/d/yyyy"]
+
+
+@query(
+    "raw_news_scan",
+    f"""SELECT doc_id || ': he said ""buy"", then' || chr(10) || 'line two, of ' || coalesce(lang, '') AS headline, coalesce(source, '') AS symbol,
+        CAST(DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS DATE) AS date, doc_id % 6 = 5 AS undated FROM documents""".replace('""', '"'),
+)
+def _(spark, sf):
+    """A raw news file with quotes, line breaks and several date layouts, every row read back."""
+    docs = table(spark, sf, "documents")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).cast("timestamp")
+    text = F.lit("some day")
+    for k, layout in enumerate(_RAW_DATES):
+        text = F.when(F.col("doc_id") % 6 == k, F.date_format(day, layout)).otherwise(text)
+    title = F.concat(F.col("doc_id"), F.lit(': he said "buy", then\nline two, of '), F.coalesce("lang", F.lit("")))
+    values = {"Date": text, "Article_title": title, "Stock_symbol": F.coalesce("source", F.lit(""))}
+    raw = docs.select(*[values.get(f.name, F.lit("")).alias(f.name) for f in schemas.RAW_NEWS.fields])
+    path = stage_path(spark, "raw-news")
+    raw.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    news = files.convert_news(spark, path, stage_path(spark, "news"))
+    number = F.substring_index("headline", ":", 1).cast("bigint")
+    known = F.coalesce("date", F.date_add(F.lit("2020-01-01").cast("date"), (number % 700).cast("int")))
+    return news.select("headline", "symbol", known.alias("date"), F.col("date").isNull().alias("undated"))
+
+
 @query("pruned_key_scan", "SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS date FROM lineitem")
 def _(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("date"))

@@ -100,13 +100,18 @@ def _(spark, sf):
 
 @query(
     "distinct_articles",
-    with_sql("articles", "SELECT date, symbol, headline, min(article_id) AS article_id FROM articles GROUP BY date, symbol, headline"),
+    with_sql(
+        "articles",
+        """SELECT date, symbol, headline, min(article_id) AS article_id, 'http://news.example.com/' || min(article_id) AS url
+           FROM articles GROUP BY date, symbol, headline""",
+    ),
 )
 def _(spark, sf):
-    return news.distinct_articles(articles(spark, sf))
+    a = articles(spark, sf)
+    return news.distinct_articles(a.withColumn("url", F.concat(F.lit("http://news.example.com/"), F.col("article_id"))))
 
 
-@query("sampled_articles")
+@query("sampled_articles", with_sql("articles", "SELECT article_id, symbol, date FROM articles WHERE substr(md5(CAST(article_id AS VARCHAR)), 1, 5) < '4cccd'"))
 def _(spark, sf):
     """A repeatable 30 % sample by hash of the article id (a sampling operator)."""
     return news.sample_articles(articles(spark, sf), 0.3).select("article_id", "symbol", "date")

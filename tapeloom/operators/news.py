@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -36,19 +38,26 @@ def clean_articles(articles: DataFrame) -> DataFrame:
 
 
 def distinct_articles(articles: DataFrame, article_id: str = "article_id") -> DataFrame:
-    """One row per date, symbol and headline: the one with the smallest id.
+    """One row per date, symbol and headline: the whole row with the smallest id.
 
     Copies are folded on the map side by a hash aggregate with a numeric buffer,
     so a group holding a third of all rows sends one row per task to the shuffle.
+    Other columns are fetched by the ids that are left; rows repeated with their
+    id count once.
     """
     keys = ["date", "symbol", "headline"]
-    return articles.groupBy(*keys).agg(F.min(article_id).alias(article_id))
+    first = articles.groupBy(*keys).agg(F.min(article_id).alias(article_id))
+    if set(articles.columns) == {*keys, article_id}:
+        return first
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (article_id, *keys)])
+    rows = articles.alias("a").join(first.alias("f"), same, "left_semi")
+    return rows.dropDuplicates([*keys, article_id]).select(articles.columns)
 
 
 def sample_articles(articles: DataFrame, share: float, article_id: str = "article_id") -> DataFrame:
     """A repeatable sample by hash of the id: the same rows under any partitioning."""
-    slots = 1_000_000
-    return articles.filter(F.pmod(F.xxhash64(article_id), F.lit(slots)) < int(share * slots))
+    slots = 1 << 20  # five hexadecimal digits
+    return articles.filter(F.substring(F.md5(F.col(article_id).cast("string")), 1, 5) < f"{math.ceil(share * slots):05x}")
 
 
 def _probabilities(logits: dict[str, Column]) -> dict[str, Column]:

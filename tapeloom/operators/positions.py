@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numeric import finite
 from ..session import durable
-from .skew import lookup
 
 
 def _range_split(df: DataFrame, order: list[str]) -> DataFrame:
@@ -39,13 +39,13 @@ def dense_positions(distinct_rows: DataFrame, order: str) -> DataFrame:
     )
 
 
-def rank_dictionary(long: DataFrame, by: str, value: str, rank: str) -> DataFrame:
+def rank_dictionary(long: DataFrame, by: str, value: str, rank: str, weight: str = "1") -> DataFrame:
     """Average rank and row count ``__n`` of every distinct value within ``by``.
 
     Equal values are counted first, so a value held by a third of the rows is one
     row here; positions come from counts per range partition.
     """
-    counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.sum(F.expr(weight)).alias("__n"))
     ranged = _range_split(counts, [by, value])
     below = Window.partitionBy(by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -55,22 +55,31 @@ def rank_dictionary(long: DataFrame, by: str, value: str, rank: str) -> DataFram
     )
 
 
-def average_ranks(long: DataFrame, by: str = "feature", value: str = "value", rank: str = "rank") -> DataFrame:
-    """Adds the average rank of ``value`` within ``by`` (ties share their mean rank)."""
-    return lookup(long, rank_dictionary(long, by, value, rank), [by, value], weight="__n").drop("__n")
-
-
 def spearman(long: DataFrame, by: list[str], group: str, x: str, y: str) -> DataFrame:
     """Rank correlation of ``x`` and ``y`` per group; ``group`` is the key column of ``by``.
 
-    Rows with both values are written once; both rank dictionaries and the final
-    aggregate read them from there.
+    Equal pairs are counted first, so a pair held by a third of the rows is one row
+    from there on.  The counts are written once; both dictionaries and the weighted
+    correlation read them from there.
     """
-    rows = durable(long.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
-    ranked = rows
+    counts = long.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*dict.fromkeys([*by, group]), x, y).agg(F.count(F.lit(1)).alias("__n"))
+    counts = durable(counts)
+    ranked = counts
     for value, rank in ((x, "__rx"), (y, "__ry")):
-        ranked = lookup(ranked, rank_dictionary(rows, group, value, rank), [group, value], weight="__n").drop("__n")
-    return ranked.groupBy(*by).agg(F.corr("__rx", "__ry").alias("spearman"), F.count(F.lit(1)).alias("rows"))
+        ranks = rank_dictionary(counts, group, value, rank, "__n")
+        ranked = ranked.join(ranks.select(group, value, rank), [group, value])
+    return ranked.groupBy(*by).agg(_weighted_corr(F.col("__rx"), F.col("__ry"), F.col("__n")).alias("spearman"), F.sum("__n").alias("rows"))
+
+
+def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
+    """Correlation of rows that stand for ``n`` each.  Ranks are halves, so the sums are exact decimals."""
+    def total(c: Column) -> Column:
+        return F.sum(c.cast("decimal(38,0)")).cast("double")
+
+    a, b = (2 * x).cast("decimal(18,0)"), (2 * y).cast("decimal(18,0)")
+    rows, sx, sy = total(n), total(a * n), total(b * n)
+    xx, yy, xy = total(a * a * n), total(b * b * n), total(a * b * n)
+    return F.try_divide(rows * xy - sx * sy, F.sqrt((rows * xx - sx * sx) * (rows * yy - sy * sy)))
 
 
 # --------------------------------------------------------------------------
@@ -81,17 +90,13 @@ def spearman(long: DataFrame, by: list[str], group: str, x: str, y: str) -> Data
 _LOG_STEPS, _LINEAR_STEPS = 512, 1 << 22
 #: Above every ``floor(ln(x) * 512)`` of a double in absolute value.
 _LOG_OFFSET = 500_000
-#: Rows of one bucket that the last pass may value-count without refining first.
-_REFINE_ABOVE = 5_000_000
 
 
 @dataclass(frozen=True)
 class _Target:
-    feature: str
     rank: int  # zero-based rank inside the bucket
     low: float
     high: float
-    rows: int
 
 
 def _bucket(v: Column) -> Column:
@@ -103,37 +108,28 @@ def _bucket(v: Column) -> Column:
 def _locate(histogram: DataFrame, wanted: dict[tuple, list[int]]) -> dict[tuple, list[_Target]]:
     """Bucket and rank inside it for each wanted rank; only those buckets reach the driver."""
     w = Window.partitionBy("feature", "slot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = histogram.withColumn("upto", F.sum("n").over(w))
-    hit = None
-    for (feature, slot), ranks in wanted.items():
-        for r in ranks:
-            c = (F.col("feature") == feature) & (F.col("slot") == slot) & (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
-            hit = c if hit is None else hit | c
-    rows = cum.filter(hit).collect()
-    found: dict[tuple, list[_Target]] = {}
-    for (feature, slot), ranks in wanted.items():
-        for r in ranks:
-            row = next(
-                x for x in rows if x.feature == feature and x.slot == slot and x.upto - x.n <= r < x.upto
-            )
-            found.setdefault((feature, slot), []).append(_Target(feature, r - (row.upto - row.n), row.lo, row.hi, row.n))
-    return found
+    cum = histogram.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+    listed = [(feature, slot, r) for (feature, slot), ranks in wanted.items() for r in ranks]
+    asked = F.broadcast(histogram.sparkSession.createDataFrame(listed, "feature string, slot int, rank bigint"))
+    hits = cum.join(asked, ["feature", "slot"]).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+    at = {(r.feature, r.slot, r["rank"]): _Target(r["rank"] - r.before, r.lo, r.hi) for r in hits.collect()}
+    return {key: [at[(*key, r)] for r in ranks] for key, ranks in wanted.items()}
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of whole columns, NULLs ignored.
+    """Exact linear-interpolated quantiles of whole columns; NULL, NaN and infinite values are ignored.
 
     ``percentile`` would gather every distinct value of a column in one task.  Here
     the ranks are located by counting: a histogram over monotone buckets, a finer
-    one inside the hit buckets if they are large, then a count per distinct value
-    in what is left (at most 2**22 distinct doubles per rank).  Each pass is a
+    one inside the hit buckets, then a count per distinct value in what is left (a
+    2**-22 part of a bucket per rank).  Each pass is a
     map-side aggregate; the driver sees a handful of bucket bounds and values.
 
-    The input is read two or three times: pass a table or a ``durable`` frame when
+    The input is read three times: pass a table or a ``durable`` frame when
     its columns are costly to derive.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
-    long = long.filter(F.col("value").isNotNull())
+    long = long.filter(finite(F.col("value")).isNotNull())
     summary = [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
     first = (
         long.groupBy("feature", F.lit(0).alias("slot"), _bucket(F.col("value")).alias("bucket")).agg(*summary)
@@ -152,7 +148,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     located = _locate(first, ranks)
     targets = {(f, r): t for (f, _), rs in ranks.items() for r, t in zip(rs, located[(f, 0)])}
     targets = _refine(long, targets, summary)
-    values = _resolve(long, targets)
+    values = _resolve(long, targets, summary)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     for feature, n in counts.items():
         for i, p in enumerate(probs):
@@ -163,60 +159,42 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     return out
 
 
-def _in_buckets(long: DataFrame, ranges: list[tuple[str, float, float]]) -> Column:
-    """Slot number of the value range a row falls in, NULL when in none."""
-    slot = None
-    for i, (feature, low, high) in enumerate(ranges):
-        c = (F.col("feature") == feature) & F.col("value").between(low, high)
-        slot = F.when(c, F.lit(i)) if slot is None else slot.when(c, F.lit(i))
-    return slot
+Range = tuple[str, float, float]
 
 
-def _refine(long: DataFrame, targets: dict, summary: list[Column]) -> dict:
-    big = sorted({(t.feature, t.low, t.high) for t in targets.values() if t.low < t.high and t.rows > _REFINE_ABOVE})
-    if not big:
-        return targets
-    low = F.element_at(F.array(*[F.lit(x[1]) for x in big]), F.col("slot") + 1)
-    step = F.element_at(F.array(*[F.lit((x[2] - x[1]) / _LINEAR_STEPS) for x in big]), F.col("slot") + 1)
-    inside = long.withColumn("slot", _in_buckets(long, big)).filter(F.col("slot").isNotNull())
-    fine = durable(
-        inside.groupBy("feature", "slot", F.floor((F.col("value") - low) / step).alias("bucket")).agg(*summary)
-    )
-    wanted: dict[tuple, list[int]] = {}
-    keys: dict[tuple, list[tuple]] = {}
-    for key, t in targets.items():
-        if (t.feature, t.low, t.high) in big:
-            slot = (t.feature, big.index((t.feature, t.low, t.high)))
-            wanted.setdefault(slot, []).append(t.rank)
-            keys.setdefault(slot, []).append(key)
-    located = _locate(fine, wanted)
-    out = dict(targets)
-    for slot, names in keys.items():
-        for key, t in zip(names, located[slot]):
-            out[key] = t
-    return out
+def _in_ranges(long: DataFrame, ranges: list[Range]) -> DataFrame:
+    """Rows that fall in a listed range, with its number and bounds: a join on the feature with a few ranges each."""
+    numbered = [(f, i, lo, hi) for i, (f, lo, hi) in enumerate(ranges)]
+    table = F.broadcast(long.sparkSession.createDataFrame(numbered, "feature string, slot int, low double, high double"))
+    return long.join(table, "feature").filter(F.col("value").between(F.col("low"), F.col("high")))
 
 
-def _resolve(long: DataFrame, targets: dict) -> dict:
-    values = {k: t.low for k, t in targets.items() if t.low == t.high}
-    open_ranges = sorted({(t.feature, t.low, t.high) for t in targets.values() if t.low < t.high})
-    if not open_ranges:
-        return values
-    inside = long.withColumn("slot", _in_buckets(long, open_ranges)).filter(F.col("slot").isNotNull())
-    per_value = (
-        inside.groupBy("feature", "slot", F.col("value").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"lo": F.col("bucket"), "hi": F.col("bucket")})
-    )
+def _open_ranges(long: DataFrame, targets: dict) -> tuple[list[Range], dict[tuple, list[int]], dict[tuple, list[tuple]]]:
+    """Ranges still to be narrowed, the ranks wanted in each, and whose ranks they are."""
+    ranges = sorted({(f, t.low, t.high) for (f, _), t in targets.items() if t.low < t.high})
+    at = {r: i for i, r in enumerate(ranges)}
     wanted: dict[tuple, list[int]] = {}
-    keys: dict[tuple, list[tuple]] = {}
-    for key, t in targets.items():
+    owners: dict[tuple, list[tuple]] = {}
+    for (feature, rank), t in targets.items():
         if t.low < t.high:
-            slot = (t.feature, open_ranges.index((t.feature, t.low, t.high)))
+            slot = (feature, at[(feature, t.low, t.high)])
             wanted.setdefault(slot, []).append(t.rank)
-            keys.setdefault(slot, []).append(key)
-    located = _locate(per_value, wanted)
-    for slot, names in keys.items():
-        for key, t in zip(names, located[slot]):
-            values[key] = t.low
-    return values
+            owners.setdefault(slot, []).append((feature, rank))
+    return ranges, wanted, owners
+
+
+def _narrowed(long: DataFrame, targets: dict, bucket: Column, summary: list[Column]) -> dict:
+    ranges, wanted, owners = _open_ranges(long, targets)
+    if not ranges:
+        return targets
+    located = _locate(_in_ranges(long, ranges).groupBy("feature", "slot", bucket.alias("bucket")).agg(*summary), wanted)
+    return {**targets, **{owner: t for slot, names in owners.items() for owner, t in zip(names, located[slot])}}
+
+
+def _refine(long: DataFrame, targets: dict, summary: list[Column]) -> dict:
+    step = (F.col("high") - F.col("low")) / _LINEAR_STEPS
+    return _narrowed(long, targets, F.floor((F.col("value") - F.col("low")) / step), summary)
+
+
+def _resolve(long: DataFrame, targets: dict, summary: list[Column]) -> dict:
+    return {key: t.low for key, t in _narrowed(long, targets, F.col("value"), summary).items()}

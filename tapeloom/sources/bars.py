@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.positions import dense_positions
 
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume"]
 
 
-def daily_bars(trades: DataFrame, symbol: Column, time: Column, price: Column, size: Column, order: list[str]) -> DataFrame:
+#: Decimal digits that one order number can hold.
+ORDER_DIGITS = 38
+
+
+def order_number(order: list[tuple[str, int]]) -> Column:
+    """The integral order columns of a trade as one number, the first column counting most.
+
+    Each column comes with the digits it may need; a negative or longer value is an
+    error, never a wrong order.  One number keeps the aggregation buffers fixed in
+    size, so trades are reduced in a hash table without being sorted first.
+    """
+    if sum(digits for _, digits in order) > ORDER_DIGITS:
+        raise ValueError(f"order columns need more than {ORDER_DIGITS} digits")
+    parts = []
+    for name, digits in order:
+        text = F.col(name).cast("bigint").cast("string")
+        fits = (F.length(text) <= digits) & ~text.startswith("-")
+        parts.append(F.when(fits, F.lpad(text, digits, "0")).otherwise(F.raise_error(F.lit(f"{name} does not fit {digits} digits"))))
+    return F.concat(*parts).cast(f"decimal({ORDER_DIGITS},0)")
+
+
+def daily_bars(
+    trades: DataFrame, symbol: Column, time: Column, price: Column, size: Column, order: list[tuple[str, int]]
+) -> DataFrame:
     """One open/high/low/close/volume row per symbol and day.
 
-    ``order`` must totally order the trades of a day.  Every aggregate is partial,
-    so a day or symbol with a huge number of trades is reduced before the shuffle,
-    and the result is unique per ``(symbol, date)``.
+    ``order`` (see :func:`order_number`) must totally order the trades of a day.
+    Every aggregate is a partial hash aggregate, so a day or symbol with a huge
+    number of trades is reduced before the shuffle, and the result is unique per
+    ``(symbol, date)``.
     """
-    rank = F.struct(*order)
+    rank = F.col("__o")
     return (
-        trades.select(symbol.alias("symbol"), time.cast("date").alias("date"), price.alias("__p"), size.alias("__v"), *order)
+        trades.select(
+            symbol.alias("symbol"), time.cast("date").alias("date"), price.alias("__p"), size.alias("__v"), order_number(order).alias("__o")
+        )
         .groupBy("symbol", "date")
         .agg(
             F.min_by("__p", rank).alias("open"),
@@ -39,8 +65,8 @@ def normalise_bars(raw: DataFrame) -> DataFrame:
 
 def with_min_observations(bars: DataFrame, least: int = 100) -> DataFrame:
     """Rows of the symbols that have at least ``least`` rows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return bars.withColumn("__n", n).filter(F.col("__n") >= least).drop("__n")
+    enough = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least)
+    return bars.join(enough, "symbol", "left_semi")
 
 
 def collect_bars(frames: list[DataFrame], least: int = 100) -> DataFrame:

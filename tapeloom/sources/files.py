@@ -9,35 +9,43 @@ from .standardize import parse_date
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet, or CSV with a declared schema (no inference pass)."""
+    """Parquet, or CSV with a declared schema (no inference pass).
+
+    Fields may hold quotes (doubled) and line breaks.  A CSV file with line breaks
+    inside fields cannot be split, so convert it once (:func:`convert_news`).
+    """
     if schema is None:
         return spark.read.parquet(path)
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    return reader.option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """The table over at least as many partitions as there are cores.
+def convert_news(spark: SparkSession, csv_path: str, path: str) -> DataFrame:
+    """The raw news file as a Parquet table of ``date_text, date, symbol, headline``, every row of it.
 
-    Only a small input stored in few row groups is moved; a large one already has
-    more splits than that and is returned as it is.
+    A date that fits no layout stays as text beside a NULL date; see :func:`undated`.
     """
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() <= least else df
+    raw = read_table(spark, csv_path, RAW_NEWS)
+    require_columns(raw, ["Date", "Article_title", "Stock_symbol"])
+    news = raw.select(
+        F.col("Date").alias("date_text"), parse_date(F.col("Date")).alias("date"),
+        F.col("Stock_symbol").alias("symbol"), F.col("Article_title").alias("headline"),
+    )
+    news.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def undated(news: DataFrame) -> DataFrame:
+    """One row: how many rows have a date, and how many have a text that is none."""
+    return news.agg(F.count("date").alias("dated"), F.count_if(F.col("date").isNull()).alias("undated"))
 
 
 def read_news(spark: SparkSession, path: str, symbols: list[str] | None, start: str, end: str) -> DataFrame:
-    """Raw news file as ``article date, symbol, headline`` limited to a universe and a date range.
+    """A converted news table as ``date, symbol, headline`` limited to a universe and a date range.
 
-    File splits take the place of hand-made chunks; the symbol filter is pushed into the scan.
+    File splits take the place of hand-made chunks; both filters are pushed into the scan.
     """
-    raw = read_table(spark, path, RAW_NEWS)
-    require_columns(raw, ["Date", "Article_title", "Stock_symbol"])
-    news = raw.select(
-        parse_date(F.col("Date")).alias("date"),
-        F.col("Stock_symbol").alias("symbol"),
-        F.col("Article_title").alias("headline"),
-    )
-    return in_universe(news, symbols, start, end)
+    return in_universe(read_table(spark, path).select("date", "symbol", "headline"), symbols, start, end)
 
 
 def in_universe(df: DataFrame, symbols: list[str] | None, start: str, end: str) -> DataFrame:

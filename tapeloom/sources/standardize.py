@@ -11,7 +11,12 @@ from ..functions.text import clean_symbol, plain_text
 from .schemas import FORBIDDEN_NAME_CHARACTERS, NULL_TOKENS, SYNONYMS, require_columns
 
 #: Accepted date layouts, the first that parses wins.
-DATE_LAYOUTS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy"]
+DATE_LAYOUTS = [
+    "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy/M/d H:m:s", "yyyy/M/d", "M/d/yyyy H:m:s", "M/d/yyyy", "d/M/yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+]
+#: A zone behind a time, fractions of a second, and the T between date and time.
+ZONE, FRACTION, ISO_T = r"\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$", r"(:\d{2})[.,]\d+$", r"(\d)T(\d)"
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close"]
 
 
@@ -25,8 +30,15 @@ def standardize_names(df: DataFrame) -> DataFrame:
 
 
 def parse_date(x: Column) -> Column:
-    """Date of a string in any accepted layout, NULL when none fits."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(x), F.lit(p)) for p in DATE_LAYOUTS]).cast("date")
+    """Date of a string in any accepted layout, as it is written there; NULL when none fits.
+
+    The zone does not move the date.  A zone needs a time before it, so ``2020-06-05``
+    keeps its day.
+    """
+    text = F.trim(x)
+    timed = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ZONE, ""), FRACTION, "$1"), ISO_T, "$1 $2")
+    text = F.when(text.contains(":"), timed).otherwise(text)
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in DATE_LAYOUTS]).cast("date")
 
 
 def standardize_dates(df: DataFrame, column: str = "date") -> DataFrame:

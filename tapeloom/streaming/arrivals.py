@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import news
 from ..session import stage_path
+from ..sources.bars import order_number
 
 
 def file_stream(
@@ -41,18 +42,17 @@ def process_arrived(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame],
 def clean_arrived_articles(articles: DataFrame, out: str) -> DataFrame:
     """Gate and clean arriving articles chunk by chunk; returns the table written so far, copies removed."""
     process_arrived(articles, news.clean_articles, out, f"{out}-progress")
-    return news.distinct_articles(articles.sparkSession.read.parquet(out))
+    return news.distinct_articles(articles.sparkSession.read.parquet(out).drop("chunk"))
 
 
-def partial_bars(trades: DataFrame, order: list[str]) -> DataFrame:
+def partial_bars(trades: DataFrame, order: list[tuple[str, int]]) -> DataFrame:
     """Mergeable bars of one chunk: prices with the order keys that decide open and close.
 
     ``trades`` has ``symbol, date, price, size`` and the order columns.
     """
-    rank = F.struct(*order)
-    return trades.groupBy("symbol", "date").agg(
-        F.min(F.struct(rank.alias("rank"), F.col("price"))).alias("first"),
-        F.max(F.struct(rank.alias("rank"), F.col("price"))).alias("last"),
+    return trades.withColumn("__o", order_number(order)).groupBy("symbol", "date").agg(
+        F.min("__o").alias("first"), F.min_by("price", "__o").alias("open"),
+        F.max("__o").alias("last"), F.max_by("price", "__o").alias("close"),
         F.max("price").alias("high"), F.min("price").alias("low"), F.sum("size").alias("size"),
     )
 
@@ -60,12 +60,12 @@ def partial_bars(trades: DataFrame, order: list[str]) -> DataFrame:
 def merge_bars(partials: DataFrame) -> DataFrame:
     """Bars from the partial bars of any number of chunks."""
     return partials.groupBy("symbol", "date").agg(
-        F.min("first")["price"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max("last")["price"].alias("close"), F.sum("size").cast("bigint").alias("volume"),
+        F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "last").alias("close"), F.sum("size").cast("bigint").alias("volume"),
     )
 
 
-def bars_of_arrived(trades: DataFrame, order: list[str], out: str | None = None) -> DataFrame:
+def bars_of_arrived(trades: DataFrame, order: list[tuple[str, int]], out: str | None = None) -> DataFrame:
     """Daily bars of a trade stream, each chunk reduced before it is written."""
     out = out or stage_path(trades.sparkSession, "partial-bars")
     process_arrived(trades, lambda batch: partial_bars(batch, order), out, f"{out}-progress")

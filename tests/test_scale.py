@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import decay, indicators as ind, news, positions, skew
-from tapeloom.sources.bars import daily_bars, symbol_dimension
+from tapeloom.operators import decay, indicators as ind, news, positions
+from tapeloom.sources.bars import daily_bars, order_number, symbol_dimension
 
 from .conftest import SF_DIR
 
@@ -28,8 +28,7 @@ def test_quantiles_are_exact(spark, xs):
     assert got == pytest.approx(list(np.quantile(np.asarray(xs, dtype=float), probs)), rel=1e-12, abs=1e-300)
 
 
-def test_quantiles_refine_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(positions, "_REFINE_ABOVE", 3)
+def test_quantiles_refine_large_buckets(spark):
     xs = np.concatenate([np.full(400, 5.0), 5.0 + np.random.default_rng(1).random(600) * 1e-3])
     got = positions.exact_quantiles(values(spark, xs), ["x"], [0.1, 0.5, 0.9])["x"]
     assert got == pytest.approx(list(np.quantile(xs, [0.1, 0.5, 0.9])), rel=1e-12)
@@ -40,30 +39,31 @@ def test_quantiles_ignore_nulls_and_handle_empty_columns(spark):
     assert positions.exact_quantiles(df, ["x", "y"], [0.5]) == {"x": [2.0], "y": [None]}
 
 
-def test_average_ranks_with_a_value_on_a_third_of_the_rows(spark):
+def test_rank_correlation_with_a_pair_on_a_third_of_the_rows(spark):
     rng = np.random.default_rng(7)
-    pdf = pd.DataFrame({"feature": np.where(rng.random(3000) < 0.5, "a", "b"), "value": rng.normal(size=3000).round(3)})
-    pdf.loc[pdf.index % 3 == 0, "value"] = 0.0
-    got = positions.average_ranks(spark.createDataFrame(pdf)).toPandas().sort_values(["feature", "value"])
-    pdf["rank"] = pdf.groupby("feature")["value"].rank()
-    want = pdf.sort_values(["feature", "value"])
-    assert len(got) == len(want) and np.allclose(got["rank"], want["rank"])
+    pdf = pd.DataFrame({"feature": np.where(rng.random(3000) < 0.5, "a", "b"), "x": rng.normal(size=3000).round(2), "y": rng.normal(size=3000).round(2)})
+    pdf.loc[pdf.index % 3 == 0, ["x", "y"]] = 0.0
+    got = {r.feature: r for r in positions.spearman(spark.createDataFrame(pdf), ["feature"], "feature", "x", "y").collect()}
+    for name, part in pdf.groupby("feature"):
+        assert got[name].rows == len(part) and got[name].spearman == pytest.approx(part["x"].rank().corr(part["y"].rank()), abs=1e-12)
 
 
-def test_lookup_returns_every_row_once(spark):
-    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
-    dictionary = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
-    got = skew.lookup(rows, dictionary, ["k"], "n")
-    assert got.count() == 3000 and got.filter(F.col("v") != F.col("k") * 2).count() == 0
-    unknown = skew.lookup(rows, dictionary.filter("k > 10"), ["k"], "n")
-    assert unknown.count() == 3000
+def test_rank_correlation_is_one_short_plan(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 1.0)], "feature string, x double, y double")
+    assert plan_of(positions.spearman(df, ["feature"], "feature", "x", "y")).count("Exchange") < 15
 
 
-def test_lookup_keeps_rows_without_a_key(spark):
-    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), "id")
-    dictionary = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") + 1)
-    got = skew.lookup(rows, dictionary, ["k"], "n")
-    assert got.count() == 900 and got.filter("k IS NULL AND v IS NULL").count() == 300 and got.filter("v = k + 1").count() == 600
+def test_quantiles_ignore_nan_and_infinite(spark):
+    xs = [1.0, 2.0, 3.0, 4.0, float("nan"), float("inf"), float("-inf")]
+    assert positions.exact_quantiles(values(spark, xs), ["x"], [0.0, 0.5, 1.0])["x"] == [1.0, 2.5, 4.0]
+
+
+def test_quantiles_of_many_columns(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(300, 120)), columns=[f"c{i}" for i in range(120)])
+    probs = [i / 17 for i in range(18)]
+    got = positions.exact_quantiles(spark.createDataFrame(pdf), list(pdf.columns), probs)
+    assert all(got[c] == pytest.approx(list(np.quantile(pdf[c], probs)), rel=1e-12) for c in pdf)
 
 
 def test_bars_are_a_panel(spark):
@@ -91,11 +91,21 @@ def trades(spark, hot):
 
 
 def test_hot_symbol_is_reduced_before_the_shuffle(spark):
-    df = daily_bars(trades(spark, 20_000), F.col("s"), F.col("t"), F.col("p"), F.col("v"), ["id"])
+    df = daily_bars(trades(spark, 20_000), F.col("s"), F.col("t"), F.col("p"), F.col("v"), [("id", 18)])
     hot = df.filter(F.col("symbol") == "HOT").orderBy("date").collect()
     assert len(hot) == 5 and sum(r.volume for r in hot) == 20_000
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and plan.count("Exchange") == 1
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_an_order_key_that_does_not_fit_is_an_error(spark):
+    df = spark.createDataFrame([(12345,), (-1,)], "id long")
+    for bad in (df.filter("id > 0"), df.filter("id < 0")):
+        with pytest.raises(Exception, match="does not fit"):
+            bad.select(order_number([("id", 4)])).collect()
+    with pytest.raises(ValueError):
+        order_number([("id", 20), ("id", 20)])
 
 
 def test_copies_are_folded_before_the_shuffle(spark):
