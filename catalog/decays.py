@@ -73,14 +73,15 @@ def _(spark, sf):
 
 @query(
     "all_decay_features",
-    f"{_BASE}, late AS (SELECT * FROM daily WHERE symbol < 'S0050') SELECT m.symbol, m.date, "
+    f"{_BASE.replace('bars AS (', 'traded AS (', 1)}, bars AS (SELECT symbol, date FROM traded UNION ALL SELECT 'N' || symbol, date FROM traded) SELECT m.symbol, m.date, "
     + ", ".join(f"{rnd(e, _FINER.get(n, 6))} AS {n}" for n, e in {**_DECAY, **_DYNAMICS}.items())
-    + " " + _DYN_PAIRS.replace("FROM daily)", "FROM late)"),
+    + " " + _DYN_PAIRS,
 )
 def _(spark, sf):
-    """All decay columns when half of the symbols have no news at all."""
-    d = daily(spark, sf).filter(F.col("symbol") < "S0050")
-    return pick(decay.all_decay_features(bars(spark, sf).select(*KEY), d), KEY, [*_DECAY, *_DYNAMICS], 6, _FINER)
+    """All decay columns when half of the symbols have no news at all: each symbol has a twin that nobody writes about."""
+    traded = bars(spark, sf).select(*KEY)
+    market = traded.unionByName(traded.withColumn("symbol", F.concat(F.lit("N"), "symbol")))
+    return pick(decay.all_decay_features(market, daily(spark, sf)), KEY, [*_DECAY, *_DYNAMICS], 6, _FINER)
 
 
 @query(
@@ -93,7 +94,7 @@ def _(spark, sf):
 
 
 _WINDOWED = {
-    f"sentiment_decay_{h}d": f"CASE WHEN count(s.date) FILTER (s.date >= m.date - {back}) >= 2 THEN "
+    f"sentiment_decay_{h}d": f"CASE WHEN count(s.date) FILTER (s.date >= m.date - {back}) >= 3 THEN "
     + _decayed("s.sentiment_compound", rate, where=f"s.date >= m.date - {back}") + " ELSE 0 END"
     for h, (rate, back) in decay.WINDOWED.items()
 }
@@ -104,7 +105,7 @@ _WINDOWED = {
     f"{_BASE} SELECT m.symbol, m.date, " + ", ".join(f"{rnd(e)} AS {n}" for n, e in _WINDOWED.items()) + f" {_PAIRS}",
 )
 def _(spark, sf):
-    w = decay.windowed_decay(bars(spark, sf).select(*KEY), daily(spark, sf), least=2)
+    w = decay.windowed_decay(bars(spark, sf).select(*KEY), daily(spark, sf))
     return pick(w, KEY, list(_WINDOWED))
 
 

@@ -206,9 +206,14 @@ def _(spark, sf):
     return pick(summary.null_report(panel(spark, sf), [*FEATURES, "target_5"]), ["column", "nulls"], ["null_pct"])
 
 
-@query("duplicate_rows", "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS duplicate_rows FROM lineitem")
+_TWICE = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 40"
+
+
+@query("duplicate_rows", f"WITH t AS ({_TWICE}) SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_rows FROM t")
 def _(spark, sf):
-    return summary.duplicate_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    """Whole rows, some of which were loaded twice."""
+    lines = table(spark, sf, "lineitem")
+    return summary.duplicate_rows(lines.unionByName(lines.filter("l_quantity > 40")))
 
 
 @query("rows_per_symbol", f"WITH {CTE['bars']} SELECT symbol, count(*) AS rows FROM bars GROUP BY symbol")
@@ -436,13 +441,16 @@ def _(spark, sf):
 
 @query(
     "cross_source_check",
-    f"""WITH {CTE['bars']}, {CTE['daily']}, d AS (SELECT * FROM daily WHERE symbol < 'S0090')
+    f"""WITH {CTE['bars'].replace('bars AS (', 'traded AS (', 1)}, {CTE['daily']}, d AS (SELECT * FROM daily),
+    bars AS (SELECT * FROM traded UNION ALL SELECT * REPLACE ('N' || symbol AS symbol) FROM traded)
     SELECT CAST(0 AS BIGINT) AS null_values, {rnd('avg(CAST(confidence < 5e-1 AS DOUBLE))')} AS low_confidence_share, avg(CAST(confidence < 5e-1 AS DOUBLE)) > 3e-1 AS too_many_low_confidence,
     min(date) AS sentiment_first, max(date) AS sentiment_last, (SELECT min(date) FROM bars) AS market_first, (SELECT max(date) FROM bars) AS market_last,
     (SELECT count(DISTINCT symbol) FROM bars WHERE symbol NOT IN (SELECT symbol FROM d)) AS symbols_without_sentiment FROM d""",
 )
 def _(spark, sf):
-    c = quality.cross_source_check(bars(spark, sf), daily(spark, sf).filter(F.col("symbol") < "S0090"))
+    traded = bars(spark, sf)  # and twins that nobody writes about
+    market = traded.unionByName(traded.withColumn("symbol", F.concat(F.lit("N"), "symbol")))
+    c = quality.cross_source_check(market, daily(spark, sf))
     return pick(c, [x for x in c.columns if x != "low_confidence_share"], ["low_confidence_share"])
 
 

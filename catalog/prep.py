@@ -314,29 +314,29 @@ def _(spark, sf):
 
 
 
-def _target_corr(c: str) -> str:
-    return f"(SELECT abs(corr({c}, target_5)) FROM feats)"
+#: A column and its twin, which follows the target more closely; tests cover each branch of the rule.
+_TWINS = [("returns", "returns", "returns_up", "returns + target_5 / 10")]
 
 
 @query(
     "pruned_pairs",
-    f"""WITH {CTE['panel']}, feats AS (SELECT close AS close, close * 2 + 1 AS close_copy, returns, coalesce(returns, 0) + close / 1e12 AS returns_twin, volume, target_5 FROM panel WHERE split = 'train' AND returns IS NOT NULL),
-    pairs AS (SELECT 'close' AS "left", 'close_copy' AS "right", corr(close, close_copy) AS c FROM feats UNION ALL SELECT 'returns', 'returns_twin', corr(returns, returns_twin) FROM feats)
-    SELECT "left", "right", {rnd('c')} AS correlation,
-      CASE WHEN "left" = 'close' THEN CASE WHEN {_target_corr('close')} >= {_target_corr('close_copy')} THEN 'close_copy' ELSE 'close' END
-           ELSE CASE WHEN {_target_corr('returns')} >= {_target_corr('returns_twin')} THEN 'returns_twin' ELSE 'returns' END END IS NOT NULL AS decided FROM pairs""",
+    f"WITH {CTE['panel']}, feats AS (SELECT * FROM panel WHERE split = 'train' AND returns IS NOT NULL AND target_5 IS NOT NULL) "
+    + " UNION ALL ".join(
+        f"""SELECT '{a}' AS "left", '{b}' AS "right", {rnd(f'corr({x}, {y})')} AS correlation,
+        CASE WHEN abs(corr({x}, target_5)) >= abs(corr({y}, target_5)) THEN '{b}' ELSE '{a}' END AS removed FROM feats"""
+        for a, x, b, y in _TWINS
+    ),
 )
 def _(spark, sf):
-    """Near-duplicates are found and each pair loses exactly one feature."""
-    p = prepare.train_rows(panel(spark, sf)).filter(F.col("returns").isNotNull())
-    feats = p.select(
-        "close", (F.col("close") * 2 + 1).alias("close_copy"), "returns", (F.col("returns") + F.col("close") / 1e12).alias("returns_twin"), "volume", "target_5"
-    )
-    names = ["close", "close_copy", "returns", "returns_twin", "volume"]
+    """Near-duplicates are found and each pair loses the feature further from the target."""
+    p = prepare.train_rows(panel(spark, sf)).filter(F.col("returns").isNotNull() & F.col("target_5").isNotNull())
+    made = {name: F.expr(e).alias(name) for a, x, b, y in _TWINS for name, e in ((a, x), (b, y))}
+    feats = p.select(*made.values(), "volume", "target_5")
+    names = [*made, "volume"]
     d = selection.prune_decisions(
         selection.correlation_pairs(feats, names), selection.correlation_scores(feats, names, "target_5"), names, False
     )
-    return pick(d.withColumn("decided", F.col("removed").isNotNull()), ["left", "right", "decided"], ["correlation"])
+    return pick(d, ["left", "right", "removed"], ["correlation"])
 
 
 @query("pruned_features")
@@ -371,47 +371,91 @@ def _(spark, sf):
 
 # ---- sequences, scoring and models ----
 
-_L = 10
+_L = 60
+_STEPS = ["returns", "close", "volatility_20d"]
+
+
+def _contents(sequence: str = "sequence"):
+    """Per feature of a window: first and last value, and the sum weighted by place, which tells any two orders apart."""
+
+    def of(i: int):
+        def value(step):
+            return F.coalesce(step[i].cast("double"), F.lit(0.0))
+
+        placed = F.transform(sequence, lambda step, at: value(step) * (at + 1))
+        return value(F.get(sequence, F.lit(0))), value(F.element_at(sequence, -1)), F.aggregate(placed, F.lit(0.0), lambda x, y: x + y)
+
+    return {f"{f}_{part}": c for i, f in enumerate(_STEPS) for part, c in zip(("first", "last", "placed"), of(i))}
+
+
+def _contents_sql(place: str, last: str) -> str:
+    return ", ".join(
+        f"any_value({x}) FILTER ({place} = 1) AS {f}_first, any_value({x}) FILTER ({place} = {last}) AS {f}_last, sum({x} * ({place})) AS {f}_placed"
+        for f in _STEPS for x in [f"CAST(coalesce(b.{f}, 0) AS FLOAT)::DOUBLE"]
+    )
+
+
+_CONTENTS = [f"{f}_{part}" for f in _STEPS for part in ("first", "last", "placed")]
+_NUMBERED = f"WITH {CTE['panel']}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS m FROM panel)"
 
 
 @query(
     "training_windows",
-    f"""WITH {CTE['panel']}, n AS (SELECT symbol, date, returns AS x, target_5 AS y, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM panel),
-    w AS (SELECT a.symbol, a.date, any_value(a.y) AS y, count(b.k) AS rows, count(b.x) AS known, sum(CAST(b.x AS FLOAT)::DOUBLE) AS total, var_pop(CAST(b.x AS FLOAT)::DOUBLE) AS v
+    f"""{_NUMBERED},
+    w AS (SELECT a.symbol, a.date, any_value(a.target_5) AS y, count(b.k) AS steps, min(least({', '.join(f'CAST(b.{f} IS NOT NULL AS INTEGER)' for f in _STEPS)})) AS known,
+                 {', '.join(f'list(CAST(b.{f} AS FLOAT)::DOUBLE) AS l_{f}' for f in _STEPS)}, {_contents_sql(f'b.k - a.k + {_L} + 1', str(_L))}
           FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {_L} AND a.k - 1 GROUP BY a.symbol, a.date)
-    SELECT symbol, date, {rnd('CAST(y AS FLOAT)', 4)} AS label, {rnd('total', 4)} AS sequence_sum, rows AS steps FROM w
-    WHERE rows = {_L} AND known = {_L} AND y IS NOT NULL AND abs(y) < 5 AND v > 1e-8""",
+    SELECT symbol, date, steps, {rnd('CAST(y AS FLOAT)', 4)} AS label, {', '.join(f'{rnd(c, 3)} AS {c}' for c in _CONTENTS)} FROM w
+    WHERE steps = {_L} AND known = 1 AND y IS NOT NULL AND abs(y) < 5 AND list_var_pop({' || '.join(f'l_{f}' for f in _STEPS)}) > 1e-8""",
 )
 def _(spark, sf):
-    w = sequences.training_windows(panel(spark, sf), ["returns"], "target_5", _L)
-    total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return pick(
-        w.withColumns({"sequence_sum": total, "steps": F.size("sequence").cast("bigint")}), [*KEY, "steps"], ["label", "sequence_sum"], 4
-    )
+    w = sequences.training_windows(panel(spark, sf), _STEPS, "target_5", _L)
+    w = w.withColumns({**_contents(), "steps": F.size("sequence").cast("bigint")})
+    return pick(w, [*KEY, "steps"], ["label", *_CONTENTS], 3, {"label": 4})
 
 
 @query(
     "inference_windows",
-    f"""WITH {CTE['panel']}, n AS (SELECT symbol, date, coalesce(returns, 0) AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM panel)
-    SELECT a.symbol, a.date, {rnd('sum(CAST(b.x AS FLOAT)::DOUBLE)', 4)} AS sequence_sum FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {_L - 1} AND a.k
-    GROUP BY a.symbol, a.date HAVING count(*) = {_L}""",
+    f"""{_NUMBERED}
+    SELECT symbol, date, {', '.join(f'{rnd(c, 3)} AS {c}' for c in _CONTENTS)} FROM (
+      SELECT a.symbol, a.date, {_contents_sql(f'b.k - a.k + {_L}', str(_L))}
+      FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {_L - 1} AND a.k GROUP BY a.symbol, a.date HAVING count(*) = {_L})""",
 )
 def _(spark, sf):
-    w = sequences.inference_windows(panel(spark, sf), ["returns"], _L)
-    total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return pick(w.withColumn("sequence_sum", total), KEY, ["sequence_sum"], 4)
+    w = sequences.inference_windows(panel(spark, sf), _STEPS, _L)
+    return pick(w.withColumns(_contents()), KEY, _CONTENTS, 3)
 
 
-@query(
-    "encoder_decoder_windows",
-    f"""WITH {CTE['panel']}, n AS (SELECT symbol, date, target_5 AS y, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS m,
-      avg(target_5) OVER (PARTITION BY symbol) AS target_center FROM panel WHERE target_5 IS NOT NULL)
-    SELECT symbol, date, least(k, 9) AS encoder_rows, least(m - k, 5) AS decoder_rows, {rnd('target_center')} AS target_center FROM n WHERE least(k, 9) >= 3 AND m - k >= 3""",
-)
+def _decoder_sql(encoder: int, horizon: int) -> str:
+    return f"""{_NUMBERED},
+    fit AS (SELECT symbol, avg(target_5) AS target_center, stddev_samp(target_5) AS target_scale FROM panel WHERE split = 'train' GROUP BY symbol),
+    d AS (SELECT a.symbol, a.date, count(*) AS decoder_rows, count(b.target_5) AS known_targets, coalesce(sum(CAST((b.target_5 - target_center) / target_scale AS FLOAT)::DOUBLE * (b.k - a.k)), 0) AS decoder_placed
+          FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k + 1 AND a.k + {horizon} LEFT JOIN fit ON fit.symbol = a.symbol GROUP BY a.symbol, a.date)
+    SELECT n.symbol, n.date, least(k, {encoder}) AS encoder_rows, decoder_rows, known_targets, {rnd('target_center')} AS target_center, {rnd('decoder_placed', 2)} AS decoder_placed
+    FROM n JOIN d USING (symbol, date) LEFT JOIN fit ON fit.symbol = n.symbol WHERE k >= {encoder} // 3 AND decoder_rows >= 3"""
+
+
+def _decoders(spark, sf, encoder: int, horizon: int):
+    w = sequences.encoder_decoder_windows(panel(spark, sf), ["returns", "volume"], "target_5", encoder, horizon)
+    placed = F.transform("decoder", lambda y, at: F.coalesce(y.cast("double"), F.lit(0.0)) * (at + 1))
+    w = w.withColumns({
+        "encoder_rows": F.size("encoder").cast("bigint"), "decoder_rows": F.size("decoder").cast("bigint"),
+        "known_targets": F.size(F.filter("decoder", lambda y: y.isNotNull())).cast("bigint"),
+        "decoder_placed": F.aggregate(placed, F.lit(0.0), lambda a, b: a + b),
+    })
+    return pick(w, [*KEY, "encoder_rows", "decoder_rows", "known_targets"], ["target_center", "decoder_placed"], 6, {"decoder_placed": 2})
+
+
+@query("encoder_decoder_windows", _decoder_sql(80, 16))
+def _(spark, sf):
+    """Windows of the forecasting model, unknown targets in their places."""
+    return _decoders(spark, sf, 80, 16)
+
+
+@query("long_encoder_decoder_windows", _decoder_sql(90, 18))
 def _(spark, sf):
-    w = sequences.encoder_decoder_windows(panel(spark, sf).filter(F.col("target_5").isNotNull()), ["returns", "volume"], "target_5", 9, 5)
-    sizes = w.withColumns({"encoder_rows": F.size("encoder").cast("bigint"), "decoder_rows": F.size("decoder").cast("bigint")})
-    return pick(sizes, [*KEY, "encoder_rows", "decoder_rows"], ["target_center"])
+    """Windows of the enhanced model."""
+    return _decoders(spark, sf, 90, 18)
 
 
 def _load_mean():

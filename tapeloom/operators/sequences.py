@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.numeric import finite
+from ..functions.numeric import finite, total
 from .windows import series, whole
 
 # ---- fixed values: lengths and sequence checks ----
@@ -28,13 +28,19 @@ def _steps(features: list[str], rows: tuple[int, int], fill: bool) -> Column:
     return F.collect_list(F.array(*[v.cast("float") for v in values])).over(series().rowsBetween(*rows))
 
 
-def _usable(sequence: Column) -> Column:
-    """All values present and their variance over the whole window above the limit."""
-    flat = F.flatten(sequence)
-    n = F.size(flat)
-    mean = F.aggregate(flat, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
-    squares = F.aggregate(flat, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - mean, 2.0))
-    return F.forall(flat, lambda x: x.isNotNull()) & (squares / n > LEAST_VARIANCE)
+def _usable(features: list[str], frame: tuple[int, int]) -> Column:
+    """All values of the frame present and their variance over all of them above the limit.
+
+    The variance of rows and columns together is the mean of the variances inside
+    the rows plus the variance of the rows' means, so one number per row and plain
+    rolling aggregates are enough.
+    """
+    values = [finite(f).cast("float").cast("double") for f in features]
+    mean = total(values) / len(values)
+    inside = total([F.pow(v - mean, 2.0) for v in values]) / len(values)
+    over = series().rowsBetween(*frame)
+    complete = F.count(mean).over(over) == F.count(F.lit(1)).over(over)
+    return complete & (F.avg(inside).over(over) + F.var_pop(mean).over(over) > LEAST_VARIANCE)
 
 
 def training_windows(df: DataFrame, features: list[str], target: str, rows: int = SEQUENCE_ROWS) -> DataFrame:
@@ -44,11 +50,10 @@ def training_windows(df: DataFrame, features: list[str], target: str, rows: int
     meant to be streamed into training or written, never cached.
     """
     slim = df.select("symbol", "date", *features, target)
-    label = finite(target)
+    label, frame = finite(target), (-rows, -1)
     return (
-        slim.withColumn("sequence", _steps(features, (-rows, -1), fill=False))
-        .filter((F.size("sequence") == rows) & label.isNotNull() & (F.abs(label) < LARGEST_LABEL))
-        .filter(_usable(F.col("sequence")))
+        slim.withColumns({"sequence": _steps(features, frame, fill=False), "__usable": _usable(features, frame)})
+        .filter((F.size("sequence") == rows) & label.isNotNull() & (F.abs(label) < LARGEST_LABEL) & F.col("__usable"))
         .select("symbol", "date", "sequence", label.cast("float").alias("label"))
     )
 
@@ -68,13 +73,18 @@ def encoder_decoder_windows(
 ) -> DataFrame:
     """Past features and future targets around each row, targets normalised per symbol.
 
-    Encoders run from a third of ``encoder`` rows up, decoders from 3 rows up.
+    Encoders run from a third of ``encoder`` rows up, decoders from 3 rows up.  An
+    unknown future target is a NULL at its place in the decoder.  With a ``split``
+    column mean and deviation come from the symbol's training rows alone.
     """
-    slim = df.select("symbol", "date", *features, target)
-    center, spread = F.avg(target).over(whole()), F.stddev_samp(target).over(whole())
+    fitted = F.when(F.col("split") == "train", F.col(target)) if "split" in df.columns else F.col(target)
+    df = df.withColumn("__fitted", fitted)
+    slim = df.select("symbol", "date", *features, target, "__fitted")
+    center, spread = F.avg("__fitted").over(whole()), F.stddev_samp("__fitted").over(whole())
     scaled = (F.col(target) - center) / F.coalesce(F.nullif(spread, F.lit(0.0)), F.lit(1.0))
     slim = slim.withColumns({"__y": scaled, "target_center": center, "target_scale": spread})
-    future = F.collect_list(F.col("__y").cast("float")).over(series().rowsBetween(1, horizon))
+    steps = F.collect_list(F.struct(F.col("__y").cast("float").alias("y"))).over(series().rowsBetween(1, horizon))
+    future = F.transform(steps, lambda s: s["y"])
     return (
         slim.withColumns({"encoder": _steps(features, (-(encoder - 1), 0), fill=True), "decoder": future})
         .filter((F.size("encoder") >= encoder // 3) & (F.size("decoder") >= LEAST_HORIZON_ROWS))

@@ -11,8 +11,10 @@ TRAIN_END_PCT, VAL_END_PCT = 70, 90
 def _date_cut(dates: DataFrame, percents: list[int]) -> Column:
     """Array of the last date inside each percentage of the distinct dates.
 
-    The one-task window runs over distinct calendar days only.
+    The one-task window runs over distinct calendar days only, whatever type the
+    column has.
     """
+    dates = dates.select(F.col("date").cast("date").alias("date")).distinct()
     w = Window.orderBy("date")
     ranked = dates.withColumns(
         {"__rank": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy())}
@@ -25,8 +27,8 @@ def _date_cut(dates: DataFrame, percents: list[int]) -> Column:
 
 def temporal_split(df: DataFrame, train_end: int = TRAIN_END_PCT, val_end: int = VAL_END_PCT) -> DataFrame:
     """Adds ``split``: train, val or test by position of the date among the distinct dates."""
-    cuts = _date_cut(df.select("date").distinct(), [train_end, val_end])
-    day = F.col("date")
+    cuts = _date_cut(df, [train_end, val_end])
+    day = F.col("date").cast("date")
     label = F.when(day <= F.get(cuts, F.lit(0)), "train").when(day <= F.get(cuts, F.lit(1)), "val").otherwise("test")
     return df.withColumn("split", label)
 
@@ -36,7 +38,7 @@ def split_at_date(df: DataFrame, first_validation: str | None, fallback_pct: int
     if first_validation is not None:
         before = F.col("date") < F.lit(first_validation).cast("date")
     else:
-        before = F.col("date") <= F.get(_date_cut(df.select("date").distinct(), [fallback_pct]), F.lit(0))
+        before = F.col("date").cast("date") <= F.get(_date_cut(df, [fallback_pct]), F.lit(0))
     return df.withColumn("split", F.when(before, "train").otherwise("val"))
 
 

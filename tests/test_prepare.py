@@ -155,3 +155,31 @@ def test_news_flow_ends_in_one_row_per_symbol_and_day(spark):
 
     out = market_news.news_sentiment(articles(spark, SF_DIR), DICTIONARY).cache()
     assert out.count() == out.select("symbol", "date").distinct().count() > 0
+
+
+def test_each_branch_of_pruning(spark):
+    """Protected features, sentiment features and plain ones, on both sides of every limit."""
+    pairs = [
+        ("close", "open", 0.996), ("close", "open", 0.994),  # both protected
+        ("close", "x", 0.995), ("x", "close", 0.995), ("close", "x", 0.989), ("close", "strong", 0.9995), ("close", "x", 0.9995),  # one
+        ("sentiment_decay_a", "sentiment_decay_b", 0.985), ("sentiment_decay_a", "sentiment_decay_b", 0.979),  # both sentiment
+        ("sentiment_decay_a", "x", 0.976), ("sentiment_decay_a", "strong", 0.976), ("strong", "sentiment_decay_a", -0.976),  # mixed
+        ("x", "strong", 0.971), ("x", "strong", 0.969),  # plain
+    ]
+    score = {"close": 0.5, "open": 0.4, "x": 0.31, "strong": 0.6, "sentiment_decay_a": 0.3, "sentiment_decay_b": 0.2}
+    want = [
+        "open", "-", "x", "x", "-", "close", "x", "sentiment_decay_b", "-", "x", "sentiment_decay_a", "sentiment_decay_a", "x", "-",
+    ]
+    scores = spark.createDataFrame(list(score.items()), "feature string, score double")
+    for (left, right, c), victim in zip(pairs, want):
+        rows = spark.createDataFrame([(left, right, c)], "left string, right string, correlation double")
+        got = selection.prune_decisions(rows, scores, list(score), False).collect()
+        assert [r.removed for r in got if r.removed] == ([] if victim == "-" else [victim]), (left, right, c)
+
+
+def test_unknown_targets_keep_their_place_in_the_horizon(spark):
+    rows = [("A", i, float(i), None if i == 4 else float(i), "train" if i < 5 else "test") for i in range(9)]
+    df = spark.createDataFrame(rows, "symbol string, n int, x double, y double, split string").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("n")))
+    w = sequences.encoder_decoder_windows(df, ["x"], "y", 3, 4).orderBy("date").collect()
+    assert w[2].target_center == 1.5  # 0, 1, 2, 3: training rows with a target
+    assert [v is None for v in w[2].decoder] == [False, True, False, False] and len(w[2].decoder) == 4
