@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import evaluate_once, text
-from ..session import durable
+from ..session import written
 from .positions import exact_quantiles
 
 # ---- fixed values: confidence limits and class bounds ----
@@ -121,12 +121,12 @@ def adaptive_threshold(scored: DataFrame, adaptive: bool = True) -> float:
     """Confidence limit that keeps at least 70 % of the articles.
 
     One aggregate gives mean and deviation, a second the share kept; only if that
-    share is too small is the exact 30th percentile located.  The confidence column
-    is written once, so the scorer does not run again for each of these passes.
+    share is too small is the exact 30th percentile located.  That makes several
+    passes: pass written scores, as :func:`filter_confidence` does.
     """
     if not adaptive:
         return BASE_CONFIDENCE
-    scored = durable(scored.select("confidence"))
+    scored = scored.select("confidence")
     m = scored.agg(F.avg("confidence").alias("mu"), F.stddev_pop("confidence").alias("sd")).first()
     if m.mu is None:
         return BASE_CONFIDENCE
@@ -138,6 +138,8 @@ def adaptive_threshold(scored: DataFrame, adaptive: bool = True) -> float:
 
 
 def filter_confidence(scored: DataFrame, adaptive: bool = True) -> DataFrame:
+    """Articles at or above the confidence limit; scores are written once, so the scorer runs once per article."""
+    scored = written(scored, "scores") if adaptive else scored
     return scored.filter(F.col("confidence") >= adaptive_threshold(scored, adaptive))
 
 

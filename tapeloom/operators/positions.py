@@ -125,7 +125,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     2**-22 part of a bucket per rank).  Each pass is a
     map-side aggregate; the driver sees a handful of bucket bounds and values.
 
-    The input is read three times: pass a table or a ``durable`` frame when
+    The input is read three times: pass a table or a ``written`` one when
     its columns are costly to derive.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")

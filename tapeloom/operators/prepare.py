@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import clip
-from ..session import durable
+from ..session import written
 from .positions import exact_quantiles
 from .windows import running
 
@@ -27,7 +27,7 @@ def train_rows(df: DataFrame) -> DataFrame:
 
 def _train_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of the training rows; the columns are derived once and written."""
-    return exact_quantiles(durable(train_rows(df).select(*columns)), columns, probs)
+    return exact_quantiles(written(train_rows(df).select(*columns)), columns, probs)
 
 
 # filters on rows and columns

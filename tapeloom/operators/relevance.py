@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import evaluate_once
+from ..session import written
 
 # ---- fixed values: evidence weights, caps, bands and context words ----
 NAME_WEIGHT, EXECUTIVE_NAME_WEIGHT = 0.6, 0.5
@@ -212,10 +213,11 @@ def fan_out(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
 def validate_articles(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Relevant articles, or all of them when fewer than half would survive.
 
-    The retention guard is a scalar subquery over one aggregate, so both branches
-    are one lazy plan; rows that only stay because of the guard have no relevance.
+    Scored articles are written once; the retention guard, a scalar subquery over
+    one aggregate, and the result read them from there.  Rows that only stay
+    because of the guard have no relevance.
     """
-    scored = score_relevance(articles, dictionary)
+    scored = written(score_relevance(articles, dictionary), "relevance")
     retained = scored.agg(F.avg(F.col("is_relevant").cast("double"))).scalar()
     guard = F.coalesce(retained < LEAST_RETENTION, F.lit(True))
     return (

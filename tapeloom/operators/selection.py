@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import durable
+from ..session import written
 from . import registry
 from .positions import exact_quantiles
 from .prepare import train_rows
@@ -47,7 +47,7 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     Joint counts per feature have ``bins * bins`` cells and are summed on the map
     side; marginals are windows over those cells.
     """
-    train = durable(train_rows(df).select(target, *features).dropna(subset=[target]))
+    train = written(train_rows(df).select(target, *features).dropna(subset=[target]))
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(train, [target, *features], probs)
 

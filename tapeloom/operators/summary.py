@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable
+from ..session import written
 from . import registry
 from .positions import exact_quantiles
 from .windows import whole
@@ -47,7 +47,7 @@ def rows_per_symbol(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum per column."""
-    numbers = durable(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    numbers = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     quartiles = exact_quantiles(numbers, columns, [0.25, 0.5, 0.75])
     long = numbers.unpivot([], columns, "column", "value")
     stats = long.groupBy("column").agg(

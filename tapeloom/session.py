@@ -65,6 +65,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it from there.
+
+    Like :func:`durable`, but later reads take only the columns and rows they need.
+    """
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for a written stage."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,7 +1,9 @@
 """Cleaning, relevance and aggregation against plain Python on small fixtures."""
 
 import re
+from datetime import date
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tapeloom.functions import text
 from tapeloom.operators import news, relevance as rel
 from tapeloom.sources import schemas, standardize
 
+from .conftest import day
+
 DICTIONARY = {
     "ACME": {
         "names": ["acme corp", "jane doe"], "products": ["rocket", "anvil", "skates", "glue"], "executives": ["jane doe", "rob roe"],
@@ -157,3 +161,39 @@ def test_clean_names(spark):
 
 def test_spam_list_is_lower_case():
     assert all(p == p.lower() and re.sub(r"\s+", " ", p) == p for p in text.SPAM_PHRASES)
+
+
+def test_each_article_is_cleaned_and_scored_once(spark):
+    from tapeloom.plans.market_news import news_sentiment
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def predict(texts):
+            seen.add(len(texts))
+            return pd.DataFrame({"positive": 0.8, "neutral": 0.1, "negative": 0.1}, index=texts.index)
+
+        return predict
+
+    rows = [(i, "A", day(i % 3), f"Acme reports strong quarterly results number {i} today") for i in range(40)]
+    articles = spark.createDataFrame(rows, "article_id bigint, symbol string, date date, headline string")
+    daily = news_sentiment(articles, {"A": {"names": ["acme"]}}, lambda a: news.score_with_model(a, load))
+    assert sum(r.article_count for r in daily.collect()) == 40 and seen.value == 40
+
+
+def test_every_accepted_date_layout(spark):
+    from tapeloom.sources.standardize import parse_date
+
+    same = [
+        "2020-06-05 06:30:54 UTC", "2020-06-05T06:30:54Z", "2020-06-05T06:30:54.123+00:00", "2020-06-05 06:30:54-0400", "2020-06-05", "2020/06/05",
+        "06/05/2020", "6/5/2020", "Jun 5, 2020", "June 5, 2020", "5 Jun 2020", " 2020-06-05 06:30 ",
+    ]
+    got = spark.createDataFrame([(x,) for x in [*same, "25/12/2020", "some day", None]], "x string").select(parse_date(F.col("x")).alias("d")).collect()
+    assert {r.d for r in got[: len(same)]} == {date(2020, 6, 5)}
+    assert [r.d for r in got[len(same) :]] == [date(2020, 12, 25), None, None]
+
+
+def test_distinct_articles_keep_the_whole_row(spark):
+    rows = [(2, "A", "d", "h", "second"), (1, "A", "d", "h", "first"), (1, "A", "d", "h", "first"), (3, None, "d", "h", "no symbol"), (4, None, "d", "h", "later")]
+    df = spark.createDataFrame(rows, "article_id bigint, symbol string, date string, headline string, url string")
+    assert sorted(r.url for r in news.distinct_articles(df).collect()) == ["first", "no symbol"]
