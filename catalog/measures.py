@@ -99,6 +99,20 @@ def _(spark, sf):
     return pick(metrics.overfit_gaps(m, ["model"]), ["model", "overfit"], ["mda_gap", "rmse_gap", "r2_gap"], 5)
 
 
+@query(
+    "expected_ranking",
+    f"WITH {CTE['forecast']}, m AS ({_metric_sql('split')}) "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS metric, (SELECT {n} FROM m WHERE split = 'train') {o} (SELECT {n} FROM m WHERE split = 'val') AND (SELECT {n} FROM m WHERE split = 'val') {o} (SELECT {n} FROM m WHERE split = 'test') AS as_expected"
+        for n, o in (("rmse", "<"), ("mae", "<"), ("r2", ">"), ("directional_accuracy", ">"))
+    ),
+)
+def _(spark, sf):
+    """Whether each metric is best on training rows and worst on test rows."""
+    r = metrics.rank_models(metrics.forecast_metrics(forecast(spark, sf), ["split"]), "split", ["rmse", "mae", "r2", "directional_accuracy"])
+    return metrics.expected_order(r, "split", ["train", "val", "test"])
+
+
 @query(
     "model_ranking",
     f"WITH {CTE['forecast']}, m AS ({_metric_sql('split')}) "

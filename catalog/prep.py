@@ -304,6 +304,17 @@ def _(spark, sf):
     return pick(pairs, ["left", "right"], ["correlation"])
 
 
+@query(
+    "near_identical_features",
+    f"WITH {_CORR_CTE}, pairs AS (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", corr({a}, {b}) AS c FROM complete" for a, b in _PAIRS)
+    + f") SELECT \"left\", \"right\", {rnd('c')} AS correlation FROM pairs WHERE abs(c) > 8e-1",
+)
+def _(spark, sf):
+    """Feature pairs that say nearly the same; daily prices of few trades do."""
+    pairs = selection.correlation_pairs(prepare.train_rows(correlated(spark, sf)), _PAIRED)
+    return pick(selection.near_identical(pairs, 0.8), ["left", "right"], ["correlation"])
+
+
 @query(
     "pairwise_correlations",
     f"WITH {CTE['panel']} " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", 'target_5' AS \"right\", {rnd(f'corr({a}, target_5)')} AS correlation FROM panel" for a in FEATURES),

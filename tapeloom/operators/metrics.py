@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -142,6 +143,18 @@ def rank_models(metrics: DataFrame, model: str, names: list[str], lower: list[st
     return long.withColumn("rank", F.rank().over(Window.partitionBy("metric").orderBy(better)))
 
 
+def expected_order(ranking: DataFrame, model: str, order: list[str]) -> DataFrame:
+    """Per metric of :func:`rank_models`: whether the listed models, expected best first, come strictly in that order.
+
+    A metric that lacks one of the models is left out.
+    """
+    place = {name: F.max(F.when(F.col(model) == name, F.col("rank"))) for name in order}
+    wide = ranking.groupBy("metric").agg(*[c.alias(f"__{i}") for i, c in enumerate(place.values())])
+    known = reduce(lambda a, b: a & b, [F.col(f"__{i}").isNotNull() for i in range(len(order))])
+    holds = reduce(lambda a, b: a & b, [F.col(f"__{i}") < F.col(f"__{i + 1}") for i in range(len(order) - 1)], F.lit(True))
+    return wide.filter(known).select("metric", holds.alias("as_expected"))
+
+
 def max_drawdown(df: DataFrame, column: str, kind: str = "returns", by: str = "symbol", order: str = "date") -> DataFrame:
     """Largest fall of the compounded series from its running peak, per group.
 

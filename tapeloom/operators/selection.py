@@ -16,6 +16,7 @@ from .prepare import train_rows
 # ---- fixed values: selection sizes and pruning thresholds ----
 K_BASELINE, K_ENHANCED = 80, 120
 PROTECTED_LIMIT, SENTIMENT_LIMIT, MIXED_LIMIT, TECHNICAL_LIMIT = 0.99, 0.98, 0.975, 0.97
+NEAR_IDENTICAL = 0.95
 BOTH_PROTECTED_LIMIT, PERFECT_LIMIT, SENTIMENT_ALLOWANCE = 0.995, 0.999, 0.03
 # ---- end of fixed values ----
 
@@ -106,6 +107,11 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "left string, right string, correlation double")
 
 
+def near_identical(pairs: DataFrame, limit: float = NEAR_IDENTICAL) -> DataFrame:
+    """Pairs of :func:`correlation_pairs` whose absolute correlation is above the limit."""
+    return pairs.filter(F.abs("correlation") > limit)
+
+
 def pairwise_correlations(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """Correlation over the rows where both columns are present, for listed pairs, in one aggregate."""
     listed = list(pairs)
