@@ -100,18 +100,21 @@ def ewm_mean(
     """Recursive exponential means ``y = (1-a) y' + a x`` started at the first value.
 
     ``specs`` maps an output name to ``(column, alpha, least number of values)``.
-    Leading NULLs are skipped; the series is expected dense from its first value.
+    NULLs are skipped: time advances with the values of a column, and a row without
+    one keeps the mean of the row before it.
     """
     inputs = dict.fromkeys(c for c, _, _ in specs.values())
-    seen = {f"__seen_{c}": F.count(c).over(running(key, order)) for c in inputs}
-    df = df.withColumns({"__row": F.row_number().over(series(key, order)), **seen})
-    terms = {}
-    for n, (c, alpha, _) in specs.items():
-        first = F.when(F.col(f"__seen_{c}") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-        terms[n] = (F.col(c) * first, -math.log(1.0 - alpha))
-    df = exp_scan(df, terms, F.col("__row"), key)
-    full = {n: F.when(F.col(f"__seen_{c}") >= need, F.col(n)) for n, (c, _, need) in specs.items()}
-    return df.withColumns(full).drop("__row", *seen)
+    seen = {c: f"__seen_{c}" for c in inputs}
+    df = df.withColumns({name: F.count(c).over(running(key, order)) for c, name in seen.items()})
+    for c in inputs:
+        first = F.col(seen[c]) == 1
+        terms = {
+            n: (F.col(c) * F.when(first, F.lit(1.0)).otherwise(F.lit(alpha)), -math.log(1.0 - alpha))
+            for n, (of, alpha, _) in specs.items() if of == c
+        }
+        df = exp_scan(df, terms, F.col(seen[c]), key)
+    full = {n: F.when(F.col(seen[c]) >= need, F.col(n)) for n, (c, _, need) in specs.items()}
+    return df.withColumns(full).drop(*seen.values())
 
 
 def asof_attach(

@@ -167,3 +167,12 @@ def test_combined_indicators_equal_the_single_ones(spark):
         for k in ind.LAG_STEPS:
             want = whole.groupby("symbol")[c].shift(k).astype(float)
             pd.testing.assert_series_equal(whole[f"{c}_lag_{k}"].astype(float), want, check_names=False)
+
+
+def test_a_gap_keeps_the_exponential_mean(spark):
+    from tapeloom.operators.windows import ewm_mean
+
+    xs = [None, 1.0, 1.0, None, 1.0, 4.0, None, None, 2.0]
+    df = spark.createDataFrame([("A", day(i), x) for i, x in enumerate(xs)], "symbol string, date date, x double")
+    got = column(ewm_mean(df, {"m": ("x", 0.5, 1)}), "m")
+    assert got == [None] + [pytest.approx(v) for v in (1, 1, 1, 1, 2.5, 2.5, 2.5, 2.25)]
