@@ -28,14 +28,22 @@ RULES: list[tuple[str, str, str, list[int]]] = [
 ]
 
 
-def _windows(words: Column, size: int = 8) -> Column:
-    """One value per ``size`` (a power of two) words in a row, by doubling."""
-    values, held = F.transform(words, lambda w: F.xxhash64(w)), 1
+def _with_windows(t: DataFrame, size: int = 8) -> DataFrame:
+    """``_windows``: one value per ``size`` (a power of two) words of ``_words`` in a row, by doubling.
+
+    Texts without an equal pair of half windows have no equal windows; their last step is left out (null).  Every step is a
+    column of its own, because an expression that refers to it several times would evaluate it as often.
+    """
+    t, held = t.withColumn("_w1", F.transform("_words", lambda w: F.xxhash64(w))), 1
     while held < size:
+        values = F.col(f"_w{held}")
         n = F.greatest(F.size(values) - held, F.lit(0))
-        values = F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(held + 1), n), lambda a, b: F.xxhash64(a, b))
+        pairs = F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(held + 1), n), lambda a, b: F.xxhash64(a, b))
         held *= 2
-    return values
+        if held == size:
+            pairs = F.when(F.size(F.array_distinct(values)) < F.size(values), pairs)
+        t = t.withColumn(f"_w{held}", pairs)
+    return t.withColumnRenamed(f"_w{size}", "_windows")
 
 
 def _covered(windows: Column, size: int = 8) -> Column:
@@ -55,13 +63,13 @@ def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     t = t.withColumn("_plain", F.translate("_text", SPACES, " " * len(SPACES)))
     t = t.withColumn("_words", F.array_remove(F.split("_plain", " "), ""))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    t = t.select(
+    t = _with_windows(t).select(
         *keep, F.size("_words").cast("long").alias("n_words"),
         F.length(F.replace("_plain", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("_lines"), _windows(F.col("_words")).alias("_windows"),
+        lines.alias("_lines"), "_windows",
     )
-    t = t.withColumn("_repeats", F.size(F.array_distinct("_windows")) < F.size("_windows"))
+    t = t.withColumn("_repeats", F.coalesce(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.lit(False)))
     return t.select(
         *keep, "n_words", "word_chars", "n_symbols", F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
