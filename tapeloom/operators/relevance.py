@@ -7,7 +7,7 @@ negative_keywords``.  Terms are lower-case and matched as substrings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import evaluate_once
 from ..session import written
@@ -32,10 +32,28 @@ LEAST_RETENTION = 0.5
 CATEGORIES = ["names", "products", "executives", "aliases", "sector_keywords", "negative_keywords"]
 Dictionary = dict[str, dict[str, list[str]]]
 
-#: A dictionary is part of the plan, so its size is checked.
+#: Detection holds the whole dictionary in the plan, so its size is checked there; scoring joins it and has no limit.
 MOST_TERMS = 50_000
 
 
+def company_table(spark: SparkSession, dictionary: Dictionary | DataFrame) -> DataFrame:
+    """One row per symbol with its terms per category, in order, and a weight per name.
+
+    ``dictionary`` is a literal one or a table ``(symbol, category, term, ord)`` of any size.
+    """
+    if isinstance(dictionary, DataFrame):
+        entry = {c: F.when(F.col("category") == c, F.struct("ord", "term")) for c in CATEGORIES}
+        lists = dictionary.groupBy("symbol").agg(*[F.array_sort(F.collect_list(e)).alias(c) for c, e in entry.items()])
+        table = lists.select("symbol", *[F.transform(c, lambda x: x["term"]).alias(c) for c in CATEGORIES])
+    else:
+        rows = [(s, *[info.get(c, []) for c in CATEGORIES]) for s, info in dictionary.items()]
+        table = spark.createDataFrame(rows, "symbol string, " + ", ".join(f"{c} array<string>" for c in CATEGORIES))
+    weight = lambda name: F.when(
+        F.exists("executives", lambda e: name.contains(e)), EXECUTIVE_NAME_WEIGHT
+    ).otherwise(NAME_WEIGHT)
+    return table.withColumn("name_weights", F.transform("names", weight))
+
+
 def dictionary_from_terms(terms: DataFrame) -> Dictionary:
     """Dictionary from a small table ``(symbol, category, term, ord)``; its size is checked first."""
     rows = terms.orderBy("symbol", "category", "ord").limit(MOST_TERMS + 1).collect()
@@ -150,16 +168,19 @@ def _verdicts(headline: Column, companies: Column) -> Column:
     return F.transform(scored, _verdict)
 
 
-def score_relevance(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
+def score_relevance(articles: DataFrame, dictionary: Dictionary | DataFrame) -> DataFrame:
     """Adds ``is_relevant, relevance_confidence, validation_reason`` for the assigned symbol.
 
-    The entry of the symbol is picked from a literal array, so rows are neither
-    joined nor moved.  Symbols outside the dictionary are accepted at 0.5.
+    The symbol's entry comes by an equi-join with one row per symbol, which the
+    planner broadcasts when it is small.  Symbols outside the dictionary are
+    accepted at 0.5.
     """
-    own = F.filter(_companies(dictionary), lambda c: c["symbol"] == F.col("symbol"))
-    verdict = F.get(_verdicts(F.col("headline"), own), F.lit(0))
+    entries = company_table(articles.sparkSession, dictionary)
+    entries = entries.select(F.col("symbol").alias("__of"), F.struct("*").alias("__company"))
+    joined = articles.join(entries, F.col("symbol") == F.col("__of"), "left").drop("__of")
+    verdict = F.get(_verdicts(F.col("headline"), F.array("__company")), F.lit(0))
     return (
-        evaluate_once(articles, "__v", verdict)
+        evaluate_once(joined, "__v", F.when(F.col("__company").isNotNull(), verdict))
         .withColumns(
             {
                 "is_relevant": F.coalesce(F.col("__v.accepted"), F.lit(True)),
@@ -167,7 +188,7 @@ def score_relevance(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
                 "validation_reason": F.coalesce(F.col("__v.reason"), F.lit("ticker_not_in_database")),
             }
         )
-        .drop("__v")
+        .drop("__v", "__company")
     )
 
 
@@ -210,7 +231,7 @@ def fan_out(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
     )
 
 
-def validate_articles(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
+def validate_articles(articles: DataFrame, dictionary: Dictionary | DataFrame) -> DataFrame:
     """Relevant articles, or all of them when fewer than half would survive.
 
     Scored articles are written once; the retention guard, a scalar subquery over

@@ -197,3 +197,24 @@ def test_distinct_articles_keep_the_whole_row(spark):
     rows = [(2, "A", "d", "h", "second"), (1, "A", "d", "h", "first"), (1, "A", "d", "h", "first"), (3, None, "d", "h", "no symbol"), (4, None, "d", "h", "later")]
     df = spark.createDataFrame(rows, "article_id bigint, symbol string, date string, headline string, url string")
     assert sorted(r.url for r in news.distinct_articles(df).collect()) == ["first", "no symbol"]
+
+
+def test_a_large_dictionary_is_a_table(spark):
+    terms = spark.range(60_000).select(
+        F.format_string("S%04d", F.col("id") % 3000).alias("symbol"), F.lit("products").alias("category"),
+        F.concat(F.lit("term"), F.col("id")).alias("term"), (F.col("id") / 3000).cast("int").alias("ord"),
+    )
+    rows = [("S0001", "sells term1 and term3001"), ("S0001", "sells term2"), ("T", "sells term1"), (None, "x")]
+    got = rel.score_relevance(spark.createDataFrame(rows, "symbol string, headline string"), terms)
+    assert sorted((r.symbol or "", r.is_relevant, r.validation_reason) for r in got.collect()) == [
+        ("", True, "ticker_not_in_database"), ("S0001", False, "no_relevance_found"),
+        ("S0001", True, "relevant:product:term1,product:term3001"), ("T", True, "ticker_not_in_database"),
+    ]
+
+
+def test_both_forms_of_a_dictionary_agree(spark):
+    rows = [(s, c, t, i) for s, info in DICTIONARY.items() for c, ts in info.items() for i, t in enumerate(ts)]
+    table = spark.createDataFrame(rows, "symbol string, category string, term string, ord int")
+    articles = spark.createDataFrame([(s, h) for h in HEADLINES for s in ("ACME", "BOLT", "X")], "symbol string, headline string")
+    a, b = (sorted(map(tuple, rel.score_relevance(articles, d).collect())) for d in (DICTIONARY, table))
+    assert a == b
