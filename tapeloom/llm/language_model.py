@@ -286,8 +286,8 @@ def _sweep(totals, number: int, record: bool, contexts: int) -> Callable:
 
 
 def _totals(state: DataFrame, contexts: int, words: int, before: Totals | None) -> Totals:
-    sums = {r[0]: r[1] for r in state.select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect()}
-    x = np.array([sums.get(i, 0.0) for i in range(2 * contexts + 6)])
+    sums = state.agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(2 * contexts + 6)]).first()  # one row, in any number of buckets
+    x = np.array([v or 0.0 for v in sums])
     rest = x[2 * contexts :]
     share = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
     d, d0 = (share(rest[2], rest[3]), share(rest[4], rest[5])) if before is None else (before.discount, before.parent_discount)
@@ -386,7 +386,7 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = SWEEPS,
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets, n_blocks = parts_for(spark, total, SENT_BYTES), max(1, -(-total // BLOCK_BYTES))
+    n_buckets, n_blocks = parts_for(spark, total, SENT_BYTES), parts_for(spark, total, BLOCK_BYTES)
     train = docs.filter(~F.col("held_out")).select("text")
 
     words = train.mapInArrow(_count_words(n_buckets), _SENT).repartitionById(n_buckets, F.col("bucket"))
@@ -409,7 +409,7 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = SWEEPS,
     history.append(totals)
 
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    blocks = docs.withColumn("block", block).repartition(int(max(n_blocks, n_buckets)), "block")
+    blocks = docs.withColumn("block", block).repartition(int(n_blocks), "block")
     asked = blocks.groupBy("block").applyInArrow(_ask(n_buckets, frequent), "block int, bucket int, n int, data binary")
     answered = asked.groupBy("bucket").cogroup(state.df.groupBy("bucket")).applyInArrow(_answer(send(history)), "block int, bucket int, n int, data binary")
     scored = blocks.groupBy("block").cogroup(answered.groupBy("block"))

@@ -63,9 +63,6 @@ def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def n_words(text):
     """Words of a text column, without regular expressions over the words themselves; 0 for null."""
     return F.coalesce(F.expr(f"regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("bigint")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import scan
 from .shared import BROADCAST_ROWS, Stage, blobs, parts_for, take_ranges, xxhash64
 from .suffix_sort import deep_shallow_sort
+from .wire import dealt, gathered
 
 GRAM = 16
 SENT_BYTES = 64 << 20
@@ -71,33 +72,6 @@ def anchors(run: scan.Run, size: int) -> tuple[np.ndarray, ...]:
     return own[used], row, at - run.bounds[row], at - first, last + size - at
 
 
-_STEPS = (np.dtype("<i8"), np.dtype("<u4"))  # ids and places go as differences, which compress well
-
-
-def _sent(bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int):
-    """``bucket, n, data`` of each bucket used: its values, column by column, compressed."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    columns = [np.ascontiguousarray(c[order]) for c in columns]
-    used = np.flatnonzero(np.diff(cuts))
-    data = []
-    for b in used:
-        parts = [c[cuts[b] : cuts[b + 1]] for c in columns]
-        raw = b"".join((np.diff(c, prepend=c.dtype.type(0)) if c.dtype in _STEPS else c).tobytes() for c in parts)
-        data.append(pa.compress(raw, "zstd", asbytes=True))
-    return used.astype(np.int32), np.diff(cuts)[used].astype(np.int32), data
-
-
-def _read(raw: bytes, n: int, kinds: list) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        wide = np.dtype(kind)
-        part = np.frombuffer(raw, wide, n, at)
-        out.append(np.cumsum(part, dtype=wide) if wide in _STEPS else part)
-        at += n * wide.itemsize
-    return out
-
-
 def _block_of(ids: np.ndarray, n: int) -> np.ndarray:
     """What ``pmod(xxhash64(doc_id), n)`` is in Spark."""
     return (xxhash64(ids) % n).astype(np.int32)
@@ -137,25 +111,17 @@ def _find_anchors(size: int, n_buckets: int, n_blocks: int) -> Callable:
                 order, starts, shared = _shared_in(gram, ids)
                 here = np.sort(order[shared])
                 if len(here):
-                    yield _batch(_PLACE_ROW, *_sent(_block_of(ids[here], n_blocks), [ids[here], pos[here].astype(np.uint32)], n_blocks))
+                    yield _batch(_PLACE_ROW, *dealt(_block_of(ids[here], n_blocks), [ids[here], pos[here].astype(np.uint32)], n_blocks))
                 alone = np.zeros(len(order), bool)
                 alone[~shared] = True
                 alone[starts] = True  # of a shared gram, the smallest document speaks for the run
                 sent = np.sort(order[alone])
                 bucket = (gram[sent] % np.uint64(n_buckets)).astype(np.int32)
-                yield _batch(_GRAM_ROW, *_sent(bucket, [gram[sent], ids[sent], pos[sent].astype(np.uint32)], n_buckets))
+                yield _batch(_GRAM_ROW, *dealt(bucket, [gram[sent], ids[sent], pos[sent].astype(np.uint32)], n_buckets))
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
-    wide, held = sum(np.dtype(k).itemsize for k in kinds), []
-    for batch in batches:
-        for n, data in zip(batch.column("n").to_pylist(), batch.column("data")):
-            held.append(_read(pa.decompress(data.as_buffer(), n * wide, "zstd", asbytes=True), n, kinds))
-    return [np.concatenate(c) for c in zip(*held)] if held else []
-
-
 def _split(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gram rows of each batch; the others, which are decided already, are put aside as they are."""
     for batch in batches:
@@ -167,7 +133,7 @@ def _split(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> I
 def _find_shared(n_blocks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        got = _gathered(_split(batches, passed), ["<u8", "<i8", "<u4"])
+        got = gathered(_split(batches, passed), ["<u8", "<i8", "<u4"])
         yield from passed
         if not got:
             return
@@ -175,7 +141,7 @@ def _find_shared(n_blocks: int) -> Callable:
         order, _, shared = _shared_in(gram, ids)
         here = order[shared]
         if len(here):
-            yield _batch(_PLACE_ROW, *_sent(_block_of(ids[here], n_blocks), [ids[here], pos[here]], n_blocks))
+            yield _batch(_PLACE_ROW, *dealt(_block_of(ids[here], n_blocks), [ids[here], pos[here]], n_blocks))
 
     return run
 
@@ -187,7 +153,7 @@ def _around(size: int, n_buckets: int) -> Callable:
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         docs, places = docs.combine_chunks(), places.combine_chunks()
         out: list[tuple] = []
-        got = _gathered(iter(places.to_batches()), ["<i8", "<u4"])
+        got = gathered(iter(places.to_batches()), ["<i8", "<u4"])
         if got and docs.num_rows:
             ids, pos = got
             order = np.lexsort((pos, ids))
@@ -224,10 +190,10 @@ def _around(size: int, n_buckets: int) -> Callable:
                 done = same & (doc[me] > doc[lead])
                 gone = np.sort(me[done])
                 if len(gone):
-                    out.append((_PLACE_ROW, *_sent(_block_of(doc[gone], n_buckets), [doc[gone], (p - before)[gone].astype(np.uint32), (p + after)[gone].astype(np.uint32)], n_buckets)))
+                    out.append((_PLACE_ROW, *dealt(_block_of(doc[gone], n_buckets), [doc[gone], (p - before)[gone].astype(np.uint32), (p + after)[gone].astype(np.uint32)], n_buckets)))
                 keep = np.sort(me[~done])
                 bucket = (gram[keep] % np.uint64(n_buckets)).astype(np.int32)
-                out.append((_GRAM_ROW, *_sent(bucket, [doc[keep], p[keep].astype(np.uint32), before[keep].astype(np.uint8), after[keep].astype(np.uint8), cells[keep]], n_buckets)))
+                out.append((_GRAM_ROW, *dealt(bucket, [doc[keep], p[keep].astype(np.uint32), before[keep].astype(np.uint8), after[keep].astype(np.uint8), cells[keep]], n_buckets)))
         if not out:
             return pa.Table.from_batches([_batch(0, np.zeros(0, np.int32), np.zeros(0, np.int32), [])])
         return pa.Table.from_batches([_batch(*o) for o in out])
@@ -240,7 +206,7 @@ def _find_repeats(size: int, n_buckets: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        got = _gathered(_split(batches, passed), ["<i8", "<u4", "u1", "u1", np.dtype(("u1", (wide,)))])
+        got = gathered(_split(batches, passed), ["<i8", "<u4", "u1", "u1", np.dtype(("u1", (wide,)))])
         yield from passed
         if not got:
             return
@@ -269,7 +235,7 @@ def _find_repeats(size: int, n_buckets: int) -> Callable:
             nearest[hit] = np.minimum(nearest[hit], a)
         hit = np.flatnonzero(furthest >= 0)
         if len(hit):
-            yield _batch(_PLACE_ROW, *_sent(_block_of(doc[hit], n_buckets), [doc[hit], (pos - furthest)[hit].astype(np.uint32), (pos + size - nearest)[hit].astype(np.uint32)], n_buckets))
+            yield _batch(_PLACE_ROW, *dealt(_block_of(doc[hit], n_buckets), [doc[hit], (pos - furthest)[hit].astype(np.uint32), (pos + size - nearest)[hit].astype(np.uint32)], n_buckets))
 
     return run
 
@@ -278,7 +244,7 @@ def _merge_spans() -> Callable:
     """Spans as sent, all of a document in one task -> one row per document, its spans merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches, ["<i8", "<u4", "<u4"])
+        got = gathered(batches, ["<i8", "<u4", "<u4"])
         if not got:
             return
         doc, start, end = got
