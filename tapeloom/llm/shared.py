@@ -64,7 +64,7 @@ def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def n_words(text):
-    """Words of a text column, without regular expressions over the words themselves; 0 for null."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; 0 for null."""
     return F.coalesce(F.expr(f"regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("bigint")
 
 
