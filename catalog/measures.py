@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tapeloom.operators import indicators as ind, joins, metrics, quality, risk, summary
+from tapeloom.operators import indicators as ind, joins, metrics, news, quality, risk, summary
 from tapeloom.operators.positions import spearman
-from tapeloom.session import durable, stage_path
+from tapeloom.session import durable, stage_path, written
 from tapeloom.sources import files
 
 from .base import CTE, bars, daily, pick, query, rnd, scored, table
@@ -506,21 +506,36 @@ def _(spark, sf):
     return pick(r, [c for c in r.columns if c != "sentiment_coverage"], ["sentiment_coverage"])
 
 
-@query(
-    "stage_log",
-    f"""WITH {CTE['scored']}, {CTE['daily'].removeprefix(CTE['scored'] + ', ').removeprefix(CTE['scored'] + ',')}
-    SELECT 'daily_sentiment' AS stage, (SELECT count(*) FROM scored) AS input_rows, count(*) AS output_rows, 'aggregate' AS operations FROM daily
-    UNION ALL SELECT 'prepared', count(*), count(*) FILTER (article_count > 1), 'filter' FROM daily""",
-)
+_LOG_SQL = f"""WITH {CTE['scored']}, {CTE['daily'].removeprefix(CTE['scored'] + ', ').removeprefix(CTE['scored'] + ',')},
+    log AS (SELECT 'daily_sentiment' AS stage, (SELECT count(*) FROM scored) AS input_rows, count(*) AS output_rows, 'aggregate' AS operations, '' AS issues FROM daily
+    UNION ALL SELECT 'prepared', count(*), count(*) FILTER (article_count > 1), 'filter,drop', 'confidence' FROM daily)"""
+
+
+def _stage_log(spark, sf):
+    """Two stages written one after the other; the second loses a column that its schema asks for."""
+    d, first = quality.logged("daily_sentiment", scored(spark, sf), lambda x: news.daily_sentiment(x, quality=False), ["aggregate"], "daily_sentiment")
+    d = written(d, "daily")
+    p, second = quality.logged("prepared", d, lambda x: x.filter(F.col("article_count") > 1).drop("confidence"), ["filter", "drop"], "daily_sentiment")
+    written(p, "prepared")
+    return quality.stage_log(spark, [first, second])
+
+
+@query("stage_log", f"{_LOG_SQL} SELECT * FROM log")
 def _(spark, sf):
-    """Rows in and out of two stages, written as a JSON report and read back."""
-    s, d = scored(spark, sf), daily(spark, sf)
-    log = quality.stage_log([("daily_sentiment", s, d, ["aggregate"]), ("prepared", d, d.filter(F.col("article_count") > 1), ["filter"])])
-    path = stage_path(spark, "stage-log")
+    """The log as a JSON report, read back."""
+    log, path = _stage_log(spark, sf), stage_path(spark, "stage-log")
     files.write_report(log, path)
     return spark.read.schema(log.schema).json(path)
 
 
+@query(
+    "pipeline_summary",
+    f"{_LOG_SQL} SELECT count(*) AS stages, count(*) FILTER (issues <> '') AS stages_with_issues, CAST(sum(output_rows) AS BIGINT) AS rows_written, {rnd('min(output_rows * 100e0 / input_rows)')} AS least_kept_pct FROM log",
+)
+def _(spark, sf):
+    return pick(quality.pipeline_summary(_stage_log(spark, sf)), ["stages", "stages_with_issues", "rows_written"], ["least_kept_pct"])
+
+
 @query("sentiment_source", f"WITH {CTE['bars']} SELECT 'neutral' AS source, symbol, date, 0e0 AS sentiment_compound, 5e-1 AS confidence, CAST(0 AS BIGINT) AS article_count FROM bars")
 def _(spark, sf):
     """An unusable sentiment table gives way to neutral values."""

@@ -255,16 +255,34 @@ def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     return df.observe(watch, F.count(F.lit(1)).alias("rows")), watch
 
 
-def stage_log(stages: list[tuple[str, DataFrame, DataFrame, list[str]]]) -> DataFrame:
-    """Input and output rows and operations per stage."""
-    out = None
-    for name, before, after, operations in stages:
-        row = after.agg(F.count(F.lit(1)).alias("output_rows")).select(
-            F.lit(name).alias("stage"), before.agg(F.count(F.lit(1))).scalar().alias("input_rows"), "output_rows",
-            F.lit(",".join(operations)).alias("operations"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+def logged(
+    name: str, before: DataFrame, build: Callable[[DataFrame], DataFrame], operations: list[str], columns: str | None = None
+) -> tuple[DataFrame, dict]:
+    """A stage and its log entry, filled by the action that runs the stage; nothing is counted apart.
+
+    ``columns`` names a declared stage whose required columns the result is checked for.
+    """
+    seen, rows_in = observed(before, f"{name}-in")
+    after, rows_out = observed(build(seen), f"{name}-out")
+    issues = missing_columns(after, columns) if columns else []
+    return after, {"stage": name, "in": rows_in, "out": rows_out, "operations": operations, "issues": issues}
+
+
+def stage_log(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """Rows in and out, operations and missing columns per stage, after the stages have run."""
+    rows = [
+        (e["stage"], e["in"].get["rows"], e["out"].get["rows"], ",".join(e["operations"]), ",".join(e["issues"])) for e in entries
+    ]
+    return spark.createDataFrame(rows, "stage string, input_rows bigint, output_rows bigint, operations string, issues string")
+
+
+def pipeline_summary(log: DataFrame) -> DataFrame:
+    """One row: stages, stages with issues, and the share of rows that the narrowest stage kept."""
+    kept = F.try_divide("output_rows", "input_rows") * 100.0
+    return log.agg(
+        F.count(F.lit(1)).alias("stages"), F.count_if(F.length("issues") > 0).alias("stages_with_issues"),
+        F.sum("output_rows").alias("rows_written"), F.min(kept).alias("least_kept_pct"),
+    )
 
 
 def choose_sentiment(spark: SparkSession, primary: DataFrame | None, market: DataFrame) -> tuple[str, DataFrame]:
