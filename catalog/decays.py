@@ -134,11 +134,36 @@ def _(spark, sf):
     return scores.select("horizon", F.round("rate", 6).alias("rate"), F.round("spearman", 5).alias("spearman"), "rows")
 
 
-@query("decay_rate_search")
+def _rate_scores(grid: str, out: str) -> str:
+    """Rank correlation per horizon and rate of a grid, as a SQL table."""
+    return f"""{out} AS (SELECT horizon, rate, corr(rx, ry) AS s FROM (
+      SELECT horizon, rate, rank() OVER (PARTITION BY horizon, rate ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY horizon, rate, round(x, 9)) - 1) / 2e0 AS rx,
+             rank() OVER (PARTITION BY horizon, rate ORDER BY target) + (count(*) OVER (PARTITION BY horizon, rate, target) - 1) / 2e0 AS ry
+      FROM (SELECT m.horizon, g.rate, m.target, coalesce(sum(s.sentiment_compound * {_CW} * exp(-g.rate * (m.date - s.date)))
+              / nullif(sum({_CW} * exp(-g.rate * (m.date - s.date))), 0), 0) AS x
+            FROM m JOIN {grid} g USING (horizon) LEFT JOIN daily s ON s.symbol = m.symbol AND s.date <= m.date
+            WHERE m.target IS NOT NULL GROUP BY m.symbol, m.date, m.horizon, g.rate, m.target)) GROUP BY horizon, rate)"""
+
+
+_COARSE = ", ".join(f"({h}, {r!r})" for h, rates in decay.rate_grid().items() for r in rates)
+_BOUNDS = ", ".join(f"({h}, {lo!r}, {hi!r})" for h, (lo, hi) in decay.RATE_BOUNDS.items())
+
+
+@query(
+    "decay_rate_search",
+    f"""WITH {CTE['targets']}, {CTE['daily']}, {_DATES}, coarse(horizon, rate) AS (VALUES {_COARSE}), bounds(horizon, lo, hi) AS (VALUES {_BOUNDS}),
+    m AS (SELECT t.symbol, t.date, horizon, CASE horizon WHEN 5 THEN target_5d WHEN 22 THEN target_22d ELSE target_90d END AS target
+          FROM targets t, cuts, (VALUES (5), (22), (90)) h(horizon) WHERE t.date <= train_end),
+    {_rate_scores('coarse', 'first_scores')},
+    finer AS (SELECT DISTINCT horizon, round(least(hi, greatest(lo, rate + (hi::DOUBLE - lo::DOUBLE) / 5 * k / 3)), 6) AS rate
+              FROM (SELECT horizon, max_by(rate::DOUBLE, abs(s)) AS rate FROM first_scores GROUP BY horizon) JOIN bounds USING (horizon), range(-2, 3) r(k)),
+    {_rate_scores('finer', 'last_scores')}
+    SELECT CAST(horizon AS INTEGER) AS horizon, {rnd('max_by(rate, abs(s))')} AS rate FROM last_scores GROUP BY horizon""",
+)
 def _(spark, sf):
-    """Best rate per horizon on training rows, as rows."""
+    """Best rate per horizon on training rows after refining the grid, as rows."""
     panel = splits.temporal_split(ind.horizon_returns(bars(spark, sf))).filter(F.col("split") == "train")
-    best = decay.best_rates(panel, daily(spark, sf), refine=False)
+    best = decay.best_rates(panel, daily(spark, sf))
     return spark.createDataFrame(sorted(best.items()), "horizon int, rate double")
 
 
