@@ -285,9 +285,20 @@ def _sweep(totals, number: int, record: bool, contexts: int) -> Callable:
     return run
 
 
+def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for row in batch.column("totals"):
+            value = row.values.to_numpy(zero_copy_only=False)
+            total = value if total is None else total + value
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["totals"])
+
+
 def _totals(state: DataFrame, contexts: int, words: int, before: Totals | None) -> Totals:
-    sums = state.agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(2 * contexts + 6)]).first()  # one row, in any number of buckets
-    x = np.array([v or 0.0 for v in sums])
+    by_task = state.select("totals").mapInArrow(_sum_vectors, "totals array<double>")  # a row per task
+    whole = by_task.repartition(1).mapInArrow(_sum_vectors, "totals array<double>").first()
+    x = np.array(whole.totals if whole else np.zeros(2 * contexts + 6))
     rest = x[2 * contexts :]
     share = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
     d, d0 = (share(rest[2], rest[3]), share(rest[4], rest[5])) if before is None else (before.discount, before.parent_discount)
