@@ -93,7 +93,8 @@ SUFFIXES = [
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles_from(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return articles_from(rows.repartition(spark.sparkContext.defaultParallelism))  # the file is one row group, one task would read it
 
 
 def articles_from(documents: DataFrame) -> DataFrame:
