@@ -2,25 +2,27 @@
 
 Every context has a restaurant whose customers are the training tokens that follow it; all restaurants share one parent, a
 restaurant over words whose customers are their tables, above a uniform base over the known words and one unknown.  The
-context of a token is the word before it if that is one of the ``CONTEXTS`` most frequent training words, else the common
-context of all other words, or the start of a text.  So the number of restaurants is bounded, while their dishes and
-customers grow with the corpus.
+context of a token is the word before it, or the start of a text: every training word is a context, rare ones lean on the
+parent, and a word that no training row has is an empty restaurant, which is the parent.  With ``contexts`` given only so
+many most frequent words are contexts and all others share one.
 
 Seating is sampled by Gibbs sweeps: for each dish of each restaurant its customers leave and sit down again one after the
-other (beyond 64 in groups of a thirty-second of those seated), at a new table in proportion to ``(strength + discount * tables) * parent probability``, at an old
-one in proportion to ``customers - discount * tables``; then the parent's customers do.  Given the totals of the restaurants
-words are independent, so state is dealt by word hash, a sweep is one narrow job over it, and only the totals (a few numbers
-per restaurant) are summed up between sweeps.  After ``BURN`` sweeps the predictive probabilities of each state are averaged.
-Discounts come from the counts of counts, ``n1 / (n1 + 2 n2)``.
-
-Scoring: a block of documents asks for its distinct (context, word) pairs, the word's bucket answers in the same order, and
-the block adds up its texts.  Counting, asking and answering send distinct pairs per task or block, never tokens, so a word
-or word pair with a third of all tokens is one row per block.
+other, at a new table in proportion to ``(strength + discount * tables) * parent probability``, at an old one in proportion
+to ``customers - discount * tables``; then the parent's customers do.  Given the totals of the restaurants words are
+independent, so state is dealt by word hash.  Before a sweep every bucket of words sends its tables per context to the
+bucket of the context, which sums them and answers in the same order; a context is one row of numbers per bucket of words,
+however many tokens follow it.  Only six totals of the parent reach the driver.  The predictive probabilities of the states
+after ``BURN`` sweeps are averaged.  Discounts come from the counts of counts, ``n1 / (n1 + 2 n2)``.
+
+Scoring: a block of documents asks for its distinct (context, word) pairs and words, the word's bucket answers in the same
+order, and the block adds up its texts.  Counting, asking and answering send distinct pairs per task or block, never tokens,
+so a word or word pair with a third of all tokens is one row per block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,14 +33,16 @@ from . import scan
 from .shared import Stage, parts_for
 from .wire import dealt, gathered, packed, unpacked
 
-CONTEXTS, SWEEPS, BURN, STRENGTH = 255, 4, 2, 1.0
+SWEEPS, BURN, STRENGTH = 6, 2, 1.0
 SENT_BYTES, BLOCK_BYTES, HELD_KEYS = 32 << 20, 16 << 20, 1 << 20
-END = np.uint64(0x5E4D0F7E47)
+#: Customers of one dish that are seated in one round, and the dishes up to which that is done dish by dish.
+ROUND, FEW = 1 << 16, 16
+END, START, OTHER = np.uint64(0x5E4D0F7E47), np.uint64(0x57A127), np.uint64(0x07BE2)
 _SENT = "bucket int, n int, data binary"
 
 
 class Tokens(NamedTuple):
-    """Tokens of a run: word hash, context, hash of both, and ``rows[i]:rows[i + 1]`` as the tokens of row i."""
+    """Tokens of a run: word hash, context hash, hash of both, and ``rows[i]:rows[i + 1]`` as the tokens of row i."""
 
     word: np.ndarray
     context: np.ndarray
@@ -47,25 +51,19 @@ class Tokens(NamedTuple):
 
 
 def pair_hash(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return scan.mix(word + (context.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return scan.mix(word + scan.mix(context) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def tokens(run: scan.Run, frequent: np.ndarray | None) -> Tokens:
-    """Lower-case words and one end per row; without ``frequent`` (sorted hashes) contexts are left out."""
+    """Lower-case words and one end per row; with ``frequent`` (sorted hashes) other words are one context."""
     w = scan.words(run)
     n_rows = len(w.rows) - 1
     rows = w.rows + np.arange(n_rows + 1)
     word = np.full(rows[-1], END, np.uint64)
     word[np.arange(len(w.value)) + np.repeat(np.arange(n_rows), np.diff(w.rows))] = w.value
-    if frequent is None:
-        return Tokens(word, word, word, rows)
-    known = np.full(len(word), len(frequent), np.uint16)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
-        known = np.where(frequent[at] == word, at, len(frequent)).astype(np.uint16)
-    context = np.empty_like(known)
-    context[1:] = known[:-1]
-    context[rows[:-1]] = len(frequent) + 1
+    context = np.empty_like(word)
+    context[1:] = word[:-1] if frequent is None else np.where(np.isin(word[:-1], frequent), word[:-1], OTHER)
+    context[rows[:-1]] = START
     return Tokens(word, context, pair_hash(word, context), rows)
 
 
@@ -147,16 +145,16 @@ def _count_pairs(n_buckets: int, frequent) -> Callable:
                 held.add(_summed(t.pair, np.ones(len(t.pair), np.int64), t.word, t.context))
         if held.parts:
             _, count, word, context = held.sum()
-            yield _rows(*dealt(_bucket(word, n_buckets), [word, context, count], n_buckets))
+            order = np.lexsort((context, word))  # equal words in a row compress well
+            word = word[order]
+            yield _rows(*dealt(_bucket(word, n_buckets), [word, context[order], count[order]], n_buckets))
 
     return run
 
 
 class Totals(NamedTuple):
-    """Customers and tables of the restaurants and of their parent, discounts, and the number of known words."""
+    """Customers and tables of the parent, discounts, and the number of known words."""
 
-    customers: np.ndarray
-    tables: np.ndarray
     parent_customers: float
     parent_tables: float
     discount: float
@@ -166,8 +164,8 @@ class Totals(NamedTuple):
     def base(self) -> float:
         return 1 / (self.words + 1)
 
-    def back_off(self) -> np.ndarray:
-        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+    def back_off(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (STRENGTH + self.discount * tables) / (STRENGTH + customers)
 
     def unknown(self) -> float:
         return (STRENGTH + self.parent_discount * self.parent_tables) * self.base() / (STRENGTH + self.parent_customers)
@@ -176,111 +174,208 @@ class Totals(NamedTuple):
         rest = (STRENGTH + self.parent_discount * self.parent_tables) * self.base()
         return (customers - self.parent_discount * tables + rest) / (STRENGTH + self.parent_customers)
 
-    def child(self, customers, tables, context, parent) -> np.ndarray:
-        own = (customers - self.discount * tables) / (STRENGTH + self.customers[context])
-        return own + self.back_off()[context] * parent
-
 
 class State(NamedTuple):
-    """Seating of a bucket: pairs sorted by word and context, and its words; probabilities are sums over samples."""
+    """Seating of a bucket.  Pairs are sorted by word and context, ``of`` and ``by`` are their places in ``names`` and
+    ``contexts``; ``contexts`` is sorted by its bucket.  ``chance`` is a sum over samples."""
 
-    word: np.ndarray
-    context: np.ndarray
+    of: np.ndarray
+    by: np.ndarray
     count: np.ndarray
     tables: np.ndarray
     chance: np.ndarray
     names: np.ndarray
     own_tables: np.ndarray
     samples: np.ndarray  # a row per sample of the parent's probabilities
-
-    def of(self) -> np.ndarray:
-        return np.searchsorted(self.names, self.word)
+    contexts: np.ndarray
+    held: np.ndarray  # the contexts of this bucket
+    back_off: np.ndarray  # a row per sample of their weights of the parent
 
     def parent_customers(self) -> np.ndarray:
-        return np.bincount(self.of(), self.tables, len(self.names))
+        return np.bincount(self.of, self.tables, len(self.names))
+
 
+_PAIRS, _WORDS = ["<u4", "<u4", "<i8", "<i8", "<f4"], ["<u8", "<i8"]
+#: Rows of a bucket of words or contexts: what they are, who sent them, the lengths and the columns.
+_ROW = "bucket int, kind int, sender int, shape array<int>, data array<binary>, totals array<double>"
+_STATE, _TABLES, _PLACES, _HELD, _OWN, _ASKED = range(6)
 
-_PAIRS, _WORDS = ["<u8", "<u2", "<i8", "<i8", "<f8"], ["<u8", "<i8"]
-_STATE = "bucket int, n int, m int, k int, pairs binary, names binary, totals array<double>"
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.float64())]
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["bucket", "kind", "sender", "shape", "data", "totals"])
+
+
+class _Box(NamedTuple):
+    sender: int
+    shape: list[int]
+    data: pa.Array
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[_Box]]]:
+    """Rows of a task by bucket and kind, their binaries still compressed."""
+    out: dict[int, dict[int, list[_Box]]] = {}
+    for b in batches:
+        data = b.column("data")
+        for i, (bucket, kind, sender, shape) in enumerate(zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "sender", "shape")))):
+            out.setdefault(bucket, {}).setdefault(kind, []).append(_Box(sender, shape, data[i].values))
+    for kinds in out.values():
+        for rows in kinds.values():
+            rows.sort(key=lambda r: r.sender)
+    return out
 
-def _stored(bucket: int, s: State, contexts: int) -> pa.RecordBatch:
+
+def _stored(bucket: int, s: State) -> pa.RecordBatch:
     c0 = s.parent_customers()
-    totals = np.concatenate([
-        np.bincount(s.context, s.count, contexts), np.bincount(s.context, s.tables, contexts),
-        [c0.sum(), s.own_tables.sum(), (s.count == 1).sum(), (s.count == 2).sum(), (c0 == 1).sum(), (c0 == 2).sum()],
-    ])
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), pa.array([len(s.word)], pa.int32()), pa.array([len(s.names)], pa.int32()), pa.array([len(s.samples)], pa.int32()),
-         pa.array([packed([s.word, s.context, s.count, s.tables, s.chance])], pa.binary()), pa.array([packed([s.names, s.own_tables, *s.samples])], pa.binary()),
-         pa.array([totals.tolist()], pa.list_(pa.float64()))],
-        ["bucket", "n", "m", "k", "pairs", "names", "totals"],
-    )
+    totals = [c0.sum(), s.own_tables.sum(), (s.count == 1).sum(), (s.count == 2).sum(), (c0 == 1).sum(), (c0 == 2).sum()]
+    data = [packed([s.of, s.by, s.count, s.tables, s.chance]), packed([s.names, s.own_tables, *s.samples]), packed([s.contexts]), packed([s.held, *s.back_off])]
+    shape = [len(s.of), len(s.names), len(s.contexts), len(s.held), len(s.samples)]
+    return _batch([(bucket, _STATE, bucket, shape, data, [float(x) for x in totals])])
 
 
-def _loaded(row: dict, batch, i: int) -> State:
-    names, own, *samples = unpacked(batch.column("names")[i], row["m"], _WORDS + ["<f8"] * row["k"])
-    return State(*unpacked(batch.column("pairs")[i], row["n"], _PAIRS), names, own, np.array(samples, np.float64).reshape(row["k"], len(names)))
+def _loaded(rows: list[_Box]) -> State:
+    if not rows:  # a bucket of contexts without words
+        none, no = np.zeros((0, 0)), lambda kind: np.zeros(0, kind)
+        return State(no(np.uint32), no(np.uint32), no(np.int64), no(np.int64), no(np.float32), no(np.uint64), no(np.int64), none, no(np.uint64), no(np.uint64), none)
+    (n, m, u, v, k), data = rows[0].shape, rows[0].data
+    names, own, *samples = unpacked(data[1], m, _WORDS + ["<f8"] * k)
+    held, *back_off = unpacked(data[3], v, ["<u8"] + ["<f8"] * k)
+    table = lambda x, size: np.array(x, np.float64).reshape(k, size)
+    return State(*unpacked(data[0], n, _PAIRS), names, own, table(samples, m), *unpacked(data[2], u, ["<u8"]), held, table(back_off, v))
 
 
-def _first_state(n_buckets: int, contexts: int) -> Callable:
+def _first_state(n_buckets: int) -> Callable:
     """Every dish at one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
         for b in batches:
             for bucket, n, data in zip(b.column("bucket").to_pylist(), b.column("n").to_pylist(), b.column("data")):
-                kept.setdefault(bucket, []).append(unpacked(data, n, ["<u8", "<u2", "<i8"]))
+                kept.setdefault(bucket, []).append(unpacked(data, n, ["<u8", "<u8", "<i8"]))
         for bucket, parts in kept.items():
             word, context, count = (np.concatenate(c) for c in zip(*parts))
             _, count, word, context = _summed(pair_hash(word, context), count, word, context)
             order = np.lexsort((context, word))
-            word, context, count = word[order], context[order], count[order]
-            names = np.unique(word)
-            yield _stored(bucket, State(word, context, count, np.ones(len(word), np.int64), np.zeros(len(word)), names, np.ones(len(names), np.int64), np.zeros((0, len(names)))), contexts)
+            names, of = np.unique(word[order], return_inverse=True)
+            contexts, by = np.unique(context[order], return_inverse=True)
+            dealt_by = np.argsort(_bucket(contexts, n_buckets), kind="stable")
+            place = np.empty(len(contexts), np.uint32)
+            place[dealt_by] = np.arange(len(contexts), dtype=np.uint32)
+            ones = np.ones(len(of), np.int64)
+            yield _stored(bucket, _loaded([])._replace(
+                of=of.astype(np.uint32), by=place[by], count=count[order], tables=ones, chance=np.zeros(len(of), np.float32), names=names,
+                own_tables=np.ones(len(names), np.int64), samples=np.zeros((0, len(names))), contexts=contexts[dealt_by],
+            ))
+
+    return run
+
+
+def _sent_tables(n_buckets: int, first: bool) -> Callable:
+    """Per bucket of contexts: the tables of its contexts in this bucket of words; ``first``: contexts and customers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, kinds in _boxes(batches).items():
+            s = _loaded(kinds[_STATE])
+            sums = np.bincount(s.by, s.count if first else s.tables, len(s.contexts)).astype(np.int64)
+            columns = [s.contexts, sums] if first else [sums]
+            yield _batch([(b, _TABLES, bucket, [n], [d], None) for b, n, d in zip(*(x if isinstance(x, list) else x.tolist() for x in dealt(_bucket(s.contexts, n_buckets), columns, n_buckets)))])
 
     return run
 
 
+def _first_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of a bucket and their customers, and the places in them of what each bucket of words has."""
+    for bucket, kinds in _boxes(batches).items():
+        sent = [unpacked(r.data[0], r.shape[0], ["<u8", "<i8"]) for r in kinds[_TABLES]]
+        contexts, at = np.unique(np.concatenate([c for c, _ in sent]), return_inverse=True)
+        customers = np.bincount(at, np.concatenate([n for _, n in sent])).astype(np.int64)
+        places = np.split(at.astype(np.uint32), np.cumsum([len(c) for c, _ in sent])[:-1])
+        rows = [(bucket, _PLACES, r.sender, r.shape, [packed([p])], None) for r, p in zip(kinds[_TABLES], places)]
+        yield _batch([*rows, (bucket, _HELD, bucket, [len(contexts)], [packed([contexts, customers])], None)])
+
+
+def _summed_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Customers and tables of the contexts, to every bucket of words in its order, and to their own bucket."""
+    for bucket, kinds in _boxes(batches).items():
+        contexts, customers = unpacked(kinds[_HELD][0].data[0], kinds[_HELD][0].shape[0], ["<u8", "<i8"])
+        places = [unpacked(r.data[0], r.shape[0], ["<u4"])[0] for r in kinds[_PLACES]]
+        tables = np.zeros(len(contexts), np.int64)
+        for at, r in zip(places, kinds[_TABLES]):
+            tables[at] += unpacked(r.data[0], r.shape[0], ["<i8"])[0]  # a sender has a context once
+        rows = [(r.sender, _TABLES, bucket, r.shape, [packed([customers[at].astype("<f8"), tables[at].astype("<f8")])], None) for at, r in zip(places, kinds[_PLACES])]
+        yield _batch([*rows, (bucket, _OWN, bucket, [len(contexts)], [packed([contexts, customers, tables])], None)])
+
+
+def _seat_on(customers: int, seated: int, tables: float, strength: float, discount: float, chance: float, draw: np.random.Generator) -> float:
+    """Tables of one dish when its customers from ``seated`` on have sat down one after the other.
+
+    A round of customers draws first; which of them open a table is the fixed point of the draws against the chances, found
+    from below: every pass settles at least the first customer that is still wrong.
+    """
+    while seated < customers:
+        at = np.arange(seated, min(seated + ROUND, customers))
+        drawn, opened = draw.random(len(at)), np.zeros(len(at), bool)
+        while True:
+            before = tables + np.cumsum(opened) - opened
+            new = (strength + discount * before) * chance
+            again = drawn * (new + at - discount * before) < new
+            if (again == opened).all():
+                break
+            opened = again
+        tables, seated = tables + opened.sum(), seated + len(at)
+    return tables
+
+
 def reseat(customers: np.ndarray, strength: np.ndarray, discount: float, chance: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     """Tables after the customers of each dish sat down anew; ``strength`` counts the tables of the other dishes."""
-    order = np.argsort(-customers, kind="stable")
+    out = np.ones(len(customers), np.int64)
+    more = np.flatnonzero(customers > 1)
+    order = more[np.argsort(-customers[more], kind="stable")]
     c, a, p = customers[order], strength[order], chance[order]
     tables, seated = np.ones(len(c)), 1
     while True:
         n = int(np.searchsorted(-c, -seated, "left"))  # dishes with more customers than are seated
-        if n == 0:
+        if n <= FEW:
             break
-        group = np.minimum(max(1, seated // 32) if seated >= 64 else 1, c[:n] - seated)
         new = (a[:n] + discount * tables[:n]) * p[:n]
-        tables[:n] += draw.binomial(group, new / (new + seated - discount * tables[:n]))
-        seated += max(1, seated // 32) if seated >= 64 else 1
-    out = np.empty(len(c), np.int64)
+        tables[:n] += draw.random(n) * (new + seated - discount * tables[:n]) < new
+        seated += 1
+    for i in range(n):
+        tables[i] = _seat_on(int(c[i]), seated, tables[i], a[i], discount, p[i], draw)
     out[order] = tables.astype(np.int64)
     return out
 
 
-def _recorded(s: State, t: Totals) -> State:
-    parent = t.parent(s.parent_customers(), s.own_tables)
-    chance = s.chance + t.child(s.count, s.tables, s.context, parent[s.of()])
-    return s._replace(chance=chance, samples=np.vstack([s.samples, parent]))
+def _sweep(totals, number: int, record: bool, last: bool) -> Callable:
+    """The state is recorded, and unless it is the ``last`` seated anew."""
 
-
-def _sweep(totals, number: int, record: bool, contexts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Totals = totals.value
-        for batch in batches:
-            for i, row in enumerate(batch.select(["bucket", "n", "m", "k"]).to_pylist()):
-                s = _loaded(row, batch, i)
-                s = _recorded(s, t) if record else s
-                draw = np.random.default_rng([17, number, row["bucket"]])
-                parent = t.parent(s.parent_customers(), s.own_tables)
-                others = STRENGTH + t.discount * (t.tables[s.context] - s.tables)
-                s = s._replace(tables=reseat(s.count, others, t.discount, parent[s.of()], draw))
+        for bucket, kinds in _boxes(batches).items():
+            s = _loaded(kinds.get(_STATE, []))
+            sums = [unpacked(r.data[0], r.shape[0], ["<f8", "<f8"]) for r in kinds.get(_TABLES, [])]  # by bucket, as contexts
+            seats, laid = (np.concatenate(c)[s.by] for c in zip(*sums)) if sums else (np.zeros(0), np.zeros(0))
+            parent = t.parent(s.parent_customers(), s.own_tables)
+            if record:
+                own = (s.count - t.discount * s.tables) / (STRENGTH + seats)
+                chance = s.chance + own + t.back_off(seats, laid) * parent[s.of]
+                held, c, tables = s.held, np.zeros(0), np.zeros(0)  # a bucket without contexts
+                if kinds.get(_OWN):
+                    held, c, tables = unpacked(kinds[_OWN][0].data[0], kinds[_OWN][0].shape[0], ["<u8", "<i8", "<i8"])
+                before = s.back_off if len(s.samples) else np.zeros((0, len(held)))
+                s = s._replace(
+                    chance=chance.astype(np.float32), samples=np.vstack([s.samples, parent]),
+                    held=held, back_off=np.vstack([before, t.back_off(c, tables)]),
+                )
+            if not last:
+                draw = np.random.default_rng([17, number, bucket])
+                others = STRENGTH + t.discount * (laid - s.tables)
+                s = s._replace(tables=reseat(s.count, others, t.discount, parent[s.of], draw))
                 others = STRENGTH + t.parent_discount * (t.parent_tables - s.own_tables)
                 c0 = s.parent_customers().astype(np.int64)
                 s = s._replace(own_tables=reseat(c0, others, t.parent_discount, np.full(len(c0), t.base()), draw))
-                yield _stored(row["bucket"], s, contexts)
+            yield _stored(bucket, s)
 
     return run
 
@@ -295,17 +390,16 @@ def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["totals"])
 
 
-def _totals(state: DataFrame, contexts: int, words: int, before: Totals | None) -> Totals:
+def _totals(state: DataFrame, words: int, before: Totals | None) -> Totals:
     by_task = state.select("totals").mapInArrow(_sum_vectors, "totals array<double>")  # a row per task
     whole = by_task.repartition(1).mapInArrow(_sum_vectors, "totals array<double>").first()
-    x = np.array(whole.totals if whole else np.zeros(2 * contexts + 6))
-    rest = x[2 * contexts :]
+    x = np.array(whole.totals if whole else np.zeros(6))
     share = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-    d, d0 = (share(rest[2], rest[3]), share(rest[4], rest[5])) if before is None else (before.discount, before.parent_discount)
-    return Totals(x[:contexts], x[contexts : 2 * contexts], rest[0], rest[1], d, d0, words)
+    d, d0 = (share(x[2], x[3]), share(x[4], x[5])) if before is None else (before.discount, before.parent_discount)
+    return Totals(x[0], x[1], d, d0, words)
 
 
-def _pairs_of(table: pa.Table, frequent: np.ndarray) -> list[np.ndarray]:
+def _pairs_of(table: pa.Table, frequent: np.ndarray | None) -> list[np.ndarray]:
     held = _Held()
     for r in scan.runs(table.column("text")):
         t = tokens(r, frequent)
@@ -313,46 +407,77 @@ def _pairs_of(table: pa.Table, frequent: np.ndarray) -> list[np.ndarray]:
     return held.sum()
 
 
+class _Question(NamedTuple):
+    """What a block asks: its words and contexts, and its pairs, both in the order of buckets."""
+
+    names: np.ndarray
+    asked: np.ndarray  # places of the pairs
+    word: np.ndarray
+    context: np.ndarray
+
+
+def _question(word: np.ndarray, context: np.ndarray, n_buckets: int) -> _Question:
+    names = np.unique(np.concatenate([word, context]))
+    names = names[np.argsort(_bucket(names, n_buckets), kind="stable")]
+    asked = np.lexsort((context, word, _bucket(word, n_buckets)))
+    return _Question(names, asked, word[asked], context[asked])
+
+
 def _ask(n_buckets: int, frequent) -> Callable:
     def run(block: pa.Table) -> pa.Table:
         _, _, word, context = _pairs_of(block, frequent.value)
-        bucket, n, data = dealt(_bucket(word, n_buckets), [word, context], n_buckets)
-        number = pa.array(np.full(len(bucket), block.column("block")[0].as_py(), np.int32))
-        return pa.table([number, pa.array(bucket), pa.array(n), pa.array(data, pa.binary())], ["block", "bucket", "n", "data"])
+        q, number = _question(word, context, n_buckets), block.column("block")[0].as_py()
+        cuts = [np.searchsorted(_bucket(x, n_buckets), np.arange(n_buckets + 1)) for x in (q.names, q.word)]
+        rows = []
+        for b in range(n_buckets):
+            names, pairs = (slice(c[b], c[b + 1]) for c in cuts)
+            if names.start < names.stop:
+                at = np.searchsorted(q.names[names], q.word[pairs]).astype(np.uint32)
+                shape = [names.stop - names.start, pairs.stop - pairs.start]
+                rows.append((b, _ASKED, number, [int(x) for x in shape], [packed([q.names[names]]), packed([at, q.context[pairs]])], None))
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys, and which of them are there."""
+    if len(sorted_keys) == 0:
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
 def _answer(history) -> Callable:
-    """Log probabilities and training counts of the pairs asked for, in their order."""
+    """For words and contexts training counts and, per sample, the parent's probability and its weight; for pairs of the
+    training rows their probability, else 0: in the order asked."""
 
-    def run(asked: pa.Table, states: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         past: list[Totals] = history.value
-        s = None
-        if states.num_rows:
-            s = _recorded(_loaded(states.select(["bucket", "n", "m", "k"]).to_pylist()[0], states.combine_chunks(), 0), past[-1])
-            keys = pair_hash(s.word, s.context)
+        unknown = np.array([t.unknown() for t in past])
+        for bucket, kinds in _boxes(batches).items():
+            if not kinds.get(_ASKED):
+                continue
+            s = _loaded(kinds.get(_STATE, []))
+            if not kinds.get(_STATE):  # no word or context of it is known
+                s = s._replace(samples=np.zeros((len(past), 0)), back_off=np.zeros((len(past), 0)))
+            keys = pair_hash(s.names[s.of], s.contexts[s.by])
             order = np.argsort(keys)
             keys, chance = keys[order], s.chance[order] / len(past)
-            counts = np.bincount(s.of(), s.count, len(s.names)).astype(np.int64)
-        back_off, unknown = np.array([t.back_off() for t in past]), np.array([t.unknown() for t in past])
-        data = []
-        for n, blob in zip(asked.column("n").to_pylist(), asked.column("data")):
-            word, context = unpacked(blob, n, ["<u8", "<u2"])
-            parent, count = np.repeat(unknown[:, None], n, axis=1), np.zeros(n, np.int64)
-            if s is not None and len(s.names):
-                at = np.minimum(np.searchsorted(s.names, word), len(s.names) - 1)
-                known = s.names[at] == word
-                parent[:, known] = s.samples[:, at[known]]
+            counts = np.bincount(s.of, s.count, len(s.names)).astype(np.int64)
+            for r in kinds[_ASKED]:
+                names = unpacked(r.data[0], r.shape[0], ["<u8"])[0]
+                word, context = unpacked(r.data[1], r.shape[1], ["<u4", "<u8"])
+                count, parent, weight = np.zeros(len(names), np.int64), np.repeat(unknown[:, None], len(names), axis=1), np.ones((len(past), len(names)))
+                at, known = _found(s.names, names)
                 count[known] = counts[at[known]]
-            p = (back_off[:, context] * parent).mean(axis=0)
-            if s is not None and len(s.names):
-                pair = pair_hash(word, context)
-                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                seen = keys[at] == pair
-                p[seen] = chance[at[seen]]
-            data.append(packed([np.log10(p).astype(np.float32), count]))
-        return pa.table([asked.column("block"), asked.column("bucket"), asked.column("n"), pa.array(data, pa.binary())], ["block", "bucket", "n", "data"])
+                parent[:, known] = s.samples[:, at[known]]
+                at, known = _found(s.held, names)
+                weight[:, known] = s.back_off[:, at[known]]
+                at, seen = _found(keys, pair_hash(names[word], context))
+                own = np.zeros(len(word), np.float32)
+                own[seen] = chance[at[seen]]
+                yield _batch([(r.sender, _ASKED, bucket, r.shape, [packed([count, *parent.astype(np.float32), *weight.astype(np.float32)]), packed([own])], None)])
 
     return run
 
@@ -360,15 +485,23 @@ def _answer(history) -> Callable:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n_buckets: int, frequent, n_tokens: int, n_words: int) -> Callable:
+def _score(n_buckets: int, frequent, samples: int, n_tokens: int, n_words: int) -> Callable:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        pair, _, word, _ = _pairs_of(block, frequent.value)
-        asked = np.argsort(_bucket(word, n_buckets), kind="stable")
-        answers = answers.take(pa.array(np.argsort(answers.column("bucket").to_numpy(), kind="stable")))
-        log_p, count = gathered(answers.to_batches(), ["<f4", "<i8"])
+        pair, _, word, context = _pairs_of(block, frequent.value)
+        q = _question(word, context, n_buckets)
+        answers = answers.rename_columns(["bucket" if c == "block" else c for c in answers.column_names])
+        rows = next(iter(_boxes(answers.to_batches()).values()))[_ASKED]  # by bucket, as asked
+        of_names = [unpacked(r.data[0], r.shape[0], ["<i8"] + ["<f4"] * 2 * samples) for r in rows]
+        count, *by_sample = (np.concatenate(c) for c in zip(*of_names))
+        own = np.concatenate([unpacked(r.data[1], r.shape[1], ["<f4"])[0] for r in rows]).astype(np.float64)
+        order = np.argsort(q.names)
+        of, by = (order[np.searchsorted(q.names, x, sorter=order)] for x in (q.word, q.context))
+        new = own == 0
+        backed = sum(by_sample[k][of[new]].astype(np.float64) * by_sample[samples + k][by[new]] for k in range(samples))
+        own[new] = backed / samples
         chance, seen = np.empty(len(pair)), np.empty(len(pair), np.int64)
-        chance[asked], seen[asked] = log_p, count
+        chance[q.asked], seen[q.asked] = np.log10(own), count[of]
         base = np.log10((seen + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
         out = []
         for r in scan.runs(block.column("text")):
@@ -384,7 +517,7 @@ def _score(n_buckets: int, frequent, n_tokens: int, n_words: int) -> Callable:
     return run
 
 
-def score_texts(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
+def score_texts(docs: DataFrame, contexts: int | None = None, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
     Needs ``doc_id, text``; other columns are ignored.  Rows with ``crc32(doc_id as text) mod 5 = 1`` are held out, all others
@@ -399,29 +532,34 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = SWEEPS,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets, n_blocks = parts_for(spark, total, SENT_BYTES), parts_for(spark, total, BLOCK_BYTES)
     train = docs.filter(~F.col("held_out")).select("text")
+    meet = lambda *frames: reduce(DataFrame.unionByName, frames).repartitionById(n_buckets, F.col("bucket"))
 
     words = train.mapInArrow(_count_words(n_buckets), _SENT).repartitionById(n_buckets, F.col("bucket"))
-    words = Stage(words.mapInArrow(_frequent_words(contexts), "word long, tokens long, words long"), "words")
+    words = Stage(words.mapInArrow(_frequent_words(contexts or 0), "word long, tokens long, words long"), "words")
     n_tokens, n_words = (int(x or 0) for x in words.df.filter("words > 0").agg(F.sum("tokens"), F.sum("words")).first())
-    top = words.df.filter("words = 0").orderBy(F.desc("tokens"), "word").limit(contexts).collect()
+    top = None
+    if contexts is not None:
+        rows = words.df.filter("words = 0").orderBy(F.desc("tokens"), "word").limit(contexts).collect()
+        top = np.array([r.word for r in rows], np.int64).view(np.uint64)
     words.drop()
-    frequent = send(np.sort(np.array([r.word for r in top], np.int64).view(np.uint64)))
-    n_contexts = len(top) + 2
+    frequent = send(top)
 
     pairs = train.mapInArrow(_count_pairs(n_buckets, frequent), _SENT).repartitionById(n_buckets, F.col("bucket"))
-    state = Stage(pairs.mapInArrow(_first_state(n_buckets, n_contexts), _STATE), "seating")
-    totals, history = _totals(state.df, n_contexts, n_words, None), []
-    for k in range(sweeps):
-        if k > burn:
-            history.append(totals)
-        after = Stage(state.df.mapInArrow(_sweep(send(totals), k, k > burn, n_contexts), _STATE), "seating")
+    state = Stage(pairs.mapInArrow(_first_state(n_buckets), _ROW), "seating")
+    held = Stage(meet(state.df.mapInArrow(_sent_tables(n_buckets, True), _ROW)).mapInArrow(_first_contexts, _ROW), "contexts")
+    totals, history = _totals(state.df, n_words, None), []
+    for k in range(sweeps + 1):
+        record = k > burn or k == sweeps
+        history += [totals] if record else []
+        laid = meet(state.df.mapInArrow(_sent_tables(n_buckets, False), _ROW), held.df).mapInArrow(_summed_tables, _ROW)
+        after = Stage(meet(state.df, laid).mapInArrow(_sweep(send(totals), k, record, k == sweeps), _ROW), "seating")
         state.drop()
-        state, totals = after, _totals(after.df, n_contexts, n_words, totals)
-    history.append(totals)
+        state, totals = after, _totals(after.df, n_words, totals) if k < sweeps else totals
+    held.drop()
 
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     blocks = docs.withColumn("block", block).repartition(int(n_blocks), "block")
-    asked = blocks.groupBy("block").applyInArrow(_ask(n_buckets, frequent), "block int, bucket int, n int, data binary")
-    answered = asked.groupBy("bucket").cogroup(state.df.groupBy("bucket")).applyInArrow(_answer(send(history)), "block int, bucket int, n int, data binary")
+    asked = blocks.groupBy("block").applyInArrow(_ask(n_buckets, frequent), _ROW)
+    answered = meet(state.df, asked).mapInArrow(_answer(send(history)), _ROW).withColumnRenamed("bucket", "block")
     scored = blocks.groupBy("block").cogroup(answered.groupBy("block"))
-    return scored.applyInArrow(_score(n_buckets, frequent, n_tokens, n_words), _SCORES)
+    return scored.applyInArrow(_score(n_buckets, frequent, len(history), n_tokens, n_words), _SCORES)

@@ -1,8 +1,10 @@
 """Each operator against its plain version, over nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +247,45 @@ def test_language_model_sums_to_one(spark):
     assert 0 < sum(model.values()) < 1
 
 
+def test_language_model_every_word_is_a_context(spark):
+    """Each of 600 words is followed by one of its own; the held-out row's pairs are all in the training rows."""
+    import zlib
+
+    rnd = random.Random(3)
+    pairs = [(f"w{k}", f"v{k}") for k in range(600)]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, " ".join(" ".join(p) for p in rnd.sample(pairs, 60))) for i in train] + [(held, " ".join(" ".join(p) for p in pairs))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda **kw: {r.doc_id: r.score for r in score_texts(table, **kw).collect()}[held]
+    whole, capped = of(), of(contexts=255)
+    # a follower costs next to nothing beside its word, which is one of 600; without its context it is one of hundreds itself
+    assert whole > -600 * (math.log10(600) + 0.5) and whole > capped + 345 * 1.5
+
+
+def test_reseat_one_by_one():
+    """Tables of frequent dishes have the mean of customers seated one by one."""
+    from tapeloom.llm.language_model import reseat
+
+    c, a, d, p = 3000, 40.0, 0.7, 0.02
+    dist = {1: 1.0}
+    for seated in range(1, c):  # exact distribution of the number of tables
+        after: dict[int, float] = {}
+        for t, x in dist.items():
+            if x > 1e-12:
+                new = (a + d * t) * p
+                q = new / (new + seated - d * t)
+                after[t] = after.get(t, 0) + x * (1 - q)
+                after[t + 1] = after.get(t + 1, 0) + x * q
+        dist = after
+    mean = sum(t * x for t, x in dist.items())
+    spread = math.sqrt(sum((t - mean) ** 2 * x for t, x in dist.items()))
+    for n in (1, 400):  # dish by dish, and all dishes at once
+        draw, runs = np.random.default_rng(5), 400 // n
+        got = np.concatenate([reseat(np.full(n, c), np.full(n, a), d, np.full(n, p), draw) for _ in range(runs)])
+        assert abs(got.mean() - mean) < 4 * spread / 20 and abs(got.std() / spread - 1) < 0.2
+
+
 def test_embeddings(spark):
     rnd = random.Random(4)
     rows = []
