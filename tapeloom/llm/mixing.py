@@ -70,11 +70,12 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, schedules: dict | None = None,
     whole_documents: bool = False, carry: list[str] | None = None,
 ) -> DataFrame:
-    """``row, size, source_size, target, taken, placements`` of every row of ``docs``.
+    """``row, size, source_size, target, taken, placements, source, start`` of every row of ``docs``.
 
     ``row`` is a struct of the ``carry`` columns (all unless given), so names cannot clash.  ``size`` counts words
     ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none and is never taken.  ``taken`` is the words the mix takes, repeats
-    counted, at most ``most`` times the size.  ``placements`` has the time in [0, 1] and the words of each take.  With
+    counted, at most ``most`` times the size.  ``placements`` has the time in [0, 1] and the words of each take;
+    ``start``, the words of its source before it, tells rows with words apart within their ``source``.  With
     ``whole_documents`` nothing is cut: the last epoch takes documents whose middle lies before the end of demand.  Null
     sources are one source, the last.  Rows are ordered by digest of doc_id, size and text; equal rows may change places,
     which changes no result.  An empty table gives no rows.
@@ -111,10 +112,19 @@ def mix(
     )
     placements = F.transform(F.filter(takes, lambda x: x["words"] > 0), lambda x: F.struct(time(x).alias("time"), x["words"].alias("words")))
     taken = F.col("epochs") * F.col("size") + F.col("last")
-    return placed.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"), placements.alias("placements"))
+    return placed.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"), placements.alias("placements"), F.col("name").alias("source"), start.cast("long").alias("start"))
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """``row, time, words`` of every take, range-partitioned and sorted by time."""
-    takes = mixed.select("row", F.explode("placements").alias("take")).select("row", "take.time", "take.words")
+def training_order(mixed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``row, time, words`` of every take and the ``keep`` columns, range-partitioned and sorted by time."""
+    takes = mixed.select("row", *keep, F.explode("placements").alias("take")).select("row", "take.time", "take.words", *keep)
     return takes.repartitionByRange("time").sortWithinPartitions("time")
+
+
+def taken_in_order(mixed: DataFrame, order: DataFrame) -> DataFrame:
+    """``mixed`` with ``taken`` as the words of a row's takes in ``order``, which keeps ``source`` and ``start``."""
+    sums = order.groupBy(F.col("source").alias("s"), F.col("start").alias("p")).agg(F.sum("words").alias("taken"))
+    rows = mixed.drop("taken")
+    found = rows.filter("size > 0").join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("p")), "left").drop("s", "p")
+    without = rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))  # never taken; several may have one start
+    return found.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).unionByName(without)

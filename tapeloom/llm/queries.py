@@ -10,10 +10,11 @@ from .chat_format import format_chat, read_back
 from .embedding_dedup import embedding_dedup
 from .jaccard_join import ngram_jaccard_join
 from .language_model import score_texts
-from .mixing import mix
+from .mixing import mix, taken_in_order, training_order
 from .ordinal import classify
 from .packing import pack
 from .quality_rules import ERROR, RISK, RULES, quality_rules
+from .shared import Stage
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
@@ -58,8 +59,9 @@ _SIZE = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)"
 
 @_query
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+    mixed = Stage(mix(_table(spark, sf_dir, "documents"), carry=["doc_id"]), "mixed").df
+    order = Stage(training_order(mixed, keep=("source", "start")), "training-order").df  # written in order, times and all
+    return taken_in_order(mixed, order).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 SQL["op2_mixing_sources"] = f"""
@@ -82,6 +84,11 @@ FROM placed
 """
 
 
+@_query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])).select("row.doc_id", "time", "words")
+
+
 @_query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

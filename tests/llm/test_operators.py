@@ -112,6 +112,42 @@ def test_mix(docs, plain):
     assert all(r.size == 0 or r.taken % r.size == 0 for r in whole)
 
 
+def test_mixing_query_takes_in_training_order(spark, monkeypatch):
+    """The query sums the takes of the training order, and a take's time is where the demand meets its middle."""
+    from collections import Counter, defaultdict
+
+    from tapeloom.llm import queries
+    from tapeloom.llm.mixing import SCHEDULES
+
+    from ..conftest import SF_DIR
+
+    taken = {r.doc_id: r for r in queries.op2_mixing_sources(spark, SF_DIR).collect()}
+    order = queries.op2_training_order(spark, SF_DIR).collect()
+    words = Counter()
+    for r in order:
+        words[r.doc_id] += r.words
+    assert {i: r.taken for i, r in taken.items() if r.taken} == words and [r.time for r in order] == sorted(r.time for r in order)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    of = defaultdict(list)
+    for r in order:
+        of[source[r.doc_id]].append(r)
+    names = sorted(set(source.values()), key=lambda x: (x is None, x or ""))
+    for name, takes in of.items():
+        knots, before, total = SCHEDULES[names.index(name) % 3 + 1], 0, sum(r.words for r in takes)
+        areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:])]
+        for r in takes:
+            met = 0.0
+            for (t0, g0), (t1, g1), area in zip(knots, knots[1:], areas):
+                x = min(max(r.time - t0, 0.0), t1 - t0)
+                met += g0 * x + (g1 - g0) / (t1 - t0) * x * x / 2
+            assert met / sum(areas) == pytest.approx((before + r.words / 2) / total, abs=1e-6)
+            before += r.words
+    whole = queries.training_order
+    monkeypatch.setattr(queries, "training_order", lambda *a, **kw: whole(*a, **kw).filter("time < 0.5"))
+    early = {r.doc_id: r.taken for r in queries.op2_mixing_sources(spark, SF_DIR).collect()}
+    assert sum(early.values()) == sum(r.words for r in order if r.time < 0.5)
+
+
 def test_text_counts(docs, plain):
     have = text_counts(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert got(have) == sorted(((i, *brute.text_counts(t)) for i, t in plain), key=repr)
