@@ -1,7 +1,7 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
 A unit vector o is rotated, and the signs of the result are its code; ``f = |o|_1 / sqrt(d)`` of the rotated vector is
-stored as its correction factor.  For a unit vector q, ``<sign(o), q> / sqrt(d) / f`` estimates ``<o, q>`` without bias, with a
+its correction factor; both are computed from the whole vectors in every group that is compared, nothing is stored.  For a unit vector q, ``<sign(o), q> / sqrt(d) / f`` estimates ``<o, q>`` without bias, with a
 standard error of ``sqrt((1 - f^2) / f^2 / (d - 1))``.  A pair whose estimate plus ``SIGMAS`` errors stays below the
 threshold is done with; every other pair is recomputed in double precision, and that decides.
 
