@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .centroids import centroid_clusters
 from .chat_format import format_chat, read_back
 from .embedding_dedup import embedding_dedup
+from .hard_negatives import hard_negatives
 from .jaccard_join import ngram_jaccard_join
 from .language_model import score_texts
+from .line_dedup import line_dedup
 from .mixing import mix, taken_in_order, training_order
 from .ordinal import classify
 from .packing import pack
@@ -210,3 +213,84 @@ FROM embeddings e LEFT JOIN least_of ON least_of.id = vec_id LEFT JOIN counted O
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "piece", "first_word", "n_words", "bin_id", "bin_length", "bin_offset")
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def _finite_sql(x: str) -> str:
+    return f"len({x}) = len(list_filter({x}, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+SQL["op11_hard_negatives"] = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_finite_sql("embedding")}),
+s AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.k <> b.k AND len(a.v) = len(b.v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS r FROM s WHERE alike QUALIFY r <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.alike AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+@_query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return cut.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op12_line_dedup"] = """
+WITH lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+               FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+keyed AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM lines),
+shared AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT r, doc_id, line, pos, coalesce(doc_id < last, false) AS dropped FROM keyed LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
+@_query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def _assign_sql(n: int) -> str:
+    return f"""d{n} AS MATERIALIZED (
+  SELECT k, c.cluster, sum((x - y) * (x - y)) AS distance
+  FROM parts JOIN (SELECT cluster, i, x AS y FROM c{n}) c USING (i) GROUP BY ALL),
+a{n} AS MATERIALIZED (SELECT k, arg_min(cluster, distance * 8 + cluster) AS cluster, min(distance) AS distance FROM d{n} GROUP BY k)"""
+
+
+def _move_sql(n: int) -> str:
+    return f"""c{n + 1} AS MATERIALIZED (
+  SELECT cluster, i, coalesce(m.x, c.x) AS x
+  FROM c{n} c LEFT JOIN (SELECT cluster, i, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+                         FROM parts JOIN a{n} USING (k) GROUP BY cluster, i) m USING (cluster, i))"""
+
+
+_ROUNDS = ",\n".join(part for n in range(10) for part in (_assign_sql(n), _move_sql(n)))
+SQL["op13_centroid_clusters"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_finite_sql("embedding")}),
+parts AS MATERIALIZED (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+first AS (SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS cluster FROM kept QUALIFY cluster < 8),
+c0 AS MATERIALIZED (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM first),
+{_ROUNDS},
+{_assign_sql(10)},
+digests AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY cluster)
+SELECT vec_id, CAST(a10.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY a10.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN kept USING (k) JOIN digests ON digests.cluster = a10.cluster
+"""

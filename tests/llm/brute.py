@@ -121,3 +121,58 @@ def near_vectors(rows, threshold=0.9):
                 count[j] += 1
     own = components({i for i, _ in rows}, links)
     return sorted((i, count[i], own[i], own[i] == i) for i, _ in rows)
+
+
+def _finite(v):
+    return v is not None and all(x is not None and math.isfinite(x) for x in v)
+
+
+def line_dedup(rows, min_chars=40, min_docs=5):
+    """``doc_id, n_lines, n_dropped, kept`` of every row."""
+    def key_of(line):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
+
+    held = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key_of(line)) >= min_chars:
+                held.setdefault(key_of(line), set()).add(i)
+    last = {k: max(ids) for k, ids in held.items() if len(ids) >= min_docs}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if i is None or last.get(key_of(x), i) <= i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def hard_negatives(rows, positives=5, negatives=10, low=30, high=90, every=100, scale=256):
+    """Rows ``vec_id, label, vector``."""
+    fit = [(k, i, c, [math.floor(scale * x) for x in v]) for k, (i, c, v) in enumerate(rows) if i is not None and c is not None and _finite(v)]
+    out = []
+    for k, i, c, q in fit:
+        if i % every:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j, c == d) for m, j, d, v in fit if m != k and len(v) == len(q))
+        for s, p, _ in [x for x in scored if x[2]][:positives]:
+            inside = [(-t, j) for t, j, alike in scored if not alike and low * -s <= 100 * -t <= high * -s]
+            out += [(i, p, r + 1, j, -s, t) for r, (t, j) in enumerate(inside[:negatives])]
+    return sorted(out)
+
+
+def centroid_clusters(rows, k=8, rounds=10, dim=64, scale=1024, seed=3):
+    """Rows ``vec_id, vector``; gives ``vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256``."""
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if _finite(v) and len(v) == dim]
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    centres = [v for _, _, v in sorted((i is None, digest(f"{seed}:{i}"), v) for i, v in kept)[:k]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centres))
+    for _ in range(rounds):
+        own = [nearest(v)[1] for _, v in kept]
+        for n in set(own):
+            mine = [v for (_, v), o in zip(kept, own) if o == n]
+            centres[n] = [sum(x) // len(mine) for x in zip(*mine)]
+    placed = [(i, *nearest(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, n in placed:
+        inertia[n] += d
+    return sorted(((i, n, d, inertia[n], sum(inertia.values()), digest(",".join(map(str, centres[n])))) for i, d, n in placed), key=repr)
