@@ -67,8 +67,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored articles, one per event."""
+    return scored_from(table(spark, sf_dir, "events"))
+
+
+def scored_from(events: DataFrame, *keep: str) -> DataFrame:
     c = F.round(F.col("value") * 100).cast("bigint")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", c.alias("c"))
+    e = events.select("event_id", "user_id", c.alias("c"), *keep)
     compound = ((F.col("c") % 201) - 100) / F.lit(100.0)
     return e.select(
         F.col("event_id").alias("article_id"),
@@ -78,7 +82,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.greatest(compound, F.lit(0.0)).alias("sentiment_positive"),
         (1.0 - F.abs(compound)).alias("sentiment_neutral"),
         F.greatest(-compound, F.lit(0.0)).alias("sentiment_negative"),
-        (0.5 + (F.col("c") % 50) / F.lit(100.0)).alias("confidence"),
+        (0.5 + (F.col("c") % 50) / F.lit(100.0)).alias("confidence"), *keep,
     )
 
 

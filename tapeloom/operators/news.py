@@ -143,25 +143,27 @@ def filter_confidence(scored: DataFrame, adaptive: bool = True) -> DataFrame:
     return scored.filter(F.col("confidence") >= adaptive_threshold(scored, adaptive))
 
 
-def daily_sentiment(scored: DataFrame, quality: bool = True) -> DataFrame:
-    """One row per symbol and day, weighted by confidence and article quality.
-
-    Everything is a sum, count or moment, so articles are reduced on the map side.
-    """
+def weighed_articles(scored: DataFrame, quality: bool, keep: list[str | Column]) -> DataFrame:
+    """The ``keep`` columns, scores and weights that :func:`daily_columns` aggregates."""
     has = set(scored.columns)
     relevance = F.col("relevance_confidence") if "relevance_confidence" in has else None
     weight = text.quality_weight(F.col("headline"), F.col("confidence"), relevance) if quality else F.lit(1.0)
     rows = scored.select(
-        "symbol", F.col("date").cast("date").alias("date"), "sentiment_compound", *SCORES, "confidence",
+        *keep, "sentiment_compound", *SCORES, "confidence",
         weight.alias("__q"),
         (relevance if relevance is not None else F.lit(0.5)).alias("__relevance"),
         (F.col("validated") if "validated" in has else F.lit(False)).alias("__validated"),
-    ).withColumn("__w", F.col("confidence") * F.col("__q"))
+    )
+    return rows.withColumn("__w", F.col("confidence") * F.col("__q"))
+
+
+def daily_columns(quality: bool) -> list[Column]:
+    """Aggregates of weighed articles: sums, counts and moments only, so articles are reduced on the map side."""
     weighted = [
         (F.sum(F.col(c) * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0.0))).alias(c)
         for c in ["sentiment_compound", *SCORES]
     ]
-    return rows.groupBy("symbol", "date").agg(
+    return [
         *weighted,
         (F.sum(F.col("confidence") * F.col("__q")) / F.nullif(F.sum("__q"), F.lit(0.0))).alias("confidence"),
         F.count(F.lit(1)).alias("article_count"),
@@ -171,7 +173,13 @@ def daily_sentiment(scored: DataFrame, quality: bool = True) -> DataFrame:
         F.coalesce(F.avg("__relevance"), F.lit(0.5)).alias("avg_relevance_confidence"),
         F.lit(quality).alias("weighted_aggregation"),
         F.coalesce(F.bool_or("__validated"), F.lit(False)).alias("ticker_validated"),
-    )
+    ]
+
+
+def daily_sentiment(scored: DataFrame, quality: bool = True) -> DataFrame:
+    """One row per symbol and day, weighted by confidence and article quality."""
+    rows = weighed_articles(scored, quality, keep=["symbol", F.col("date").cast("date").alias("date")])
+    return rows.groupBy("symbol", "date").agg(*daily_columns(quality))
 
 
 def class_histogram(df: DataFrame, bound: float = ARTICLE_CLASS_BOUND) -> DataFrame:
