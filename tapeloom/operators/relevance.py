@@ -2,7 +2,14 @@
 
 The dictionary is a parameter: ``{symbol: {category: [terms]}}`` with the
 categories ``names, products, executives, aliases, sector_keywords,
-negative_keywords``.  Terms are lower-case and matched as substrings.
+negative_keywords``, or a table ``(symbol, category, term, ord)`` of any size.
+Terms are lower-case and matched as substrings; an empty term matches nothing.
+
+Scoring the assigned symbol is an equi-join with its entry.  Finding all companies
+of a headline goes through an index: the first ``GRAM`` characters of every term
+(all of a shorter one) are a key, and so are all pieces of these lengths of every
+distinct headline.  Terms whose key occurs are confirmed in the headline, and only
+the companies they belong to are scored there.
 """
 
 from __future__ import annotations
@@ -32,8 +39,18 @@ LEAST_RETENTION = 0.5
 CATEGORIES = ["names", "products", "executives", "aliases", "sector_keywords", "negative_keywords"]
 Dictionary = dict[str, dict[str, list[str]]]
 
-#: Detection holds the whole dictionary in the plan, so its size is checked there; scoring joins it and has no limit.
-MOST_TERMS = 50_000
+POSITIVE_CATEGORIES = CATEGORIES[:-1]
+
+#: Characters of a term that serve as its key in the index.
+GRAM = 5
+
+
+def term_table(spark: SparkSession, dictionary: Dictionary | DataFrame) -> DataFrame:
+    """The dictionary as rows ``symbol, category, term, ord`` without empty terms."""
+    if not isinstance(dictionary, DataFrame):
+        rows = [(s, c, t, i) for s, info in dictionary.items() for c in CATEGORIES for i, t in enumerate(info.get(c, []))]
+        dictionary = spark.createDataFrame(rows, "symbol string, category string, term string, ord int")
+    return dictionary.select("symbol", "category", "term", "ord").filter(F.length("term") > 0)
 
 
 def company_table(spark: SparkSession, dictionary: Dictionary | DataFrame) -> DataFrame:
@@ -42,11 +59,11 @@ def company_table(spark: SparkSession, dictionary: Dictionary | DataFrame) -> Da
     ``dictionary`` is a literal one or a table ``(symbol, category, term, ord)`` of any size.
     """
     if isinstance(dictionary, DataFrame):
-        entry = {c: F.when(F.col("category") == c, F.struct("ord", "term")) for c in CATEGORIES}
+        entry = {c: F.when((F.col("category") == c) & (F.length("term") > 0), F.struct("ord", "term")) for c in CATEGORIES}
         lists = dictionary.groupBy("symbol").agg(*[F.array_sort(F.collect_list(e)).alias(c) for c, e in entry.items()])
         table = lists.select("symbol", *[F.transform(c, lambda x: x["term"]).alias(c) for c in CATEGORIES])
     else:
-        rows = [(s, *[info.get(c, []) for c in CATEGORIES]) for s, info in dictionary.items()]
+        rows = [(s, *[[t for t in info.get(c, []) if t] for c in CATEGORIES]) for s, info in dictionary.items()]
         table = spark.createDataFrame(rows, "symbol string, " + ", ".join(f"{c} array<string>" for c in CATEGORIES))
     weight = lambda name: F.when(
         F.exists("executives", lambda e: name.contains(e)), EXECUTIVE_NAME_WEIGHT
@@ -54,40 +71,10 @@ def company_table(spark: SparkSession, dictionary: Dictionary | DataFrame) -> Da
     return table.withColumn("name_weights", F.transform("names", weight))
 
 
-def dictionary_from_terms(terms: DataFrame) -> Dictionary:
-    """Dictionary from a small table ``(symbol, category, term, ord)``; its size is checked first."""
-    rows = terms.orderBy("symbol", "category", "ord").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} dictionary terms")
-    out: Dictionary = {}
-    for r in rows:
-        out.setdefault(r.symbol, {}).setdefault(r.category, []).append(r.term)
-    return out
-
-
 def _texts(terms: list[str]) -> Column:
     return F.array(*[F.lit(t) for t in terms]).cast("array<string>")
 
 
-def _company(symbol: str, info: dict[str, list[str]]) -> Column:
-    """One dictionary entry as a literal struct; names carry their own weight."""
-    executives = info.get("executives", [])
-    weights = [
-        EXECUTIVE_NAME_WEIGHT if any(e in name for e in executives) else NAME_WEIGHT for name in info.get("names", [])
-    ]
-    return F.struct(
-        F.lit(symbol).alias("symbol"),
-        *[_texts(info.get(c, [])).alias(c) for c in CATEGORIES],
-        F.array(*[F.lit(w) for w in weights]).cast("array<double>").alias("name_weights"),
-    )
-
-
-def _companies(dictionary: Dictionary) -> Column:
-    if sum(len(t) for info in dictionary.values() for t in info.values()) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} dictionary terms")
-    return F.array(*[_company(s, info) for s, info in dictionary.items()])
-
-
 def _found(terms: Column, text: Column) -> Column:
     return F.filter(terms, lambda t: text.contains(t))
 
@@ -192,17 +179,51 @@ def score_relevance(articles: DataFrame, dictionary: Dictionary | DataFrame) ->
     )
 
 
-def detect_companies(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """Adds ``detected``: accepted companies above 0.2, most confident first."""
-    verdicts = _verdicts(F.col("headline"), _companies(dictionary))
-    hits = F.filter(verdicts, lambda v: v["accepted"] & (v["confidence"] > DETECT_ABOVE))
-    ranked = F.array_sort(F.transform(hits, lambda v: F.struct((-v["confidence"]).alias("rank"), v["symbol"].alias("symbol"))))
-    return evaluate_once(
-        articles, "detected", F.transform(ranked, lambda v: F.struct(v["symbol"].alias("symbol"), (-v["rank"]).alias("confidence")))
+def _headline_keys(df: DataFrame) -> DataFrame:
+    """``__h, __g``: two hashes that stand for the lower-cased headline."""
+    text = F.lower(F.coalesce("headline", F.lit("")))
+    return df.withColumns({"__h": F.xxhash64(text), "__g": F.xxhash64(F.lit(1), text)})
+
+
+def named_companies(texts: DataFrame, dictionary: Dictionary | DataFrame) -> DataFrame:
+    """``__h, __g, symbol`` of every company with a term, other than a negative one, in a text ``__h, __g, __text``.
+
+    Pieces and keys meet in an equi-join, so neither side is held in one place: no text meets a term whose key it lacks.
+    """
+    terms = term_table(texts.sparkSession, dictionary).filter(F.col("category").isin(POSITIVE_CATEGORIES))
+    terms = terms.select("symbol", "term", F.substring("term", 1, GRAM).alias("__key")).distinct()
+    lengths = sorted(r[0] for r in terms.select(F.length("__key")).distinct().collect())  # at most GRAM of them
+    pieces = [F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in lengths]  # from every place on
+    grams = texts.select("__h", "__g", F.explode(F.array_distinct(F.concat(_texts([]), *pieces))).alias("__key"))
+    hits = grams.join(terms.select("__key", "term").distinct(), "__key").select("__h", "__g", "term")
+    confirmed = hits.join(texts, ["__h", "__g"]).filter(F.col("__text").contains(F.col("term"))).select("__h", "__g", "term")
+    return confirmed.join(terms.select("term", "symbol").distinct(), "term").select("__h", "__g", "symbol").distinct()
+
+
+def detect_companies(articles: DataFrame, dictionary: Dictionary | DataFrame) -> DataFrame:
+    """Adds ``detected``: accepted companies above 0.2, most confident first.
+
+    Every distinct headline is looked up once, whichever articles carry it; a
+    headline without a company has an empty list.
+    """
+    keyed = _headline_keys(articles)
+    texts = keyed.select("__h", "__g", F.lower(F.coalesce("headline", F.lit(""))).alias("__text")).dropDuplicates(["__h", "__g"])
+    texts = written(texts, "headlines")
+    named = named_companies(texts, dictionary)
+    entries = company_table(articles.sparkSession, dictionary).select("symbol", F.struct("*").alias("__company"))
+    pairs = named.join(entries, "symbol").join(texts, ["__h", "__g"])
+    judged = evaluate_once(pairs.select("__h", "__g", "__text", "__company"), "__v", F.get(_verdicts(F.col("__text"), F.array("__company")), F.lit(0)))
+    hits = judged.filter(F.col("__v.accepted") & (F.col("__v.confidence") > DETECT_ABOVE))
+    ranked = hits.groupBy("__h", "__g").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("__v.confidence")).alias("rank"), F.col("__v.symbol").alias("symbol")))).alias("__ranked")  # those of one headline
     )
+    detected = F.transform("__ranked", lambda v: F.struct(v["symbol"].alias("symbol"), (-v["rank"]).alias("confidence")))
+    found = keyed.join(ranked.select("__h", "__g", detected.alias("detected")), ["__h", "__g"], "left")
+    none = F.array().cast("array<struct<symbol:string,confidence:double>>")
+    return found.select(*articles.columns, F.coalesce("detected", none).alias("detected"))
 
 
-def fan_out(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
+def fan_out(articles: DataFrame, dictionary: Dictionary | DataFrame) -> DataFrame:
     """One row per valid assignment: the original when relevant, others above 0.4."""
     scored = detect_companies(score_relevance(articles, dictionary), dictionary)
     original = F.filter(
@@ -266,7 +287,7 @@ def rejection_histogram(scored: DataFrame, top: int | None = 3) -> DataFrame:
     return ordered.limit(top) if top else ordered
 
 
-def validation_summary(articles: DataFrame, dictionary: Dictionary) -> DataFrame:
+def validation_summary(articles: DataFrame, dictionary: Dictionary | DataFrame) -> DataFrame:
     """Totals, retention, multi-company count and confidence of kept assignments, in one pass."""
     scored = detect_companies(score_relevance(articles, dictionary), dictionary)
     others = F.size(

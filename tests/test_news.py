@@ -98,9 +98,10 @@ def test_guard_returns_everything_when_too_few_survive(spark):
     assert rel.validate_articles(good, DICTIONARY).select("article_id").collect()[0][0] == 9
 
 
-def test_dictionary_from_a_term_table(spark):
-    terms = spark.createDataFrame([("ACME", "names", "b", 1), ("ACME", "names", "a", 0)], "symbol string, category string, term string, ord int")
-    assert rel.dictionary_from_terms(terms) == {"ACME": {"names": ["a", "b"]}}
+def test_terms_of_both_forms_of_a_dictionary(spark):
+    terms = spark.createDataFrame([("ACME", "names", "b", 1), ("ACME", "names", "a", 0), ("ACME", "names", "", 2)], "symbol string, category string, term string, ord int")
+    by_hand = sorted(tuple(r) for r in rel.term_table(spark, {"ACME": {"names": ["a", "b", ""]}}).collect())
+    assert sorted(tuple(r) for r in rel.term_table(spark, terms).collect()) == by_hand == [("ACME", "names", "a", 0), ("ACME", "names", "b", 1)]
 
 
 def test_cleaning(spark):
@@ -218,3 +219,40 @@ def test_both_forms_of_a_dictionary_agree(spark):
     articles = spark.createDataFrame([(s, h) for h in HEADLINES for s in ("ACME", "BOLT", "X")], "symbol string, headline string")
     a, b = (sorted(map(tuple, rel.score_relevance(articles, d).collect())) for d in (DICTIONARY, table))
     assert a == b
+
+
+def test_detection_by_a_table_of_any_size(spark):
+    """200,000 terms: pieces of a headline meet keys of terms, and only confirmed companies are scored."""
+    terms = spark.range(200_000).select(
+        F.format_string("S%05d", (F.col("id") % 40_000).cast("int")).alias("symbol"),
+        F.element_at(F.array(*map(F.lit, ["names", "products", "aliases", "executives", "sector_keywords"])), (F.col("id") / 40_000).cast("int") + 1).alias("category"),
+        F.concat(F.lit("term"), F.col("id"), F.lit("x")).alias("term"), F.lit(0).alias("ord"),
+    )
+    short = spark.createDataFrame([("TINY", "names", "ab", 0), ("TINY", "products", "", 1), ("NOT", "names", "term7x", 0), ("NOT", "negative_keywords", "ab", 0)], terms.schema)
+    headlines = ["Sells TERM7x and term40007x", "cab", "term7", "", None, "term7x ab", "é term199999x é", "term12x term13x " * 200]
+    articles = spark.createDataFrame([(i, h) for i, h in enumerate(headlines * 2)], "article_id long, headline string")
+    got = {(r.article_id, d.symbol): d.confidence for r in rel.detect_companies(articles, terms.unionByName(short)).collect() for d in r.detected}
+    want = {(0, "S00007"): 0.75, (0, "NOT"): 0.6, (1, "TINY"): 0.6, (5, "S00007"): 0.6, (5, "TINY"): 0.6, (7, "S00012"): 0.6, (7, "S00013"): 0.6}
+    assert got == {(i + 8 * k, s): pytest.approx(c) for (i, s), c in want.items() for k in range(2)}
+    assert rel.detect_companies(articles, terms).count() == 16
+
+
+def test_detection_in_both_forms_agrees_when_shuffled(spark):
+    rows = [(s, c, t, i) for s, info in DICTIONARY.items() for c, ts in info.items() for i, t in enumerate(ts)]
+    table = spark.createDataFrame(rows, "symbol string, category string, term string, ord int")
+    articles = spark.createDataFrame([(i, h, "kept") for i, h in enumerate([*HEADLINES, *HEADLINES[:3]])], "article_id long, headline string, term string")
+    a = sorted((tuple(r) for r in rel.detect_companies(articles, DICTIONARY).collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = sorted((tuple(r) for r in rel.detect_companies(articles, table).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert a == b and any(r[-1] for r in a)
+
+
+def test_detection_without_articles_or_terms(spark):
+    none = spark.createDataFrame([], "article_id long, headline string")
+    assert rel.detect_companies(none, DICTIONARY).count() == 0
+    some = spark.createDataFrame([(1, "acme corp")], "article_id long, headline string")
+    empty = spark.createDataFrame([], "symbol string, category string, term string, ord int")
+    assert [r.detected for r in rel.detect_companies(some, empty).collect()] == [[]]
