@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .schemas import RAW_NEWS, require_columns
+from .spanning import read_spanning_csv
 from .standardize import parse_date
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False) -> DataFrame:
     """Parquet, or CSV with a declared schema (no inference pass).
 
-    Fields may hold quotes (doubled) and line breaks.  A CSV file with line breaks
-    inside fields cannot be split, so convert it once (:func:`convert_news`).
+    Fields may hold quotes (doubled).  Say ``line_breaks`` when they may also hold
+    line breaks: records are then put together by :func:`read_spanning_csv`, which
+    reads the splits of a file in parallel as well.
     """
     if schema is None:
         return spark.read.parquet(path)
+    if line_breaks:
+        return read_spanning_csv(spark, path, schema)
     reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-    return reader.option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    return reader.option("quote", '"').option("escape", '"').csv(path)
 
 
 def convert_news(spark: SparkSession, csv_path: str, path: str) -> DataFrame:
@@ -25,7 +29,7 @@ def convert_news(spark: SparkSession, csv_path: str, path: str) -> DataFrame:
 
     A date that fits no layout stays as text beside a NULL date; see :func:`undated`.
     """
-    raw = read_table(spark, csv_path, RAW_NEWS)
+    raw = read_table(spark, csv_path, RAW_NEWS, line_breaks=True)
     require_columns(raw, ["Date", "Article_title", "Stock_symbol"])
     news = raw.select(
         F.col("Date").alias("date_text"), parse_date(F.col("Date")).alias("date"),
