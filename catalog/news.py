@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text
-from tapeloom.operators import indicators as ind, joins, news, relevance as rel, windows
+from tapeloom.operators import grouped, indicators as ind, joins, news, relevance as rel, windows
 from tapeloom.sources.schemas import require_columns
 
-from .base import CTE, DICTIONARY, articles, bars, daily, pick, pick_sql, query, rnd, scored, with_sql
+from .base import CTE, DICTIONARY, articles, bars, daily, pick, pick_sql, query, rnd, scored, scored_from, table, with_sql
 
 EDGE_L, EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 
@@ -534,3 +534,32 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return bars(spark, sf).select("symbol").intersect(articles(spark, sf).select("symbol"))
+
+
+# ---- how the scores of a day lie ----
+
+_QUARTERS = "quantile_cont(sentiment_compound, 75e-2) - quantile_cont(sentiment_compound, 25e-2)"
+_SHAPE = {
+    "sentiment_mean": "avg(sentiment_compound)", "sentiment_std": "coalesce(stddev_samp(sentiment_compound), 0)",
+    "sentiment_skewness": "CASE WHEN max(sentiment_compound) > min(sentiment_compound) AND count(*) > 2 THEN skewness(sentiment_compound) END",
+    "sentiment_range": "max(sentiment_compound) - min(sentiment_compound)", "sentiment_median": "quantile_cont(sentiment_compound, 5e-1)", "sentiment_iqr": _QUARTERS,
+}
+
+
+@query(
+    "daily_sentiment_shape",
+    f"""WITH {CTE['scored']}, timed AS (SELECT s.* REPLACE (CAST(e.ts AS DATE) AS date) FROM scored s JOIN events e ON e.event_id = s.article_id)
+    SELECT symbol, date, count(*) AS article_count, {', '.join(f'{rnd(e, 5)} AS {n}' for n, e in _SHAPE.items())} FROM timed GROUP BY symbol, date""",
+)
+def _(spark, sf):
+    """Median, quartile distance, skewness and range of a symbol's articles on the day of the event."""
+    timed = scored_from(table(spark, sf, "events"), "ts").withColumn("date", F.col("ts").cast("date"))
+    return pick(grouped.sentiment_shape(timed), ["symbol", "date", "article_count"], list(_SHAPE), 5)
+
+
+@query(
+    "symbol_sentiment_shape",
+    f"WITH {CTE['scored']} SELECT symbol, count(*) AS article_count, {', '.join(f'{rnd(e, 5)} AS {n}' for n, e in _SHAPE.items())} FROM scored GROUP BY symbol",
+)
+def _(spark, sf):
+    return pick(grouped.sentiment_shape(scored(spark, sf), ["symbol"]), ["symbol", "article_count"], list(_SHAPE), 5)

@@ -65,8 +65,11 @@ def decay_states(daily: DataFrame, rates: dict[str, float], measures: dict[str,
         for measure, column in measures.items():
             terms[f"__n_{name}_{measure}"] = (F.col(column) * weight, rate)
     scanned = exp_scan(daily, terms, day_number())
+    # a day without weight changes nothing, however long such days go on
     means = {
-        f"{name}_{m}": F.coalesce(ratio(F.col(f"__n_{name}_{m}"), F.col(f"__w_{name}")), F.lit(0.0))
+        f"{name}_{m}": F.coalesce(
+            F.last(F.when(weight > 0, ratio(F.col(f"__n_{name}_{m}"), F.col(f"__w_{name}"))), ignorenulls=True).over(running()), F.lit(0.0)
+        )
         for name in rates
         for m in measures
     }

@@ -325,15 +325,20 @@ def sentiment_averages(df: DataFrame, spans: tuple[int, ...] = (3, 7, 14)) -> Da
 
 
 def smooth_sentiment(df: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """Weighted exponential mean of compound over rows; the raw value is kept beside it."""
+    """Weighted exponential mean of compound over rows; the raw value is kept beside it.
+
+    A row without a value has no weight and keeps the mean of the rows before it;
+    before the first value there is none.
+    """
     rate = -math.log(1.0 - alpha)
+    raw = F.col("sentiment_original")
     df = df.withColumns({"sentiment_original": F.col("sentiment_compound"), "__row": F.row_number().over(series())})
-    df = exp_scan(
-        df, {"__num": (F.col("sentiment_original"), rate), "__den": (F.lit(1.0), rate)}, F.col("__row")
-    )
+    weight = F.when(raw.isNotNull(), F.lit(1.0))
+    df = exp_scan(df, {"__num": (raw, rate), "__den": (weight, rate)}, F.col("__row"))
+    mean = F.when(raw.isNotNull(), F.col("__num") / F.nullif(F.col("__den"), F.lit(0.0)))
     return df.withColumns(
         {
-            "sentiment_compound": F.col("__num") / F.col("__den"),
+            "sentiment_compound": F.last(mean, ignorenulls=True).over(running()),
             "smoothed": F.count(F.lit(1)).over(whole()) > 1,
         }
     ).drop("__row", "__num", "__den")

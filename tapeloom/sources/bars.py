@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numeric import total
 from ..operators.positions import dense_positions
 
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume"]
 
 
-#: Decimal digits that one order number can hold.
-ORDER_DIGITS = 38
+#: Decimal digits that one order number can hold, and those of a plain long.
+ORDER_DIGITS, LONG_DIGITS = 38, 18
 
 
 def order_number(order: list[tuple[str, int]]) -> Column:
@@ -18,16 +19,25 @@ def order_number(order: list[tuple[str, int]]) -> Column:
 
     Each column comes with the digits it may need; a negative or longer value is an
     error, never a wrong order.  One number keeps the aggregation buffers fixed in
-    size, so trades are reduced in a hash table without being sorted first.
+    size, so trades are reduced in a hash table without being sorted first.  It is a
+    long where the digits fit one, else a decimal put together by arithmetic.
     """
-    if sum(digits for _, digits in order) > ORDER_DIGITS:
+    digits = sum(d for _, d in order)
+    if digits > ORDER_DIGITS:
         raise ValueError(f"order columns need more than {ORDER_DIGITS} digits")
-    parts = []
-    for name, digits in order:
-        text = F.col(name).cast("bigint").cast("string")
-        fits = (F.length(text) <= digits) & ~text.startswith("-")
-        parts.append(F.when(fits, F.lpad(text, digits, "0")).otherwise(F.raise_error(F.lit(f"{name} does not fit {digits} digits"))))
-    return F.concat(*parts).cast(f"decimal({ORDER_DIGITS},0)")
+    parts, behind = [], digits
+    for name, width in order:
+        value = F.col(name).cast("bigint")
+        fits = value.between(0, 10**width - 1) if width <= LONG_DIGITS else value >= 0
+        value = F.when(fits, value).when(value.isNotNull(), F.raise_error(F.lit(f"{name} does not fit {width} digits")))
+        behind -= width
+        if digits <= LONG_DIGITS:
+            parts.append(value * 10**behind)
+        else:
+            step = F.lit("1" + "0" * behind).cast(f"decimal({behind + 1},0)")
+            parts.append((value.cast(f"decimal({width},0)") * step).cast(f"decimal({ORDER_DIGITS},0)"))
+    number = total(parts)
+    return number if digits <= LONG_DIGITS else number.cast(f"decimal({ORDER_DIGITS},0)")
 
 
 def daily_bars(
