@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import Stage, parts_for
 
-#: Anchors of a group, vectors of a cell (about 64 MB at 64 components) and of a block, and columns read between two looks at the bounds.
-ANCHORS, CELL, BLOCK, STEP = 4096, 1 << 18, 2048, 8
+#: Anchors of a group, most vectors of a cell (about 64 MB at 64 components), vectors that are worth a cell of their own,
+#: vectors of a block, and columns read between two looks at the bounds.
+ANCHORS, CELL, LEAST_CELL, BLOCK, STEP = 4096, 1 << 18, 4096, 2048, 8
 #: Integers above this size would not surely give scores within a long.
 LIMIT = 1 << 23
 LONGEST = 4096
@@ -197,7 +198,8 @@ def hard_negatives(
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull())
     table = Stage(rows.select(F.monotonically_increasing_id().alias("key"), "*", F.size("vec").alias("dim")), "vectors")  # keys are frozen here
     chosen = table.df.filter(F.col("vec_id") % every == 0)
-    cells, groups = parts_for(spark, table.df.count(), CELL), -(-chosen.count() // ANCHORS)
+    n, groups = table.df.count(), -(-chosen.count() // ANCHORS)
+    cells = max(-(-n // CELL), min(parts_for(spark, 0, 1), -(-n // LEAST_CELL)))  # a cell sends its best k, however few vectors it has
     dealt = lambda n, name: F.pmod(F.xxhash64("key", F.lit(name)), F.lit(max(n, 1))).cast("int").alias(name)
     all_of = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias(name)
     cell_rows = table.df.select("key", "vec_id", "label", "vec", "dim", dealt(cells, "cell"), all_of(groups, "group"))

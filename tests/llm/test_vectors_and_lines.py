@@ -162,6 +162,7 @@ def test_hard_negatives(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, label int, embedding array<double>, `rank` string, `a.b` int").repartition(3)
     want = brute.hard_negatives(rows)
     assert len(want) > 150 and got(hard_negatives(df)) == sorted(want, key=repr)
+    monkeypatch.setattr(negatives_module, "LEAST_CELL", 40)
     monkeypatch.setattr(negatives_module, "CELL", 40)  # many cells, groups and blocks give the same
     monkeypatch.setattr(negatives_module, "ANCHORS", 2)
     assert got(hard_negatives(df)) == sorted(want, key=repr)
