@@ -4,13 +4,15 @@ Documents are sets of word shingles; two link when ``100 * |A n B| >= percent *
 
 * Index lists hold, for each shingle, the sets that have it among their first ``n - ceil(percent * n / 100) + 1``
   shingles, in one global order: shingles of long lists last, else by hash.  Two sets that link meet in a list.
+* Shingles with the same list are one list, that of the first of them in the order: sets that meet in the others meet there
+  as well, and at an earlier position.  Lists are the same if count, ends and two sums of 31-bit hashes of the ids are.
 * Long lists are cut in blocks of similar set size.  Blocks more than one apart, and entries whose position leaves too few
   shingles behind it, are skipped without being read against each other.
 * Answers are derived from the answers of a similar set.  Every longer list has a pivot, its smallest id; the sets of
   the list are first compared with the pivot alone.  A set that links with a pivot takes over its component, and from
   then on only sets outside of that component are compared with it.
-* A 256-bit parity map of each set bounds ``|A xor B|`` from below, so most pairs fall inside the join, without reading
-  the sets; what remains is decided by the sets themselves.
+* A parity map of each set (``64 * MAPS`` bits) bounds ``|A xor B|`` from below, so most pairs fall inside the join, without
+  reading the sets; what remains is decided by the sets themselves.
 
 Copies are one set.  A group of n near copies costs n comparisons per pivot, not n * n.
 """
@@ -35,7 +37,10 @@ PIVOT_FROM, BLOCKS_FROM = 8, 64
 LONG_LISTS = 1 << 16
 LONG_FROM = 16
 
-_SIGNATURE = "doc_id long, n_shingles long, lo long, hi long, m0 long, m1 long, m2 long, m3 long, prefix array<long>"
+#: Longs of a parity map, and sets with their maps that are broadcast (about 8 MB).
+MAPS, WITH_MAPS = 16, 50_000
+_MAPS = [f"m{k}" for k in range(MAPS)]
+_SIGNATURE = "doc_id long, n_shingles long, lo long, hi long, " + ", ".join(f"{m} long" for m in _MAPS) + ", prefix array<long>"
 _POSTING = "token long, doc_id long, pos int"
 
 
@@ -59,15 +64,16 @@ def _signatures(size: int, percent: int) -> Callable:
                 np.cumsum(scan.mix(value), out=total[0, 1:])
                 np.cumsum(scan.mix(value ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=total[1, 1:])
                 lo, hi = total[:, bounds[1:]] - total[:, bounds[:-1]]
-                parity = np.bincount(row * 256 + (value >> np.uint64(56)).astype(np.int64), minlength=256 * len(counts))
-                maps = np.packbits((parity & 1).astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64).reshape(-1, 4)
+                bits = 64 * MAPS
+                parity = np.bincount(row * bits + (value % np.uint64(bits)).astype(np.int64), minlength=bits * len(counts))
+                maps = np.packbits((parity & 1).astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64).reshape(-1, MAPS)
                 ahead = _prefix(counts, percent)
                 taken = value[take_ranges(bounds[:-1], ahead)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, last - first), pa.array(counts.astype(np.int64)), signed(lo), signed(hi),
-                     *[pa.array(maps[:, k].copy()) for k in range(4)],
+                     *[pa.array(maps[:, k].copy()) for k in range(MAPS)],
                      lists(taken.view(np.int64), np.concatenate([[0], np.cumsum(ahead)]), pa.int64())],
-                    ["doc_id", "n_shingles", "lo", "hi", "m0", "m1", "m2", "m3", "prefix"],
+                    ["doc_id", "n_shingles", "lo", "hi", *_MAPS, "prefix"],
                 )
 
     return run
@@ -146,7 +152,7 @@ def _verified(docs: DataFrame, pairs: Stage, size: int, percent: int) -> Stage:
 def _possible(x: str, y: str, percent: int):
     """Whether sizes and parity maps allow that the sets of aliases ``x`` and ``y`` link."""
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))) for k in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in _MAPS), F.lit(0))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -162,6 +168,21 @@ def _long_lists(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], ranks[order]
 
 
+def _shared_lists(posts: DataFrame, long_lists: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``token, first, entries`` of every list with different ids; of the same lists the one that comes first in the order."""
+    late = posts.sparkSession.createDataFrame(
+        pa.table([signed(long_lists[0]), pa.array(long_lists[1].astype(np.int64) + 1)], ["token", "late"])
+    )
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 31) - 1))
+    whole = posts.groupBy("token").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("end"), F.count("*").alias("entries"), part(0).alias("f"), part(1).alias("g")
+    )
+    unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
+    placed = whole.filter("first < end").join(F.broadcast(late), "token", "left").withColumn("place", F.struct(F.coalesce("late", F.lit(0)).alias("late"), unsigned.alias("token")))
+    kept = placed.groupBy("first", "end", "entries", "f", "g").agg(F.min_by("token", "place").alias("token"))
+    return kept.select("token", "first", "entries")
+
+
 def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (needs ``doc_id, text``; other columns are ignored).
 
@@ -172,35 +193,47 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signature = Stage(docs.mapInArrow(_signatures(size, percent), _SIGNATURE), "signatures")
-    sig = signature.df.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = Stage(sig.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    copies = (
-        sig.select("lo", "hi", "n_shingles", "doc_id").join(classes.df, ["lo", "hi", "n_shingles"])
-        .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    )
+    sets_key = ["lo", "hi", "n_shingles"]
+    found = signature.df.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = Stage(found.groupBy(*sets_key).agg(F.min("doc_id").alias("rep")), "classes")
     key = classes.df.withColumnRenamed("rep", "doc_id")
-    maps = ["doc_id", "n_shingles", "m0", "m1", "m2", "m3"]
-    sets = Stage(sig.select(*maps, "lo", "hi").join(key, ["lo", "hi", "n_shingles", "doc_id"], "left_semi").select(*maps).distinct(), "sets")
+    one = found.join(key, [*sets_key, "doc_id"], "left_semi")
+    sets = Stage(one.select("doc_id", "n_shingles", *_MAPS).distinct(), "sets")
     n_sets = sets.df.count()
-    long_lists = spark.sparkContext.broadcast(_long_lists(sig.join(key, ["lo", "hi", "n_shingles", "doc_id"], "left_semi")))
-    posts = docs.filter("doc_id IS NOT NULL").mapInArrow(_postings(size, percent, long_lists), _POSTING)
-    whole = posts.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("end"), F.count("*").alias("entries"))
-    listed = Stage(posts.join(whole.filter("first < end").drop("end"), "token"), "lists")
-
-    of = lambda name: maybe_broadcast(sets.df, n_sets).alias(name)
+    order = _long_lists(one)
+    long_lists = spark.sparkContext.broadcast(order)
+    slim = Stage(signature.df.select("doc_id", *sets_key), "sizes")
+    signature.drop()
+    copies = Stage(
+        slim.df.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.df, sets_key)
+        .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b"), "copies",
+    )
+    classes.drop()
+    stands = docs.join(maybe_broadcast(sets.df.select("doc_id").distinct(), n_sets), "doc_id", "left_semi")
+    posts = stands.select("doc_id", "text").mapInArrow(_postings(size, percent, long_lists), _POSTING)
+    listed = posts.join(_shared_lists(posts, order), "token")
+    several = sets.df.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("several"))
+    if not several.isEmpty():  # texts of one doc_id lie in one another's lists, at positions of their own
+        listed = listed.join(several, "doc_id", "left").withColumn("pos", F.when(F.col("several"), 0).otherwise(F.col("pos"))).drop("several")
+    listed = Stage(listed.select("token", "doc_id", "pos", "first", "entries"), "lists")
+
+    of = lambda name: maybe_broadcast(sets.df, n_sets, WITH_MAPS).alias(name)
     stars = (
         listed.df.filter((F.col("entries") >= PIVOT_FROM) & (F.col("first") < F.col("doc_id"))).select("first", "doc_id").distinct().alias("p")
         .join(of("x"), F.col("p.first") == F.col("x.doc_id")).join(of("y"), F.col("p.doc_id") == F.col("y.doc_id"))
         .filter(_possible("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
     links = _verified(docs, Stage(stars, "stars"), size, percent)
-    known = Stage(components(links.df.unionAll(copies)), "known")
+    known = Stage(components(links.df.unionAll(copies.df)), "known")
 
-    placed = sets.df.join(known.df.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    placed = sets.df.select("doc_id", "n_shingles").distinct().join(known.df.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    placed = placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
     band = F.floor(F.log("n_shingles") / -math.log(percent / 100)) if percent < 100 else F.col("n_shingles")
-    entries = listed.df.drop("first").join(maybe_broadcast(placed.drop("component"), n_sets), "doc_id")
+    entries = listed.df.drop("first").join(maybe_broadcast(placed, n_sets), "doc_id")
     mixed = entries.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
-    entries = Stage(entries.withColumn("band", band.cast("int")).join(mixed, "token", "left_semi"), "entries")
+    entries = entries.withColumn("band", band.cast("int")).join(mixed, "token", "left_semi")
+    entries = Stage(entries.join(maybe_broadcast(sets.df, n_sets, WITH_MAPS), ["doc_id", "n_shingles"]), "entries")
+    listed.drop()
     cut = F.col("entries") >= BLOCKS_FROM
     x = entries.df.withColumn("block", F.when(cut, F.col("band")).otherwise(0)).alias("x")
     y = entries.df.withColumn("block", F.explode(F.when(cut, F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array(F.lit(0))))).alias("y")
@@ -212,8 +245,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         & (ahead * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent) & _possible("x", "y", percent),
     ).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = _verified(docs, Stage(rest, "rest"), size, percent)
-    last = components(links.df.unionAll(more.df).unionAll(copies))
-    for done in (listed, entries, known, sets):
-        done.drop()
-    out = signature.df.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    entries.drop()
+    known.drop()
+    sets.drop()
+    last = components(links.df.unionAll(more.df).unionAll(copies.df))
+    out = slim.df.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -6,13 +6,17 @@ context of a token is the word before it, or the start of a text: every training
 parent, and a word that no training row has is an empty restaurant, which is the parent.  With ``contexts`` given only so
 many most frequent words are contexts and all others share one.
 
-Seating is sampled by Gibbs sweeps: for each dish of each restaurant its customers leave and sit down again one after the
-other, at a new table in proportion to ``(strength + discount * tables) * parent probability``, at an old one in proportion
-to ``customers - discount * tables``; then the parent's customers do.  Given the totals of the restaurants words are
-independent, so state is dealt by word hash.  Before a sweep every bucket of words sends its tables per context to the
-bucket of the context, which sums them and answers in the same order; a context is one row of numbers per bucket of words,
-however many tokens follow it.  Only six totals of the parent reach the driver.  The predictive probabilities of the states
-after ``BURN`` sweeps are averaged.  Discounts come from the counts of counts, ``n1 / (n1 + 2 n2)``.
+Seating is sampled by Gibbs sweeps: for each dish of each restaurant the number of its tables is drawn anew, all customers
+of the dish getting up and sitting down together.  Given the other dishes, t tables of c customers weigh
+``S(c, t) * parent ** t * (strength + discount * other tables) (... + discount) ... (t factors)``, S being the generalised
+Stirling numbers (the ways to seat them): their logs are a table up to ``EXACT`` customers, and above it a sum that is
+exact where it does not cancel, else a saddle point.  Then the parent's dishes are drawn alike.  All dishes of a sweep are
+drawn against the table counts and parent before it.  Given those totals words are independent, so state is dealt by word
+hash.  Before a sweep every bucket of words sends its tables per context to the bucket of the context, which sums them and
+answers in the same order; a context is one row of numbers per bucket of words, however many tokens follow it.  The state
+itself stays where it is, in a table bucketed by word bucket.  Only six totals of the parent reach the driver.  The
+predictive probabilities of the states after ``BURN`` sweeps are averaged.  Discounts come from the counts of counts,
+``n1 / (n1 + 2 n2)``.
 
 Scoring: a block of documents asks for its distinct (context, word) pairs and words, the word's bucket answers in the same
 order, and the block adds up its texts.  Counting, asking and answering send distinct pairs per task or block, never tokens,
@@ -21,6 +25,8 @@ so a word or word pair with a third of all tokens is one row per block.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -29,14 +35,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tapeloom.session import stage_path
+
 from . import scan
 from .shared import Stage, parts_for
 from .wire import dealt, gathered, packed, unpacked
 
 SWEEPS, BURN, STRENGTH = 6, 2, 1.0
 SENT_BYTES, BLOCK_BYTES, HELD_KEYS = 32 << 20, 16 << 20, 1 << 20
-#: Customers of one dish that are seated in one round, and the dishes up to which that is done dish by dish.
-ROUND, FEW = 1 << 16, 16
+#: Customers of a dish up to which Stirling numbers come from a table, and cells weighed at a time.
+EXACT, CELLS = 1024, 1 << 20
 END, START, OTHER = np.uint64(0x5E4D0F7E47), np.uint64(0x57A127), np.uint64(0x07BE2)
 _SENT = "bucket int, n int, data binary"
 
@@ -307,43 +315,111 @@ def _summed_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _batch([*rows, (bucket, _OWN, bucket, [len(contexts)], [packed([contexts, customers, tables])], None)])
 
 
-def _seat_on(customers: int, seated: int, tables: float, strength: float, discount: float, chance: float, draw: np.random.Generator) -> float:
-    """Tables of one dish when its customers from ``seated`` on have sat down one after the other.
+def log_stirling(n: int, discount: float) -> np.ndarray:
+    """``out[c, t]``: log of the generalised Stirling number of c customers at t tables, for both up to ``n``."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, n):
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - discount * t)
+        out[c + 1, 2 : c + 2] = np.logaddexp(out[c + 1, 2 : c + 2], out[c, 1 : c + 1])
+    return out
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function for positive numbers, Stirling's series from 10 on."""
+    x = np.asarray(x, np.float64)
+    shift = np.zeros_like(x)
+    for _ in range(10):
+        low = x < 10
+        shift = np.where(low, shift - np.log(np.where(low, x, 1.0)), shift)
+        x = np.where(low, x + 1, x)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
 
-    A round of customers draws first; which of them open a table is the fixed point of the draws against the chances, found
-    from below: every pass settles at least the first customer that is still wrong.
+
+def log_stirling_large(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same for one large number of customers and a row of table counts.
+
+    ``S(c, t) = 1 / (d^t t!) * sum over j of (-1)^j C(t, j) Gamma(c - j d) / Gamma(-j d)`` while that sum loses fewer than
+    about 12 powers of e; beyond, S is c! / (d^t t!) times the coefficient of x^c in ``(1 - (1 - x)^d)^t``, by its saddle point.
     """
-    while seated < customers:
-        at = np.arange(seated, min(seated + ROUND, customers))
-        drawn, opened = draw.random(len(at)), np.zeros(len(at), bool)
-        while True:
-            before = tables + np.cumsum(opened) - opened
-            new = (strength + discount * before) * chance
-            again = drawn * (new + at - discount * before) < new
-            if (again == opened).all():
-                break
-            opened = again
-        tables, seated = tables + opened.sum(), seated + len(at)
-    return tables
+    d, t = discount, np.asarray(t, np.float64)
+    out = np.empty(len(t))
+    lost = (1 - d) * (t * float(c) ** -d) ** (1 / (1 - d))
+    plain = lost <= 12
+    whole = _log_gamma(t + 1) + t * math.log(d)
+    if plain.any():
+        u = t[plain]
+        j = np.arange(1, int(min(u.max(), 60 + 6 * lost[plain].max() / (1 - d))) + 1, dtype=np.float64)[:, None]
+        size = _log_gamma(u + 1) - _log_gamma(j + 1) - _log_gamma(np.maximum(u - j, 0) + 1) + _log_gamma(1 + j * d) + _log_gamma(c - j * d)
+        size = np.where(j <= u, size, -np.inf)
+        top = size.max(axis=0)
+        sign = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(math.pi * d * j) / math.pi
+        total = (sign * np.exp(size - top)).sum(axis=0)
+        out[plain] = np.log(np.maximum(total, 1e-300)) + top - whole[plain]
+    if not plain.all():
+        u = t[~plain]
+        low, high = np.full(len(u), 1e-300), np.ones(len(u))  # y = 1 - x; x f'(x) / f(x) falls in y from beyond c / t to 1
+        for _ in range(200):
+            y = np.sqrt(low * high)
+            slope = u * d * (1 - y) * y ** (d - 1) / (1 - y**d)
+            low, high = np.where(slope > c, y, low), np.where(slope > c, high, y)
+        y = np.sqrt(low * high)
+        x, f = 1 - y, 1 - y**d
+        f1, f2 = d * y ** (d - 1), d * (1 - d) * y ** (d - 2)
+        spread = u * (x * f1 / f + x * x * f2 / f - (x * f1 / f) ** 2)
+        coefficient = u * np.log(f) - c * np.log1p(-y) - 0.5 * np.log(2 * math.pi * np.maximum(spread, 1e-300))
+        out[~plain] = coefficient + float(_log_gamma(np.float64(c + 1))) - whole[~plain]
+    return out
 
 
-def reseat(customers: np.ndarray, strength: np.ndarray, discount: float, chance: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-    """Tables after the customers of each dish sat down anew; ``strength`` counts the tables of the other dishes."""
-    out = np.ones(len(customers), np.int64)
-    more = np.flatnonzero(customers > 1)
-    order = more[np.argsort(-customers[more], kind="stable")]
-    c, a, p = customers[order], strength[order], chance[order]
-    tables, seated = np.ones(len(c)), 1
+_STIRLING: dict[float, np.ndarray] = {}
+
+
+def _stirling(discount: float) -> np.ndarray:
+    if discount not in _STIRLING:
+        if len(_STIRLING) > 3:
+            _STIRLING.clear()
+        _STIRLING[discount] = log_stirling(EXACT, discount)
+    return _STIRLING[discount]
+
+
+def _drawn(log_weight: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """One plus the place drawn in each row."""
+    weight = np.exp(log_weight - log_weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+    return 1 + (weight < (u * weight[:, -1])[:, None]).sum(axis=1)
+
+
+def _large(c: int, a: float, p: float, discount: float, u: float) -> int:
+    """The same for a dish of more than ``EXACT`` customers: all table counts up to where the weights are negligible."""
+    most = 256
     while True:
-        n = int(np.searchsorted(-c, -seated, "left"))  # dishes with more customers than are seated
-        if n <= FEW:
-            break
-        new = (a[:n] + discount * tables[:n]) * p[:n]
-        tables[:n] += draw.random(n) * (new + seated - discount * tables[:n]) < new
-        seated += 1
-    for i in range(n):
-        tables[i] = _seat_on(int(c[i]), seated, tables[i], a[i], discount, p[i], draw)
-    out[order] = tables.astype(np.int64)
+        t = np.arange(1, min(most, c) + 1)
+        log = log_stirling_large(c, t, discount) + t * math.log(p) + np.cumsum(np.log(a + discount * (t - 1.0)))
+        if len(t) == c or log[-1] < log.max() - 45:
+            return int(_drawn(log[None, :], np.array([u]))[0])
+        most *= 4
+
+
+def reseat(customers: np.ndarray, strength: np.ndarray, discount: float, chance: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Tables of each dish drawn anew; ``strength`` counts the tables of the other dishes, ``chance`` is the parent's."""
+    out, u = np.ones(len(customers), np.int64), draw.random(len(customers))
+    order = np.argsort(customers, kind="stable")
+    sizes, starts = np.unique(customers[order], return_index=True)
+    for c, start, end in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        if c <= 1:
+            continue
+        rows = order[start:end]
+        if c > EXACT:
+            out[rows] = [_large(c, *x) for x in zip(strength[rows], chance[rows], [discount] * len(rows), u[rows])]
+            continue
+        ways, t = _stirling(discount)[c, 1 : c + 1], np.arange(1, c + 1)
+        step = max(CELLS // c, 1)
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            log = np.cumsum(np.log(strength[part, None] + discount * (t - 1)), axis=1) + np.log(chance[part])[:, None] * t + ways
+            out[part] = _drawn(log, u[part])
     return out
 
 
@@ -517,6 +593,39 @@ def _score(n_buckets: int, frequent, samples: int, n_tokens: int, n_words: int)
     return run
 
 
+class Seating:
+    """State as a table in the shared folder, bucketed so that what is dealt by ``bucket`` meets it where it lies."""
+
+    def __init__(self, df: DataFrame, n_buckets: int) -> None:
+        self.spark, self.name = df.sparkSession, f"seating_{uuid.uuid4().hex[:12]}"
+        self.path = stage_path(self.spark, "seating")
+        df.write.format("parquet").option("path", self.path).bucketBy(n_buckets, "bucket").saveAsTable(self.name)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _together(run: Callable) -> Callable:
+    """``run`` over the rows of a bucket from both sides."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = list(run(iter([*left.to_batches(), *right.to_batches()])))
+        return pa.Table.from_batches(batches or [_batch([])])
+
+    return both
+
+
+def _at(seating: Seating, sent: DataFrame, run: Callable) -> DataFrame:
+    """``run`` where the state lies; only ``sent`` is shuffled."""
+    return seating.df.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_together(run), _ROW)
+
+
 def score_texts(docs: DataFrame, contexts: int | None = None, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
@@ -545,14 +654,14 @@ def score_texts(docs: DataFrame, contexts: int | None = None, sweeps: int = SWEE
     frequent = send(top)
 
     pairs = train.mapInArrow(_count_pairs(n_buckets, frequent), _SENT).repartitionById(n_buckets, F.col("bucket"))
-    state = Stage(pairs.mapInArrow(_first_state(n_buckets), _ROW), "seating")
-    held = Stage(meet(state.df.mapInArrow(_sent_tables(n_buckets, True), _ROW)).mapInArrow(_first_contexts, _ROW), "contexts")
+    state = Seating(pairs.mapInArrow(_first_state(n_buckets), _ROW), n_buckets)
+    held = Seating(meet(state.df.mapInArrow(_sent_tables(n_buckets, True), _ROW)).mapInArrow(_first_contexts, _ROW), n_buckets)
     totals, history = _totals(state.df, n_words, None), []
     for k in range(sweeps + 1):
         record = k > burn or k == sweeps
         history += [totals] if record else []
-        laid = meet(state.df.mapInArrow(_sent_tables(n_buckets, False), _ROW), held.df).mapInArrow(_summed_tables, _ROW)
-        after = Stage(meet(state.df, laid).mapInArrow(_sweep(send(totals), k, record, k == sweeps), _ROW), "seating")
+        laid = _at(held, state.df.mapInArrow(_sent_tables(n_buckets, False), _ROW), _summed_tables)
+        after = Seating(_at(state, laid, _sweep(send(totals), k, record, k == sweeps)), n_buckets)
         state.drop()
         state, totals = after, _totals(after.df, n_words, totals) if k < sweeps else totals
     held.drop()
@@ -560,6 +669,6 @@ def score_texts(docs: DataFrame, contexts: int | None = None, sweeps: int = SWEE
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     blocks = docs.withColumn("block", block).repartition(int(n_blocks), "block")
     asked = blocks.groupBy("block").applyInArrow(_ask(n_buckets, frequent), _ROW)
-    answered = meet(state.df, asked).mapInArrow(_answer(send(history)), _ROW).withColumnRenamed("bucket", "block")
+    answered = _at(state, asked, _answer(send(history))).withColumnRenamed("bucket", "block")
     scored = blocks.groupBy("block").cogroup(answered.groupBy("block"))
     return scored.applyInArrow(_score(n_buckets, frequent, len(history), n_tokens, n_words), _SCORES)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom.functions import evaluate_once
 
-from .shared import Stage, maybe_broadcast
+from .shared import Stage, maybe_broadcast, struct_of
 
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,9 +50,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: l
     loses its own lines; equal rows get equal results.  A null doc_id counts for no key and keeps its text.  Columns of the
     input sit inside ``row``, so their names cannot clash.  An empty table gives no rows.
     """
-    quoted = [f"`{c.replace('`', '``')}`" for c in carry or docs.columns]
     rows = docs.select(
-        F.struct(*quoted).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        struct_of(carry or docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("digest", F.xxhash64("text"))
     lines = Stage(long_lines(rows, min_chars), "line-keys")

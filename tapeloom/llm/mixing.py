@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import maybe_broadcast, n_words
+from .shared import maybe_broadcast, n_words, struct_of
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -81,7 +81,7 @@ def mix(
     which changes no result.  An empty table gives no rows.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    rows = docs.select(struct_of(carry or docs.columns).alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
     rows = rows.select("row", "source", n_words("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"), F.xxhash64("text").alias("tie"))
     slim = docs.select(F.col("source").cast("string").alias("source"), text.alias("text")).select("source", n_words("text").alias("size"))
     targets = source_targets(slim, weights, most)

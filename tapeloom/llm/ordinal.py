@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import scan
-from .shared import blobs
+from .shared import blobs, nullable, struct_of, with_row
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
@@ -141,7 +141,7 @@ def _score(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
         for batch in batches:
-            row = batch.column("row")
+            row = nullable(batch.column("row"))
             for r in scan.runs(batch.column("text")):
                 own = row.slice(r.first, r.last - r.first)
                 if m is None:
@@ -187,6 +187,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: li
     Without labelled documents the scores are null and everything is kept.  An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, sample))  # BUCKETS floats
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    kinds = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"row {kinds}, expected_grade double, p_poor_or_better double, p_good double, kept boolean")
+    rows = docs.select(struct_of(carry or docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_score(model), with_row(rows, "expected_grade double, p_poor_or_better double, p_good double, kept boolean"))

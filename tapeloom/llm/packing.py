@@ -1,6 +1,7 @@
 """Best-fit packing into bins of several permitted lengths.
 
-Documents are cut in pieces of at most the largest length and dealt by hash to shards of about ``PER_SHARD`` pieces; a
+Words are counted once and rows numbered; then documents are cut in pieces of at most the largest length and dealt by a hash
+of row number and piece to shards of about ``PER_SHARD`` pieces, so equal rows are dealt over all shards like others.  A
 shard has the length mix of the corpus, so packing shards apart costs next to nothing and needs bounded memory.  Within a
 shard pieces go from long to short into the open bin that they fill best.  Where none has room, a bin is opened in the
 size of least cost per word expected in it, given the pieces that are left and would fit beside this one.  At the end
@@ -16,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import n_words
+from .shared import Stage, n_words, nullable, struct_of, with_row
 
 LENGTHS = (512, 1024, 2048, 4096)
 PER_SHARD = 8192
-_SHARD_BINS = 1 << 20
+_SHARD_BINS = 1 << 32
 
 
 def bin_cost(length: int, longest: int) -> float:
@@ -76,12 +77,12 @@ def _pack(lengths: tuple[int, ...]) -> Callable:
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
         size = shard.column("n_words").to_numpy()
-        order = np.lexsort((shard.column("tie").to_numpy(), -size))
+        order = np.lexsort((shard.column("uid").to_numpy(), shard.column("tie").to_numpy(), -size))
         bins, offsets, length = best_fit(size[order], lengths)
         shard = shard.take(pa.array(order))
         own = shard.column("shard").to_numpy() * _SHARD_BINS + bins
         return pa.table(
-            [shard.column("row"), shard.column("piece"), shard.column("first_word"), shard.column("n_words"),
+            [nullable(shard.column("row")), shard.column("piece"), shard.column("first_word"), shard.column("n_words"),
              pa.array(own), pa.array(length), pa.array(offsets)], _NAMES
         )
 
@@ -96,26 +97,24 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_shard: int = P
 
     ``row`` is a struct of the ``carry`` columns (all unless given), so names cannot clash.  A document of n words has
     ``ceil(n / max(lengths))`` pieces; all but the last are full.  A null or empty text has one piece of no words, in no
-    bin (null).  Repeated rows are packed each on its own; rows that tie in every column may change places.  An empty
-    table gives no rows.
+    bin (null).  Repeated rows are packed each on its own.  Which bin a piece gets depends on the place of its row in the
+    input.  An empty table gives no rows.
     """
     longest = max(lengths)
     rows = docs.select(
-        F.struct(*(carry or docs.columns)).alias("row"), n_words("text").alias("size"),
-        F.xxhash64(F.col("doc_id"), F.col("text")).alias("digest"),
+        struct_of(carry or docs.columns).alias("row"), n_words("text").alias("size"),
+        F.xxhash64(F.col("doc_id"), F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("uid"),
     )
-    pieces = rows.select(
-        "row", "size", "digest", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / longest).cast("int") - 1, F.lit(0)))).alias("piece")
-    ).select(
+    rows = Stage(rows, "sized-rows").df  # numbers are frozen here
+    last = F.greatest(F.ceil(F.col("size") / longest).cast("int") - 1, F.lit(0))
+    pieces = rows.select("row", "size", "digest", "uid", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
         "row", "piece", (F.col("piece") * F.lit(longest).cast("long")).alias("first_word"),
         F.least(F.col("size") - F.col("piece") * longest, F.lit(longest)).cast("long").alias("n_words"),
-        F.xxhash64("digest", "piece").alias("tie"),
+        F.xxhash64("digest", "piece").alias("tie"), "uid",
     )
-    sizes = docs.select(n_words("text").alias("size")).agg(F.sum(F.greatest(F.ceil(F.col("size") / longest), F.lit(1))))
-    shards = max(1, -(-(sizes.first()[0] or 0) // per_shard))
-    kinds = pieces.schema["row"].dataType.simpleString()
-    kinds = f"row {kinds}, piece int, first_word long, n_words long, bin_id long, bin_length long, bin_offset long"
-    filled = pieces.filter("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("tie"), F.lit(shards)))
+    shards = max(1, -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // per_shard))
+    kinds = with_row(pieces, "piece int, first_word long, n_words long, bin_id long, bin_length long, bin_offset long")
+    filled = pieces.filter("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("uid", "piece"), F.lit(shards)))
     packed = filled.groupBy("shard").applyInArrow(_pack(lengths), kinds)
     blank = [F.lit(None).cast("long").alias(c) for c in _NAMES[4:]]
     return packed.unionByName(pieces.filter("n_words = 0").select("row", "piece", "first_word", "n_words", *blank))

@@ -1,24 +1,31 @@
 """Quality rules with risk-controlled thresholds, in built-in functions only.
 
 Counts of a text give four scores in thousandths (``RULES``); a rule rejects scores above its cutoff.  Cutoffs are chosen
-per stratum (language) on labelled rows: for every stratum, rule and candidate cutoff the good rows above it are counted,
-and the cutoff is usable if, were the true rate of false rejection ``risk``, so few would be seen with a probability of at
-most ``error`` / (number of candidates in all strata), by the exact binomial tail.  That bounds the chance that any chosen
-cutoff of any stratum exceeds its risk by ``error``.  The strictest usable cutoff wins; a rule without one rejects nothing
-there.  The risks of the rules add up to ``RISK``.
+per stratum on labelled rows.  A language with at least ``POOL_BELOW`` good rows is a stratum of its own; all others, those
+without labels too, are one pooled stratum, for which the bound then holds as a whole.
+
+For every stratum and rule the good rows above each candidate cutoff are counted.  A cutoff is usable if, were the true rate of
+false rejection the rule's share of ``risk``, so few would be seen with a probability of at most ``error`` / (strata x
+rules), by the exact binomial tail.  The candidates of one stratum and rule are tested in a fixed order from the loosest to
+the strictest, up to the first that fails, so they need no correction among themselves; the tail grows with the rows above,
+so every candidate before the first failure passes and none behind it does.  That bounds the chance that any chosen cutoff of
+any stratum exceeds its risk by ``error``.  The strictest usable cutoff wins; a rule without one rejects nothing there.  The
+risks of the rules add up to ``RISK``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import Stage, maybe_broadcast
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 RISK, ERROR = 0.02, 0.05
+#: Good labelled rows from which a language is a stratum of its own, and the name of the stratum of all others.
+POOL_BELOW, POOLED = 1500, "pooled"
 #: Name, numerator, denominator, and candidate cutoffs in thousandths.
 RULES: list[tuple[str, str, str, list[int]]] = [
     ("symbols", "n_symbols", "word_chars", [5, 10, 20, 30, 50, 80, 120, 200, 300, 500]),
@@ -109,29 +116,34 @@ def chosen_cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR
     over = F.aggregate(
         F.map_entries("by_passed"), F.lit(0).cast("long"), lambda t, e: t + F.when(e["key"] > F.col("at"), e["value"]).otherwise(F.lit(0).cast("long"))
     )
-    tails = tails.withColumn("k", over).withColumn("candidates", F.count("*").over(Window.partitionBy()))
-    usable = tails.filter(binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) * F.col("candidates") <= error)
+    strata = labelled.agg(F.count_distinct("stratum")).scalar()
+    usable = tails.withColumn("k", over).filter(binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) * strata * len(RULES) <= error)
     return usable.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, pool_below: int = POOL_BELOW) -> DataFrame:
     """``doc_id, stratum``, the counts of ``text_counts``, ``base_failed`` and ``kept`` of every row of ``docs``.
 
     Needs ``doc_id, text, lang`` and labels ``doc_id, quality``; other columns are ignored.  A null or empty text has no
-    words and fails the base; a null language is a stratum of its own.  A document is good if none of its label rows has a
+    words and fails the base; a null language counts as an empty one.  A document is good if none of its label rows has a
     quality other than 1; label rows with a null count for nothing.  Repeated rows are judged alike, each also in the
     calibration.  Without labels only the base rejects.  An empty table gives no rows.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
-    counts = Stage(text_counts(slim, ["doc_id", "stratum"]), "text-counts").df
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    counts = Stage(text_counts(slim, ["doc_id", "lang"]), "text-counts").df
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("r"))
     good = good.filter("q = 1 AND r = 1").select("doc_id")
-    cutoffs = chosen_cutoffs(counts.join(good, "doc_id", "left_semi"), risk, error)
+    labelled = Stage(counts.join(good, "doc_id", "left_semi"), "labelled-counts").df
+    own = Stage(labelled.groupBy("lang").count().filter(F.col("count") >= pool_below).select(F.col("lang").alias("own")), "strata").df
+    own = maybe_broadcast(own, own.count(), 10_000)
+    placed = lambda df: df.join(own, F.col("lang") == F.col("own"), "left").withColumn("stratum", F.coalesce(F.concat(F.lit("lang "), "own"), F.lit(POOLED)))
+    cutoffs = chosen_cutoffs(placed(labelled), risk, error)
     table = cutoffs.groupBy("stratum").pivot("rule", [r[0] for r in RULES]).agg(F.first("cutoff"))
     table = Stage(table.withColumnRenamed("stratum", "of"), "cutoffs").df
-    joined = counts.join(maybe_broadcast(table, table.count(), 10_000), F.col("stratum") == F.col("of"), "left")
+    joined = placed(counts).join(maybe_broadcast(table, table.count(), 10_000), F.col("stratum") == F.col("of"), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     passes = F.lit(True)
     for name, a, b, _ in RULES:
         passes = passes & F.coalesce(score(a, b) <= F.col(name), F.lit(True))
-    return joined.select(*counts.columns, failed.alias("base_failed"), (~failed & passes).alias("kept"))
+    kept = [c for c in counts.columns if c not in ("doc_id", "lang")]
+    return joined.select("doc_id", "stratum", *kept, failed.alias("base_failed"), (~failed & passes).alias("kept"))

@@ -16,7 +16,7 @@ from .line_dedup import line_dedup
 from .mixing import mix, taken_in_order, training_order
 from .ordinal import classify
 from .packing import pack
-from .quality_rules import ERROR, RISK, RULES, quality_rules
+from .quality_rules import ERROR, POOL_BELOW, POOLED, RISK, RULES, quality_rules
 from .shared import Stage
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -109,24 +109,26 @@ _VERDICTS = " UNION ALL ".join(
     f"SELECT doc_id, {_score_sql(a, b)} > cutoff AS over FROM counted JOIN chosen USING (stratum) WHERE rule = '{name}'" for name, a, b, _ in RULES
 )
 SQL["op3_quality_rules"] = f"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
 wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM t)),
 dups AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1),
 reps AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM dups) GROUP BY doc_id),
-counted AS (
-  SELECT t.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+measured AS (
+  SELECT t.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM t LEFT JOIN reps USING (doc_id)),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+own AS (SELECT lang FROM measured SEMI JOIN good USING (doc_id) GROUP BY lang HAVING count(*) >= {POOL_BELOW}),
+counted AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN 'lang ' || lang ELSE '{POOLED}' END AS stratum FROM measured),
 tested AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM ({_RULE_ROWS}) SEMI JOIN good USING (doc_id) GROUP BY ALL),
 tails AS (
-  SELECT stratum, rule, cutoff, count(*) OVER () AS candidates,
+  SELECT stratum, rule, cutoff, (SELECT count(DISTINCT stratum) FROM tested) * {len(RULES)} AS tests,
          CASE WHEN k >= n * {RISK / len(RULES)} THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
            lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))) END AS tail FROM tested),
-chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tails WHERE tail * candidates <= {ERROR} GROUP BY ALL),
+chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tails WHERE tail * tests <= {ERROR} GROUP BY ALL),
 over AS (SELECT DISTINCT doc_id FROM ({_VERDICTS}) WHERE over)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tapeloom.session import stage_path
 
@@ -35,6 +35,34 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def struct_of(columns: list[str]):
+    """The columns in one struct, whatever characters their names have."""
+    return F.struct(*[f"`{c.replace('`', '``')}`" for c in columns])
+
+
+def with_row(rows: DataFrame, others: str) -> T.StructType:
+    """The schema of ``row``, all of its fields nullable, and the ``others`` (as DDL)."""
+    def open_(t):
+        if isinstance(t, dict):
+            return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else open_(v) if k != "metadata" else v for k, v in t.items()}
+        return [open_(x) for x in t] if isinstance(t, list) else t
+
+    whole = T.StructType([rows.schema["row"], *T.StructType.fromDDL(others).fields])
+    return T.StructType.fromJson(open_(whole.jsonValue()))
+
+
+def nullable(column: pa.ChunkedArray | pa.Array) -> pa.ChunkedArray | pa.Array:
+    """The column under a type whose fields may all be null, as a schema given by names has it."""
+    def open_(t: pa.DataType) -> pa.DataType:
+        if pa.types.is_struct(t):
+            return pa.struct([pa.field(f.name, open_(f.type), True, f.metadata) for f in t])
+        if pa.types.is_list(t):
+            return pa.list_(pa.field(t.value_field.name, open_(t.value_type), True, t.value_field.metadata))
+        return t
+
+    return column.cast(open_(column.type))
+
+
 def parts_for(spark: SparkSession, units: float, per_part: float) -> int:
     """Partitions for ``units`` of work with at most ``per_part`` each, and no fewer than the session's default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-units // per_part)), 1)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import scan
-from .shared import BROADCAST_ROWS, Stage, blobs, parts_for, take_ranges, xxhash64
+from .shared import BROADCAST_ROWS, Stage, blobs, nullable, parts_for, struct_of, take_ranges, with_row, xxhash64
 from .suffix_sort import deep_shallow_sort
 from .wire import dealt, gathered
 
@@ -307,7 +307,7 @@ def _cut(whole_characters: bool) -> Callable:
             pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.ListArray.from_arrays(at, pairs), pa.array(kept, pa.binary())], ["row", "spans", "kept"]
+                [nullable(batch.column("row")), pa.ListArray.from_arrays(at, pairs), pa.array(kept, pa.binary())], ["row", "spans", "kept"]
             )
 
     return run
@@ -344,9 +344,8 @@ def suffix_dedup(docs: DataFrame, size: int = 50, carry: list[str] | None = None
     found = spans.agg(F.count("*"), F.sum(F.length("spans"))).first()
     small = found[0] <= BROADCAST_ROWS and (found[1] or 0) <= 32 << 20
     rows = docs.select(
-        F.struct(*(carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"),
+        struct_of(carry or docs.columns).alias("row"), F.col("text").cast("string").alias("text"),
         F.col("doc_id").cast("long").alias("doc_id"),
     )
-    kinds = rows.schema["row"].dataType.simpleString()
     joined = rows.join(F.broadcast(spans) if small else spans, "doc_id", "left").select("row", "text", "spans")
-    return joined.mapInArrow(_cut(whole_characters), f"row {kinds}, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(_cut(whole_characters), with_row(rows, "spans array<struct<start:int,end:int>>, kept binary"))

@@ -15,6 +15,7 @@ from tapeloom.llm.components import components
 from tapeloom.llm.embedding_dedup import embedding_dedup
 from tapeloom.llm.jaccard_join import ngram_jaccard_join
 from tapeloom.llm.language_model import score_texts
+from tapeloom.llm.line_dedup import line_dedup
 from tapeloom.llm.mixing import mix, training_order
 from tapeloom.llm.ordinal import classify
 from tapeloom.llm.packing import LENGTHS, pack
@@ -167,6 +168,36 @@ def test_quality_rules(spark):
     assert all(few[k] for k in range(4001))  # too few labels to promise anything
 
 
+def test_few_labels_share_a_stratum(spark):
+    """Languages with too few good rows are judged by the cutoffs of all of them together."""
+    clean, junk = " ".join(f"word{k}" for k in range(40)), " ".join(f"word{k}***" for k in range(40))
+    rows = [(k, junk if k % 10 == 0 else clean, ["de", "fr", "es", None][k % 4]) for k in range(2400)] + [(9000, junk, "pt"), (9001, clean, "pt")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 0 if k % 10 == 0 else 1) for k in range(2400)], "doc_id long, quality int")
+    out = {r.doc_id: (r.stratum, r.kept) for r in quality_rules(docs, labels).collect()}
+    assert {s for s, _ in out.values()} == {"pooled"} and not out[9000][1] and out[9001][1]
+    assert all(out[k][1] == (k % 10 > 0) for k in range(2400))
+    alone = {r.doc_id: r.stratum for r in quality_rules(docs, labels, pool_below=450).collect()}
+    assert {alone[k] for k in range(4)} == {"lang de", "lang fr", "lang es", "lang "} and alone[9000] == "pooled"
+
+
+def test_cutoffs_keep_their_risk(spark):
+    """Over many draws of the labels a chosen cutoff rejects more good rows than promised in few of them."""
+    from tapeloom.llm.quality_rules import RULES, chosen_cutoffs
+
+    rng, n, draws, risk, error = np.random.default_rng(11), 1500, 60, 0.08, 0.1
+    scores = np.arange(0, 600, 3)  # per mille; the true law of a good row's symbols
+    chance = np.r_[0.93, np.full(199, 0.07 / 199)]
+    rows = [(f"s{d}", int(x), 0, 1000, 0, 1000, 0, 1000) for d in range(draws) for x in rng.choice(scores, n, p=chance)]
+    table = spark.createDataFrame(rows, "stratum string, n_symbols long, n_dup_lines long, word_chars long, n_repeat_words long, n_words long, n_lines long, x long")
+    table = table.withColumn("word_chars", F.lit(1000).cast("long")).withColumn("n_lines", F.lit(10).cast("long"))
+    wrong = {}
+    for r in chosen_cutoffs(table, risk, error * draws).collect():  # each stratum is a draw of its own with the error of one
+        if r.rule == "symbols":
+            wrong[r.stratum] = chance[scores > r.cutoff].sum() > risk / len(RULES)
+    assert len(wrong) > draws / 3 and sum(wrong.values()) <= 0.1 * draws
+
+
 def test_binomial_tail(spark):
     from math import comb
 
@@ -270,17 +301,23 @@ def test_language_model(docs, plain):
 
 
 def test_language_model_sums_to_one(spark):
-    """Scores of all one-word texts after a fixed word, and of the unknown, are a distribution."""
-    train = [(k, " ".join(random.Random(k).choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=30))) for k in range(40)]
-    ask = [(1000 + k, t) for k, t in enumerate(["a", "b", "c", "d", "zzz", ""])]
+    """What follows a context is a distribution: recovered from the scores of texts of up to three words."""
     import zlib
 
+    words = ["a", "b", "c", "d", "zzz"]  # the last one is unknown
+    texts = ["", *words, *(f"{w} {x}" for w in words for x in words), *(f"a {x} {y}" for x in words for y in words)]
+    train = [(k, " ".join(random.Random(k).choices(words[:4], [8, 4, 2, 1], k=30))) for k in range(300) if zlib.crc32(str(k).encode()) % 5 != 1]
     held = [k for k in range(1000, 9000) if zlib.crc32(str(k).encode()) % 5 == 1]
-    ask = [(held[k], t) for k, (_, t) in enumerate(ask)]
-    out = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(train + ask, "doc_id long, text string")).collect()}
-    # P(w | start) for w in a, b, c, d, unknown and the end: texts "w" are P(w | start) P(end | w); ask for the end apart
-    model = {t: 10 ** out[i] for i, t in ask}
-    assert 0 < sum(model.values()) < 1
+    ask = list(zip(held, texts))
+    out = {r.doc_id: 10 ** r.score for r in score_texts(spark.createDataFrame(train + ask, "doc_id long, text string")).collect()}
+    p = {t: out[i] for i, t in ask}
+    # R[x, y] = P(y | x) P(end | y) / P(end | x); rows of P(. | x) with the end add up to 1, which gives g[x] = 1 / P(end | x)
+    ratio = np.array([[p[f"a {x} {y}"] / p[f"a {x}"] for y in words] for x in words])
+    g = np.linalg.solve(np.eye(5) - ratio, np.ones(5))
+    assert sum(p[w] * g[i] for i, w in enumerate(words)) + p[""] == pytest.approx(1, abs=1e-5)
+    for i, x in enumerate(words):  # and the same rows after another first word
+        for j, y in enumerate(words):
+            assert p[f"{x} {y}"] * g[j] / (p[x] * g[i]) == pytest.approx(ratio[i, j] * g[j] / g[i], rel=1e-4)
 
 
 def test_language_model_every_word_is_a_context(spark):
@@ -299,27 +336,60 @@ def test_language_model_every_word_is_a_context(spark):
     assert whole > -600 * (math.log10(600) + 0.5) and whole > capped + 345 * 1.5
 
 
-def test_reseat_one_by_one():
-    """Tables of frequent dishes have the mean of customers seated one by one."""
+def seatings(c, a, d, p):
+    """Chance of each number of tables, all ways to seat c customers added up one by one."""
+    ways = {(1,): 1.0}
+    for n in range(1, c):
+        after: dict[tuple, float] = {}
+        for sizes, w in ways.items():
+            for i, s in enumerate(sizes):
+                key = tuple(sorted([*sizes[:i], s + 1, *sizes[i + 1 :]]))
+                after[key] = after.get(key, 0) + w * (s - d)
+            key = tuple(sorted([*sizes, 1]))
+            after[key] = after.get(key, 0) + w
+        ways = after
+    out = np.zeros(c)
+    for sizes, w in ways.items():
+        t = len(sizes)
+        out[t - 1] += w * p**t * math.prod(a + d * k for k in range(t))
+    return out / out.sum()
+
+
+@pytest.mark.parametrize("c, a, d, p", [(2, 1.0, 0.5, 0.1), (5, 40.0, 0.7, 0.3), (8, 3.0, 0.9, 0.02), (12, 100.0, 0.2, 0.05)])
+def test_reseat_draws_from_the_conditional(c, a, d, p):
     from tapeloom.llm.language_model import reseat
 
-    c, a, d, p = 3000, 40.0, 0.7, 0.02
-    dist = {1: 1.0}
-    for seated in range(1, c):  # exact distribution of the number of tables
-        after: dict[int, float] = {}
-        for t, x in dist.items():
-            if x > 1e-12:
-                new = (a + d * t) * p
-                q = new / (new + seated - d * t)
-                after[t] = after.get(t, 0) + x * (1 - q)
-                after[t + 1] = after.get(t + 1, 0) + x * q
-        dist = after
-    mean = sum(t * x for t, x in dist.items())
-    spread = math.sqrt(sum((t - mean) ** 2 * x for t, x in dist.items()))
-    for n in (1, 400):  # dish by dish, and all dishes at once
-        draw, runs = np.random.default_rng(5), 400 // n
-        got = np.concatenate([reseat(np.full(n, c), np.full(n, a), d, np.full(n, p), draw) for _ in range(runs)])
-        assert abs(got.mean() - mean) < 4 * spread / 20 and abs(got.std() / spread - 1) < 0.2
+    n, want = 40_000, seatings(c, a, d, p)
+    got = np.bincount(reseat(np.full(n, c), np.full(n, a), d, np.full(n, p), np.random.default_rng(5)), minlength=c + 1)[1:] / n
+    assert np.abs(got - want).max() < 4 * math.sqrt(0.25 / n)
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.7, 0.95])
+def test_stirling_numbers_of_large_dishes(d):
+    """Sum and saddle point against the recursion, as weights of table counts."""
+    from tapeloom.llm.language_model import log_stirling, log_stirling_large
+
+    exact = log_stirling(1500, d)
+    for c in (1100, 1500):
+        t = np.arange(1, 1001)
+        off = log_stirling_large(c, t, d) - exact[c, 1:1001]
+        assert np.abs(off[:5]).max() < 1e-7 and np.abs(off).max() < 0.03
+        for a, p in [(40.0, 0.2), (1000.0, 0.05), (5.0, 0.001)]:
+            log = exact[c, 1:1001] + t * math.log(p) + np.cumsum(np.log(a + d * (t - 1.0)))
+            w, v = np.exp(log - log.max()), np.exp(log + off - (log + off).max())
+            assert np.abs(w / w.sum() - v / v.sum()).sum() < 5e-3  # twice the distance of the distributions
+
+
+def test_reseat_of_large_dishes():
+    from tapeloom.llm import language_model as module
+
+    c, a, d, p = 3000, 40.0, 0.7, 0.2
+    log = module.log_stirling(c, d)[c, 1:] + np.arange(1, c + 1) * math.log(p) + np.cumsum(np.log(a + d * np.arange(c)))
+    w = np.exp(log - log.max())
+    mean = (w * np.arange(1, c + 1)).sum() / w.sum()
+    spread = math.sqrt((w * (np.arange(1, c + 1) - mean) ** 2).sum() / w.sum())
+    got = module.reseat(np.full(600, c), np.full(600, a), d, np.full(600, p), np.random.default_rng(5))
+    assert abs(got.mean() - mean) < 4 * spread / math.sqrt(600) and abs(got.std() / spread - 1) < 0.15
 
 
 def test_embeddings(spark):
@@ -376,6 +446,33 @@ def test_packing(docs, plain):
         assert length == min(x for x in LENGTHS if x >= at)
 
 
+def test_packing_deals_equal_rows(spark):
+    """A table of one row repeated goes to all shards, and no bin holds more than it may."""
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("five words of one text").alias("text"))
+    out = pack(df, lengths=(64, 128), per_shard=1000)
+    bins = out.groupBy("bin_id").agg(F.sum("n_words").alias("n"), F.max("bin_length").alias("l"), F.count_distinct("bin_offset").alias("o"), F.count("*").alias("c"))
+    assert out.count() == 20_000 and bins.filter("n > l OR o < c").count() == 0
+    per_shard = [r[0] for r in out.groupBy(F.shiftright("bin_id", 32)).count().select("count").collect()]
+    assert len(per_shard) == 20 and max(per_shard) < 1300
+
+
+@pytest.mark.parametrize("run", [pack, mix, suffix_dedup, line_dedup, lambda d: classify(d, d.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))])
+def test_carried_columns_of_any_name_and_type(spark, run):
+    """Columns that cannot be null, nested ones, and names with dots and backticks."""
+    from pyspark.sql import types as T
+
+    inner = T.StructType([T.StructField("x.y", T.LongType(), False), T.StructField("z", T.ArrayType(T.LongType(), False), False)])
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType(), False), T.StructField("text", T.StringType(), False), T.StructField("lang", T.StringType(), False),
+        T.StructField("source", T.StringType(), False), T.StructField("a.b", T.StringType(), False), T.StructField("c`d", inner, False),
+    ])
+    rows = [(k, f"text number {k} " * 9, "en", "s", "dot", (k, [k, k])) for k in range(6)]
+    out = run(spark.createDataFrame(rows, schema))
+    back = out.select("row.*")
+    assert back.columns == schema.names
+    assert sorted(tuple(r) for r in back.distinct().collect()) == [(*r[:5], (r[0], [r[0], r[0]])) for r in rows]
+
+
 def test_best_fit_choice():
     """Every piece goes into the open bin that it leaves least space in; bins open when none has room."""
     import numpy as np
