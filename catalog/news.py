@@ -213,9 +213,9 @@ def _(spark, sf):
 @query(
     "validated_articles",
     with_sql(
-        "verdicts",
+        CTE["verdicts"].replace("own AS (", "own AS MATERIALIZED (") + """, guard AS MATERIALIZED (SELECT avg(CAST(is_relevant AS DOUBLE)) < 5e-1 AS g FROM own)""",
         f"""SELECT article_id, symbol, NOT g AS validated, CASE WHEN g THEN NULL ELSE {rnd('relevance_confidence')} END AS relevance_confidence
-            FROM own, (SELECT avg(CAST(is_relevant AS DOUBLE)) < 5e-1 AS g FROM own) WHERE is_relevant OR g""",
+            FROM own, guard WHERE is_relevant OR g""",
     ),
 )
 def _(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tapeloom.operators import indicators as ind, prepare, quality, registry, selection, sequences, splits, summary
+from tapeloom.operators import indicators as ind, neighbours, prepare, quality, registry, selection, sequences, splits, summary
 from tapeloom.session import durable, stage_path
 from tapeloom.sources import files, standardize
 
@@ -31,6 +31,13 @@ def panel(spark, sf):
     return splits.temporal_split(df)
 
 
+def once(cte: str, *names: str) -> str:
+    """The CTEs with the named ones computed a single time, whoever reads them."""
+    for name in names:
+        cte = cte.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
+    return cte
+
+
 def unpivoted(made: dict[str, str], source: str, *names: str) -> str:
     """One SQL row per feature from per-feature expressions."""
     return " UNION ALL ".join(
@@ -116,11 +123,16 @@ def _(spark, sf):
     return pick(prepare.impute(holes(spark, sf), _HOLED), KEY, _HOLED, 4)
 
 
+def _fitted_sql(value: str) -> str:
+    """One row of fitted numbers beside the rows they fill."""
+    fitted = ", ".join(f"{value.format(f=f)} AS v_{f}" for f in _HOLED)
+    filled = ", ".join(rnd(f"coalesce({f}, v_{f})", 4) + f" AS {f}" for f in _HOLED)
+    return f"WITH {once(CTE['holes'], 'panel', 'holes')}, fitted AS MATERIALIZED (SELECT {fitted} FROM holes WHERE split = 'train') SELECT symbol, date, {filled} FROM holes, fitted"
+
+
 @query(
     "median_imputed",
-    f"WITH {CTE['holes']} SELECT symbol, date, "
-    + ", ".join(rnd(f"coalesce({f}, (SELECT quantile_cont({f}, 5e-1) FROM holes WHERE split = 'train'))", 4) + f" AS {f}" for f in _HOLED)
-    + " FROM holes",
+    _fitted_sql("quantile_cont({f}, 5e-1)"),
 )
 def _(spark, sf):
     return pick(prepare.impute_simple(holes(spark, sf), _HOLED), KEY, _HOLED, 4)
@@ -128,9 +140,7 @@ def _(spark, sf):
 
 @query(
     "mean_imputed",
-    f"WITH {CTE['holes']} SELECT symbol, date, "
-    + ", ".join(rnd(f"coalesce({f}, (SELECT avg({f}) FROM holes WHERE split = 'train'))", 4) + f" AS {f}" for f in _HOLED)
-    + " FROM holes",
+    _fitted_sql("avg({f})"),
 )
 def _(spark, sf):
     return pick(prepare.impute_simple(holes(spark, sf), _HOLED, "mean"), KEY, _HOLED, 4)
@@ -163,7 +173,7 @@ _CLIPPED = ["close", "returns", "volume"]
 
 def _clip_sql(low: str, high: str) -> str:
     return (
-        f"WITH {CTE['panel']}, b AS (SELECT "
+        f"WITH {once(CTE['panel'], 'panel')}, b AS MATERIALIZED (SELECT "
         + ", ".join(f"{low.format(f=f)} AS lo_{f}, {high.format(f=f)} AS hi_{f}" for f in _CLIPPED)
         + " FROM panel WHERE split = 'train') SELECT symbol, date, "
         + ", ".join(rnd(f"CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, lo_{f}), hi_{f}) END", 5) + f" AS {f}" for f in _CLIPPED)
@@ -191,7 +201,7 @@ def _(spark, sf):
 
 def _scale_sql(shift: str, divisor: str) -> str:
     return (
-        f"WITH {CTE['panel']}, b AS (SELECT "
+        f"WITH {once(CTE['panel'], 'panel')}, b AS MATERIALIZED (SELECT "
         + ", ".join(f"{shift.format(f=f)} AS s_{f}, coalesce(nullif({divisor.format(f=f)}, 0), 1) AS d_{f}" for f in _CLIPPED)
         + " FROM panel WHERE split = 'train') SELECT symbol, date, "
         + ", ".join(rnd(f"({f} - s_{f}) / d_{f}") + f" AS {f}" for f in _CLIPPED) + " FROM panel, b"
@@ -250,11 +260,11 @@ def _(spark, sf):
     return pick(selection.f_scores(panel(spark, sf), FEATURES, "target_5"), ["feature"], ["score"], 3)
 
 
-_MI = ["close", "returns", "volume"]
+_MI = FEATURES
 
 
 def _bin(c: str) -> str:
-    return " + ".join(f"CAST({c} > (SELECT quantile_cont({c}, {i / 5!r}) FROM t) AS INT)" for i in range(1, 5))
+    return " + ".join(f"CAST({c} > (SELECT quantile_cont({c}, {i / 10!r}) FROM t) AS INT)" for i in range(1, 10))
 
 
 @query(
@@ -265,7 +275,13 @@ def _bin(c: str) -> str:
     SELECT feature, {rnd('sum(CAST(n AS DOUBLE) / s * ln(CAST(n AS DOUBLE) * s / (CAST(sx AS DOUBLE) * sy)))')} AS score FROM m GROUP BY feature""",
 )
 def _(spark, sf):
-    return pick(selection.mutual_information(panel(spark, sf), _MI, "target_5", bins=5), ["feature"], ["score"])
+    return pick(selection.mutual_information(panel(spark, sf), _MI, "target_5"), ["feature"], ["score"])
+
+
+@query("neighbour_information")
+def _(spark, sf):
+    """The same by three nearest neighbours, without bins: all features."""
+    return pick(neighbours.neighbour_information(panel(spark, sf), FEATURES, "target_5"), ["feature", "n"], ["score"])
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clip
 from ..session import written
@@ -81,19 +81,20 @@ def ready_for_training(df: DataFrame, features: list[str], target: str) -> DataF
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Last value of the symbol, else its training median, else the training median of all, else 0."""
+    shares = null_shares(df, columns)
+    columns = [c for c in columns if shares[c] > 0]  # the others need no fitting
+    if not columns:
+        return df
     overall = _train_quantiles(df, columns, [0.5])
-    w, own = running(), Window.partitionBy("symbol")
-    filled = df.withColumns({f"__ff_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
-    is_train = F.col("split") == "train" if "split" in df.columns else F.lit(True)
-    medians = {
-        f"__md_{c}": F.percentile(F.when(is_train, F.col(c)), F.lit(0.5)).over(own) for c in columns
-    }
-    filled = filled.withColumns(medians)
+    medians = train_rows(df).groupBy(F.col("symbol").alias("__of")).agg(
+        *[F.percentile(F.col(c), F.lit(0.5)).alias(f"__md_{c}") for c in columns]  # at most a series of values per column
+    )
+    joined = df.join(medians, F.col("symbol") == F.col("__of"), "left")
     values = {
-        c: F.coalesce(F.col(f"__ff_{c}"), F.col(f"__md_{c}"), F.lit(overall[c][0]).cast("double"), F.lit(0.0))
+        c: F.coalesce(F.last(c, ignorenulls=True).over(running()), F.col(f"__md_{c}"), F.lit(overall[c][0]).cast("double"), F.lit(0.0))
         for c in columns
     }
-    return filled.withColumns(values).drop(*[f"__ff_{c}" for c in columns], *medians)
+    return joined.withColumns(values).select(*df.columns)
 
 
 def impute_simple(df: DataFrame, columns: list[str], strategy: str = "median") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import written
 from . import registry
+from .neighbours import neighbour_information
 from .positions import exact_quantiles
 from .prepare import train_rows
 
@@ -84,7 +85,7 @@ def select_k_best(
         return features
     kept = registry.protected_features(features, with_sentiment)[:k]
     rest = [f for f in features if f not in kept]
-    score = {"mutual_info": mutual_information, "correlation": correlation_scores, "f_regression": f_scores}[method]
+    score = {"mutual_info": mutual_information, "neighbours": neighbour_information, "correlation": correlation_scores, "f_regression": f_scores}[method]
     best = top_features(score(df, rest, target), k - len(kept)).collect() if k > len(kept) else []
     return kept + [r.feature for r in best]
 
