@@ -36,10 +36,16 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
 
 
+#: Rotations of a task, made once each.
+_ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def rotation(dim: int, k: int) -> np.ndarray:
     """The k-th random rotation of ``dim`` dimensions."""
-    q, r = np.linalg.qr(np.random.default_rng([dim, k]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    if (dim, k) not in _ROTATIONS:
+        q, r = np.linalg.qr(np.random.default_rng([dim, k]).standard_normal((dim, dim)))
+        _ROTATIONS[dim, k] = q * np.sign(np.diag(r))
+    return _ROTATIONS[dim, k]
 
 
 def keys_of(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -57,6 +63,8 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -147,7 +155,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     null or non-finite component links with nothing, nor do vectors of different lengths.  A null vec_id links with nothing
     and is not kept.  Rows that share a vec_id and differ count their links together.  An empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     good = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     classes = Stage(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")), "vectors")

@@ -42,9 +42,9 @@ from .shared import Stage, parts_for
 from .wire import dealt, gathered, packed, unpacked
 
 SWEEPS, BURN, STRENGTH = 6, 2, 1.0
-SENT_BYTES, BLOCK_BYTES, HELD_KEYS = 32 << 20, 16 << 20, 1 << 20
-#: Customers of a dish up to which Stirling numbers come from a table, and cells weighed at a time.
-EXACT, CELLS = 1024, 1 << 20
+SENT_BYTES, BLOCK_BYTES, HELD_KEYS = 12 << 20, 16 << 20, 1 << 20
+#: Customers of a dish up to which Stirling numbers come from a table, table counts weighed at first, and cells at a time.
+EXACT, NARROW, CELLS = 1024, 64, 1 << 19
 END, START, OTHER = np.uint64(0x5E4D0F7E47), np.uint64(0x57A127), np.uint64(0x07BE2)
 _SENT = "bucket int, n int, data binary"
 
@@ -348,11 +348,13 @@ def log_stirling_large(c: int, t: np.ndarray, discount: float) -> np.ndarray:
     out = np.empty(len(t))
     lost = (1 - d) * (t * float(c) ** -d) ** (1 / (1 - d))
     plain = lost <= 12
-    whole = _log_gamma(t + 1) + t * math.log(d)
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(t.max()) + 1)))])
+    whole = factorial[t.astype(np.int64)] + t * math.log(d)
     if plain.any():
         u = t[plain]
         j = np.arange(1, int(min(u.max(), 60 + 6 * lost[plain].max() / (1 - d))) + 1, dtype=np.float64)[:, None]
-        size = _log_gamma(u + 1) - _log_gamma(j + 1) - _log_gamma(np.maximum(u - j, 0) + 1) + _log_gamma(1 + j * d) + _log_gamma(c - j * d)
+        of, k = u.astype(np.int64), j.astype(np.int64)
+        size = factorial[of] - factorial[np.maximum(of - k, 0)] + (_log_gamma(1 + j * d) + _log_gamma(c - j * d) - factorial[k])
         size = np.where(j <= u, size, -np.inf)
         top = size.max(axis=0)
         sign = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(math.pi * d * j) / math.pi
@@ -391,15 +393,20 @@ def _drawn(log_weight: np.ndarray, u: np.ndarray) -> np.ndarray:
     return 1 + (weight < (u * weight[:, -1])[:, None]).sum(axis=1)
 
 
-def _large(c: int, a: float, p: float, discount: float, u: float) -> int:
-    """The same for a dish of more than ``EXACT`` customers: all table counts up to where the weights are negligible."""
-    most = 256
-    while True:
+def _large(c: int, strength: np.ndarray, chance: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """The same for dishes of one number of customers above ``EXACT``: all table counts up to where the weights are negligible."""
+    out, left, most = np.ones(len(u), np.int64), np.arange(len(u)), NARROW
+    while len(left):
         t = np.arange(1, min(most, c) + 1)
-        log = log_stirling_large(c, t, discount) + t * math.log(p) + np.cumsum(np.log(a + discount * (t - 1.0)))
-        if len(t) == c or log[-1] < log.max() - 45:
-            return int(_drawn(log[None, :], np.array([u]))[0])
-        most *= 4
+        ways, again = log_stirling_large(c, t, discount), []
+        for i in left.tolist():
+            log = ways + t * math.log(chance[i]) + np.cumsum(np.log(strength[i] + discount * (t - 1.0)))
+            if len(t) == c or log[-1] < log.max() - 45:
+                out[i] = _drawn(log[None, :], u[i : i + 1])[0]
+            else:
+                again.append(i)
+        left, most = np.array(again, np.int64), most * 4
+    return out
 
 
 def reseat(customers: np.ndarray, strength: np.ndarray, discount: float, chance: np.ndarray, draw: np.random.Generator) -> np.ndarray:
@@ -412,14 +419,19 @@ def reseat(customers: np.ndarray, strength: np.ndarray, discount: float, chance:
             continue
         rows = order[start:end]
         if c > EXACT:
-            out[rows] = [_large(c, *x) for x in zip(strength[rows], chance[rows], [discount] * len(rows), u[rows])]
+            out[rows] = _large(c, strength[rows], chance[rows], discount, u[rows])
             continue
-        ways, t = _stirling(discount)[c, 1 : c + 1], np.arange(1, c + 1)
-        step = max(CELLS // c, 1)
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            log = np.cumsum(np.log(strength[part, None] + discount * (t - 1)), axis=1) + np.log(chance[part])[:, None] * t + ways
-            out[part] = _drawn(log, u[part])
+        ways = _stirling(discount)[c]
+        for width in (min(c, NARROW), c):  # all table counts, or up to where the weights are negligible
+            t, again = np.arange(1, width + 1), []
+            for part in np.array_split(rows, -(-len(rows) * width // CELLS)):
+                log = np.cumsum(np.log(strength[part, None] + discount * (t - 1)), axis=1) + np.log(chance[part])[:, None] * t + ways[1 : width + 1]
+                out[part] = _drawn(log, u[part])
+                if width < c:
+                    again.append(part[log[:, -1] > log.max(axis=1) - 45])
+            rows = np.concatenate(again) if again else rows[:0]
+            if not len(rows):
+                break
     return out
 
 

@@ -410,6 +410,13 @@ def test_embeddings(spark):
     assert have == exact
 
 
+def test_embeddings_in_double(spark):
+    """Components that a float does not hold, or whose squares a double does not."""
+    rows = [[1e300, 0.0], [1e300, 0.0], [1e-60, 1e-60], [1.0, 1.0], [1e-300, 0.0], [1.0, 1e200], [-1e300, 0.0], [5e-324, 0.0]]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    assert out == {0: (3, 0), 1: (3, 0), 2: (1, 2), 3: (1, 2), 4: (3, 0), 5: (0, 5), 6: (0, 6), 7: (3, 0)}
+
+
 def test_embedding_blocks(spark, monkeypatch):
     from tapeloom.llm import embedding_dedup as module
 
@@ -499,7 +506,7 @@ def test_best_fit_choice():
 
 
 @pytest.mark.parametrize("run", [
-    ngram_jaccard_join, suffix_dedup, mix, score_texts, pack, lambda d: text_counts(d, ["doc_id"]),
+    lambda d: embedding_dedup(d.selectExpr("doc_id AS vec_id", "array(1.0D) AS embedding")), ngram_jaccard_join, suffix_dedup, mix, score_texts, pack, lambda d: text_counts(d, ["doc_id"]),
     lambda d: quality_rules(d, d.selectExpr("doc_id", "1 AS quality")), lambda d: classify(d, d.selectExpr("doc_id", "1 AS quality", "0 AS toxic")),
 ])
 def test_empty_table(docs, run):
