@@ -109,7 +109,7 @@ def _(spark, sf):
     return pick(w, KEY, list(_WINDOWED))
 
 
-_GRID = decay.rate_grid(steps=3)
+_GRID = decay.rate_grid()
 _GRID_SQL = ", ".join(f"({h}, {r!r})" for h, rates in _GRID.items() for r in rates)
 _DATES = """ordered AS (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)),
 cuts AS (SELECT max(date) FILTER (r <= n * 70 // 100) AS train_end, max(date) FILTER (r <= n * 90 // 100) AS val_end FROM ordered)"""

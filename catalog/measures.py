@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tapeloom.operators import indicators as ind, joins, metrics, news, quality, risk, summary
+from tapeloom.operators import decay, indicators as ind, joins, metrics, news, quality, risk, summary
 from tapeloom.operators.positions import spearman
 from tapeloom.session import durable, stage_path, written
 from tapeloom.sources import files
@@ -143,12 +143,13 @@ def _(spark, sf):
     p AS (SELECT *, {', '.join(f"lag(e, {k}) OVER ({_BY}) AS l{k}" for k in range(1, 11))} FROM c),
     r AS (SELECT symbol, count(*) AS n, {', '.join(f"sum(e * l{k}) / sum(e * e) AS r{k}" for k in range(1, 11))} FROM p GROUP BY symbol)
     SELECT symbol, n, 10 AS lags, {rnd('n * (n + 2) * (' + ' + '.join(f'r{k} * r{k} / (n - {k})' for k in range(1, 11)) + ')', 4)} AS q,
-      {rnd('exp(-q2) * (1 + q2 + q2 ** 2 / 2 + q2 ** 3 / 6 + q2 ** 4 / 24)', 4)} AS p_value
+      {rnd('exp(-q2) * (1 + q2 + q2 ** 2 / 2 + q2 ** 3 / 6 + q2 ** 4 / 24)', 4)} AS p_value,
+      exp(-q2) * (1 + q2 + q2 ** 2 / 2 + q2 ** 3 / 6 + q2 ** 4 / 24) > 5e-2 AS passed
     FROM (SELECT *, n * (n + 2) * ({' + '.join(f'r{k} * r{k} / (n - {k})' for k in range(1, 11))}) / 2 AS q2 FROM r)""",
 )
 def _(spark, sf):
     lb = metrics.ljung_box(ind.returns(bars(spark, sf)), "returns")
-    return pick(lb, ["symbol", "n", "lags"], ["q", "p_value"], 4)
+    return pick(lb, ["symbol", "n", "lags", "passed"], ["q", "p_value"], 4)
 
 
 # ---- risk ----
@@ -453,6 +454,41 @@ def _(spark, sf):
     return pick(v, ["severity", "rule", "subject"], ["value"])
 
 
+_DIRTY = """dirty AS (SELECT symbol || '-' || strftime(date, '%Y%m') AS symbol, volume % 50 = 0 AS undated, CAST(date - DATE '1990-01-01' AS INTEGER) % 20 AS d,
+  volume % 7 = 0 AS endless, volume % 11 = 0 AS worded, volume % 3 <> 0 AS unknown, volume % 5 <> 0 AS open_target FROM bars)"""
+
+
+def _share(flag: str) -> str:
+    return rnd(f"avg(CAST({flag} AS DOUBLE))")
+
+
+@query(
+    "dirty_dataset_validation",
+    f"""WITH {CTE['bars']}, {_DIRTY}
+    SELECT 'error' AS severity, 'missing_column' AS rule, c AS subject, CAST(NULL AS DOUBLE) AS value FROM (VALUES ('stock_id'), ('low')) v(c)
+    UNION ALL SELECT 'warning', 'forbidden_characters', 'close (usd)', NULL
+    UNION ALL SELECT 'error', 'not_numeric', 'high', CAST(count(*) FILTER (worded) AS DOUBLE) FROM dirty HAVING count(*) FILTER (worded) > 0
+    UNION ALL SELECT 'error', 'invalid_date', 'date', CAST(count(*) FILTER (undated) AS DOUBLE) FROM dirty HAVING count(*) FILTER (undated) > 0
+    UNION ALL SELECT 'warning', 'mostly_null', 'close', {_share('unknown')} FROM dirty HAVING {_share('unknown')} > 5e-1
+    UNION ALL SELECT 'warning', 'mostly_null', 'target_5', {_share('open_target')} FROM dirty HAVING {_share('open_target')} > 5e-1
+    UNION ALL SELECT 'warning', 'infinite', 'open', CAST(count(*) FILTER (endless) AS DOUBLE) FROM dirty HAVING count(*) FILTER (endless) > 0
+    UNION ALL SELECT 'warning', 'low_target_coverage', 'target_5', {_share('NOT open_target')} FROM dirty
+    UNION ALL SELECT 'info', 'good_target_coverage', 'target_22d', 1e0
+    UNION ALL SELECT 'warning', 'short_date_range', 'date', CAST(max(d) - min(d) AS DOUBLE) FROM dirty WHERE NOT undated
+    UNION ALL SELECT 'warning', 'sparse_symbol', symbol, CAST(count(*) AS DOUBLE) FROM dirty GROUP BY symbol HAVING count(*) < 100""",
+)
+def _(spark, sf):
+    """Bars spoilt in every way the validation knows."""
+    v = F.col("volume")
+    days = F.date_add(F.lit("2020-01-01").cast("date"), F.datediff("date", F.lit("1990-01-01").cast("date")) % 20)
+    dirty = bars(spark, sf).select(
+        F.concat("symbol", F.lit("-"), F.date_format("date", "yyyyMM")).alias("symbol"), F.when(v % 50 == 0, "some day").otherwise(days.cast("string")).alias("date"),
+        F.when(v % 7 == 0, float("inf")).otherwise(F.col("open").cast("double")).alias("open"), F.when(v % 11 == 0, "high").otherwise(F.col("high").cast("string")).alias("high"),
+        F.when(v % 3 == 0, F.col("close")).alias("close"), "volume", F.col("close").alias("close (usd)"), F.when(v % 5 == 0, 1.0).alias("target_5"), F.lit(1.0).alias("target_22d"),
+    )
+    return pick(quality.validate_dataset(dirty), ["severity", "rule", "subject"], ["value"])
+
+
 @query(
     "cross_source_check",
     f"""WITH {CTE['bars'].replace('bars AS (', 'traded AS (', 1)}, {CTE['daily']}, d AS (SELECT * FROM daily),
@@ -497,12 +533,14 @@ def _(spark, sf):
     "integration_report",
     f"""WITH {CTE['bars']}, {CTE['daily']} SELECT count(*) AS total_records, count(DISTINCT b.symbol) AS unique_symbols, min(b.date) AS first_date, max(b.date) AS last_date,
     {rnd('count(d.symbol) * 100e0 / count(*)')} AS sentiment_coverage, count(d.symbol) * 100e0 / count(*) < 50 AS moderate_coverage,
-    7 AS sentiment_features, 0 AS decay_features, CASE WHEN count(d.symbol) * 100e0 / count(*) < 20 THEN 'warning' ELSE 'success' END AS status
+    7 AS sentiment_features, 15 AS decay_features, CASE WHEN count(d.symbol) * 100e0 / count(*) < 20 THEN 'warning' ELSE 'success' END AS status
     FROM bars b LEFT JOIN daily d ON d.symbol = b.symbol AND d.date = b.date""",
 )
 def _(spark, sf):
-    j = joins.attach_sentiment(ind.horizon_returns(bars(spark, sf), [5]), daily(spark, sf), fill=False)
-    r = quality.integration_report(j)
+    """Bars with decayed and same-day sentiment, not filled: every decay column must still be there."""
+    market, days = ind.horizon_returns(bars(spark, sf), [5]), daily(spark, sf)
+    decayed = joins.attach_features(market, decay.decay_features(market.select(*KEY), days))
+    r = quality.integration_report(joins.attach_sentiment(decayed, days, fill=False))
     return pick(r, [c for c in r.columns if c != "sentiment_coverage"], ["sentiment_coverage"])
 
 

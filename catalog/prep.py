@@ -89,12 +89,14 @@ def _(spark, sf):
     return splits.leakage_report(splits.temporal_split(bars(spark, sf)))
 
 
-@query("written_splits", f"WITH {CTE['panel']} SELECT split, count(*) AS rows, min(date) AS first_date, max(date) AS last_date FROM panel GROUP BY split")
+@query("written_splits", f"WITH {CTE['panel']} SELECT split, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, max(CAST(close AS FLOAT)) AS highest, 'float' AS kind FROM panel GROUP BY split")
 def _(spark, sf):
     """The panel written partitioned by split and read back."""
     path = stage_path(spark, "splits")
     files.write_splits(standardize.narrow_floats(splits.require_no_leakage(splits.temporal_split(bars(spark, sf)))), path)
-    return splits.split_bounds(files.read_table(spark, path))
+    back = files.read_table(spark, path)
+    highest = back.groupBy("split").agg(F.max("close").alias("highest"), F.max(F.typeof("close")).alias("kind"))
+    return splits.split_bounds(back).join(highest, "split")
 
 
 # ---- null handling ----

@@ -201,8 +201,8 @@ def spread_runs(spark: SparkSession, cuts: Cuts) -> DataFrame:
 def radii_of(points: DataFrame, k: int = NEIGHBOURS, run: int = RUN) -> DataFrame:
     """``feature, id, radius``: the distance of each point to its k-th nearest neighbour; infinite with k points or fewer."""
     cuts = _cuts(points, "feature", "x", run)
-    placed = written(points.mapInArrow(_placed(cuts, "feature", "x"), "feature string, id long, y double, x double, run int"), "runs")
-    near = "feature string, id long, y double, x double, run int, near array<double>"
+    placed = written(points.mapInArrow(_placed(cuts, "feature", "x"), "feature string, id long, x double, y double, run int"), "runs")
+    near = "feature string, id long, x double, y double, run int, near array<double>"
     own = written(placed.groupBy("feature", "run").applyInArrow(_in_own_run(k), near), "near")
     asks = own.mapInArrow(_reached(cuts), "feature string, id long, x double, y double, run int, radius double")
     other = asks.groupBy("feature", "run").cogroup(placed.groupBy("feature", "run")).applyInArrow(_in_other_run(k), "feature string, id long, near array<double>")
@@ -215,7 +215,11 @@ def neighbour_information(df: DataFrame, features: list[str], target: str, k: in
 
     A feature with no more than ``k`` points has no score; one without any has no row.
     """
-    points = neighbour_points(df, features, target)
+    return information_of(neighbour_points(df, features, target), k, run)
+
+
+def information_of(points: DataFrame, k: int = NEIGHBOURS, run: int = RUN) -> DataFrame:
+    """The same from the written points of :func:`neighbour_points`; their noise depends on the places of the rows."""
     radii = radii_of(points, k, run)
     counts = _closer(points, radii.filter(F.col("radius") < float("inf")), run)
     terms = digamma(F.col("closer_x") + 1.0) + digamma(F.col("closer_y") + 1.0)

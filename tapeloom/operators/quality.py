@@ -141,7 +141,8 @@ def validate_dataset(df: DataFrame, required: list[str] = DATASET_REQUIRED) -> D
         made.append(entry("warning", "low_target_coverage", c, coverage, coverage < LEAST_TARGET_COVERAGE))
         made.append(entry("info", "good_target_coverage", c, coverage, coverage >= LEAST_TARGET_COVERAGE))
     if "date" in names:
-        span = F.datediff(F.max("date"), F.min("date"))
+        day = F.col("date").cast("string").try_cast("date")
+        span = F.datediff(F.max(day), F.min(day))
         made.append(entry("warning", "short_date_range", "date", span, span < LEAST_DAYS))
         made.append(entry("info", "date_range", "date", span, span >= LEAST_DAYS))
     wide = df.agg(*[m.alias(f"m{i}") for i, m in enumerate(made)])

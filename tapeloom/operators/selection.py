@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from . import registry
@@ -28,16 +28,23 @@ def long_scores(df: DataFrame, made: dict[str, object], name: str) -> DataFrame:
     return wide.unpivot([], list(made), "feature", name)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows with both values; NULL where one of them does not vary (the built-in fails there)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def correlation_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Absolute Pearson correlation with the target, all features in one aggregate."""
-    return long_scores(train_rows(df), {f: F.abs(F.corr(F.col(f).cast("double"), F.col(target))) for f in features}, "score")
+    return long_scores(train_rows(df), {f: F.abs(correlation(F.col(f).cast("double"), F.col(target))) for f in features}, "score")
 
 
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Regression F statistic from the squared correlation and the pair count."""
     made = {}
     for f in features:
-        r2 = F.pow(F.corr(F.col(f).cast("double"), F.col(target)), 2)
+        r2 = F.pow(correlation(F.col(f).cast("double"), F.col(target)), 2)
         n = F.count(F.when(F.col(f).isNotNull() & F.col(target).isNotNull(), 1))
         made[f] = F.when(r2 < 1.0, r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (n - 2)).when(r2 >= 1.0, F.lit(float("inf")))
     return long_scores(train_rows(df), made, "score")
@@ -116,7 +123,7 @@ def near_identical(pairs: DataFrame, limit: float = NEAR_IDENTICAL) -> DataFrame
 def pairwise_correlations(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """Correlation over the rows where both columns are present, for listed pairs, in one aggregate."""
     listed = list(pairs)
-    made = {f"p{i}": F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for i, (a, b) in enumerate(listed)}
+    made = {f"p{i}": correlation(F.col(a).cast("double"), F.col(b).cast("double")) for i, (a, b) in enumerate(listed)}
     wide = df.agg(*[c.alias(n) for n, c in made.items()])
     labels = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(listed)])
     return wide.select(F.explode(labels).alias("p")).select("p.*")

@@ -48,7 +48,7 @@ def test_information(spark, run, k):
     points = neighbours.neighbour_points(df, FEATURES, "target")
     held = points.toPandas()
     radii = {(r.feature, r.id): r.radius for r in neighbours.radii_of(points, k, run).collect()}
-    made = {r.feature: r for r in neighbours.neighbour_information(df, FEATURES, "target", k, run).collect()}
+    made = {r.feature: r for r in neighbours.information_of(points, k, run).collect()}
     assert set(made) == set(FEATURES) - {"none"}
     for f, part in held.groupby("feature"):
         want, radius = plain(part["x"].to_numpy(), part["y"].to_numpy(), k)

@@ -183,3 +183,60 @@ def test_unknown_targets_keep_their_place_in_the_horizon(spark):
     w = sequences.encoder_decoder_windows(df, ["x"], "y", 3, 4).orderBy("date").collect()
     assert w[2].target_center == 1.5  # 0, 1, 2, 3: training rows with a target
     assert [v is None for v in w[2].decoder] == [False, True, False, False] and len(w[2].decoder) == 4
+
+
+def test_zoned_timestamps_become_utc(spark):
+    """A zoned timestamp keeps its instant, a date in text its wall clock, whatever the zone of the session."""
+    from tapeloom.sources.standardize import without_time_zone
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.sql("SELECT TIMESTAMP '2024-07-01 12:00:00 UTC' AS ts, '2024-07-01 12:00:00' AS event_date, 'x' AS other")
+            r = without_time_zone(df).select(F.col("ts").cast("string").alias("ts"), F.col("event_date").cast("string").alias("d"), "other").first()
+            assert tuple(r) == ("2024-07-01 12:00:00", "2024-07-01 12:00:00", "x")
+            assert dict(without_time_zone(df).dtypes)["ts"] == "timestamp_ntz"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_whole_preparation(spark):
+    """Empty columns leave, the rest is filled, clipped, chosen, pruned and scaled with numbers of the training rows."""
+    import numpy as np
+    import pandas as pd
+
+    from tapeloom.plans import prepared
+
+    rng = np.random.default_rng(3)
+    n = 400
+    dates = pd.date_range("2020-01-01", periods=n // 2).date
+    pdf = pd.DataFrame({"symbol": np.repeat(["A", "B"], n // 2), "date": np.tile(dates, 2), "close": rng.normal(100, 5, n), "target_5": rng.normal(size=n)})
+    pdf["good"] = pdf["target_5"] + 0.1 * rng.normal(size=n)
+    pdf["twin"] = pdf["good"] * 2 + 1e-6 * rng.normal(size=n)
+    pdf["holes"] = np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))
+    pdf["noise"], pdf["empty"], pdf["wild"] = rng.normal(size=n), np.nan, rng.standard_cauchy(n)
+    made = prepared.prepared_panel(spark.createDataFrame(pdf), with_sentiment=False, k=5)
+    assert made.gone["empty"] == ["empty"] and len(made.gone["not selected"]) == 1 and set(made.gone["correlated"]) <= {"good", "twin"} and made.gone["correlated"]
+    assert "close" in made.features and set(made.features) | set(sum(made.gone.values(), [])) == {"close", "good", "twin", "holes", "noise", "empty", "wild"}
+    out = made.table.toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    assert out["target_5"].to_numpy() == pytest.approx(pdf["target_5"].to_numpy())
+    train = (out["split"] == "train").to_numpy()
+    for f in set(made.features) & {"noise", "wild", "close"}:
+        x = pdf[f].to_numpy()
+        q1, q3 = np.quantile(x[train], [0.25, 0.75])
+        x = np.clip(x, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+        a, b, c = np.quantile(x[train], [0.25, 0.5, 0.75])
+        assert out[f].to_numpy() == pytest.approx((x - b) / (c - a))
+    assert out[made.features].notna().all().all()
+    assert prepared.preparation_summary(made, False).first().features == len(made.features)
+
+
+def test_constant_columns_have_no_correlation(spark):
+    rows = [(float(i), 1.0, None if i % 2 else float(i), float(i * i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "x double, same double, holes double, target_5 double").withColumn("split", F.lit("train"))
+    scores = {r.feature: r.score for r in selection.correlation_scores(df, ["x", "same", "holes"], "target_5").collect()}
+    want = np.corrcoef([r[0] for r in rows[::2]], [r[3] for r in rows[::2]])[0, 1]
+    assert scores["same"] is None and scores["holes"] == pytest.approx(want) and scores["x"] > 0.9
+    assert {r.feature: r.score for r in selection.f_scores(df, ["x", "same"], "target_5").collect()}["same"] is None
+    assert selection.prune_correlated(df, ["x", "same", "holes"], "target_5", False)
