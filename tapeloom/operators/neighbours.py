@@ -30,9 +30,9 @@ RUN = 1024
 
 
 def digamma(x: Column) -> Column:
-    """For numbers from 1 on, to about 12 digits."""
+    """For numbers from 1 on, to about 11 digits."""
     y = x + 8.0
-    series = F.ln(y) - 0.5 / y - 1.0 / (12.0 * y * y) + 1.0 / (120.0 * F.pow(y, 4.0)) - 1.0 / (252.0 * F.pow(y, 6.0))
+    series = F.ln(y) - 0.5 / y - 1.0 / (12.0 * y * y) + 1.0 / (120.0 * F.pow(y, 4.0)) - 1.0 / (252.0 * F.pow(y, 6.0)) + 1.0 / (240.0 * F.pow(y, 8.0))
     return series - sum((1.0 / (x + float(i)) for i in range(8)), F.lit(0.0))
 
 
