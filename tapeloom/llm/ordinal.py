@@ -171,7 +171,6 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     picked = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
-    joined = joined.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of an id, however many rows it has
     rows = joined.mapInArrow(_read_features(), "doc_id long, grade int, features binary").collect()
     if not rows:
         return None
