@@ -439,7 +439,7 @@ def _sweep(totals, number: int, record: bool, last: bool) -> Callable:
     """The state is recorded, and unless it is the ``last`` seated anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Totals = totals.value
+        t = Totals(*totals.value)  # sent as plain numbers: an executor need not know the class
         for bucket, kinds in _boxes(batches).items():
             s = _loaded(kinds.get(_STATE, []))
             sums = [unpacked(r.data[0], r.shape[0], ["<f8", "<f8"]) for r in kinds.get(_TABLES, [])]  # by bucket, as contexts
@@ -541,7 +541,7 @@ def _answer(history) -> Callable:
     training rows their probability, else 0: in the order asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        past: list[Totals] = history.value
+        past = [Totals(*t) for t in history.value]
         unknown = np.array([t.unknown() for t in past])
         for bucket, kinds in _boxes(batches).items():
             if not kinds.get(_ASKED):
@@ -673,7 +673,7 @@ def score_texts(docs: DataFrame, contexts: int | None = None, sweeps: int = SWEE
         record = k > burn or k == sweeps
         history += [totals] if record else []
         laid = _at(held, state.df.mapInArrow(_sent_tables(n_buckets, False), _ROW), _summed_tables)
-        after = Seating(_at(state, laid, _sweep(send(totals), k, record, k == sweeps)), n_buckets)
+        after = Seating(_at(state, laid, _sweep(send(tuple(totals)), k, record, k == sweeps)), n_buckets)
         state.drop()
         state, totals = after, _totals(after.df, n_words, totals) if k < sweeps else totals
     held.drop()
@@ -681,6 +681,6 @@ def score_texts(docs: DataFrame, contexts: int | None = None, sweeps: int = SWEE
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     blocks = docs.withColumn("block", block).repartition(int(n_blocks), "block")
     asked = blocks.groupBy("block").applyInArrow(_ask(n_buckets, frequent), _ROW)
-    answered = _at(state, asked, _answer(send(history))).withColumnRenamed("bucket", "block")
+    answered = _at(state, asked, _answer(send([tuple(t) for t in history]))).withColumnRenamed("bucket", "block")
     scored = blocks.groupBy("block").cogroup(answered.groupBy("block"))
     return scored.applyInArrow(_score(n_buckets, frequent, len(history), n_tokens, n_words), _SCORES)

@@ -139,7 +139,7 @@ def _read_features() -> Callable:
 
 def _score(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = model.value
+        m = None if model.value is None else Model(*model.value)  # sent as a plain tuple: an executor need not know the class
         for batch in batches:
             row = nullable(batch.column("row"))
             for r in scan.runs(batch.column("text")):
@@ -186,6 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: li
     empty one.  Repeated rows get equal scores; a row is scored whether or not it is labelled, also with a null doc_id.
     Without labelled documents the scores are null and everything is kept.  An empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, sample))  # BUCKETS floats
+    fitted = fit_on(docs, labels, sample)
+    model = docs.sparkSession.sparkContext.broadcast(None if fitted is None else tuple(fitted))  # BUCKETS floats
     rows = docs.select(struct_of(carry or docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(model), with_row(rows, "expected_grade double, p_poor_or_better double, p_good double, kept boolean"))

@@ -185,7 +185,7 @@ def _plain(run: scan.Run) -> scan.Run:
 
 def _counts(vocabulary, limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
+        v = Vocabulary(*vocabulary.value)
         machine = Transducer(v)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
@@ -218,6 +218,6 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = LIMIT) -> DataFr
     or empty text has no bytes and no tokens.  A null doc_id stays null; repeated rows are counted each.  An empty table
     gives no rows.  ``model_file`` is read on the driver only.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_file))  # bounded by the vocabulary
+    vocabulary = docs.sparkSession.sparkContext.broadcast(tuple(read_vocabulary(model_file)))  # bounded by the vocabulary
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_counts(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
