@@ -42,7 +42,7 @@ from .shared import Stage, parts_for
 from .wire import dealt, gathered, packed, unpacked
 
 SWEEPS, BURN, STRENGTH = 6, 2, 1.0
-SENT_BYTES, BLOCK_BYTES, HELD_KEYS = 12 << 20, 16 << 20, 1 << 20
+SENT_BYTES, BLOCK_BYTES, HELD_KEYS = 12 << 20, 16 << 20, 1 << 18
 #: Customers of a dish up to which Stirling numbers come from a table, table counts weighed at first, and cells at a time.
 EXACT, NARROW, CELLS = 1024, 64, 1 << 19
 END, START, OTHER = np.uint64(0x5E4D0F7E47), np.uint64(0x57A127), np.uint64(0x07BE2)
