@@ -256,3 +256,26 @@ def test_detection_without_articles_or_terms(spark):
     some = spark.createDataFrame([(1, "acme corp")], "article_id long, headline string")
     empty = spark.createDataFrame([], "symbol string, category string, term string, ord int")
     assert [r.detected for r in rel.detect_companies(some, empty).collect()] == [[]]
+
+
+def test_few_terms_are_found_in_place(spark):
+    """A literal dictionary needs no shuffle and no written stage, and agrees with the index."""
+    rows = [(i, "ACME", h) for i, h in enumerate([*HEADLINES, None, "ACME CORP Stock"])]
+    articles = spark.createDataFrame(rows, "article_id int, symbol string, headline string")
+    found = rel.detect_companies(rel.score_relevance(articles, DICTIONARY), DICTIONARY)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "parquet" not in plan.lower()
+    table = rel.term_table(spark, DICTIONARY)
+    by_index = rel.detect_companies(articles, table).select("article_id", "detected")
+    assert sorted(map(tuple, found.select("article_id", "detected").collect())) == sorted(map(tuple, by_index.collect()))
+
+
+def test_pieces_without_a_term_stay_in_their_task(spark, monkeypatch):
+    """With few keys only pieces that are keys are shuffled; with more the join gives the same."""
+    texts = spark.createDataFrame([(i, i, h.lower()) for i, h in enumerate(HEADLINES)], "__h long, __g long, __text string")
+    few = rel.named_companies(texts, DICTIONARY)
+    assert "LeftSemi, BuildRight" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rel, "FEW_KEYS", 3)
+    many = rel.named_companies(texts, DICTIONARY)
+    assert "LeftSemi" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
