@@ -19,7 +19,7 @@ from ..sources.bars import order_number
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*", fmt: str = "parquet", files_per_chunk: int = 100
 ) -> DataFrame:
-    """Unbounded table over the files of a folder."""
+    """Unbounded table over the files of a folder; a pattern as ``folder`` may name folders and single files."""
     reader = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", pattern)
     if fmt == "csv":
         reader = reader.option("header", True)
