@@ -25,9 +25,10 @@ def train_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "train") if "split" in df.columns else df
 
 
-def _train_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of the training rows; the columns are derived once and written."""
-    return exact_quantiles(written(train_rows(df).select(*columns)), columns, probs)
+def _train_quantiles(df: DataFrame, columns: list[str], probs: list[float], stored: bool = False) -> dict[str, list[float | None]]:
+    """Exact quantiles of the training rows; the columns are derived once and written, unless ``df`` is stored already."""
+    train = train_rows(df).select(*columns)
+    return exact_quantiles(train if stored else written(train), columns, probs)
 
 
 # filters on rows and columns
@@ -79,13 +80,16 @@ def ready_for_training(df: DataFrame, features: list[str], target: str) -> DataF
 # imputation
 
 
-def impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Last value of the symbol, else its training median, else the training median of all, else 0."""
+def impute(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
+    """Last value of the symbol, else its training median, else the training median of all, else 0.
+
+    ``stored`` says here and below that ``df`` reads a table that is cheap to read again, so it is not written another time.
+    """
     shares = null_shares(df, columns)
     columns = [c for c in columns if shares[c] > 0]  # the others need no fitting
     if not columns:
         return df
-    overall = _train_quantiles(df, columns, [0.5])
+    overall = _train_quantiles(df, columns, [0.5], stored)
     medians = train_rows(df).groupBy(F.col("symbol").alias("__of")).agg(
         *[F.percentile(F.col(c), F.lit(0.5)).alias(f"__md_{c}") for c in columns]  # at most a series of values per column
     )
@@ -110,7 +114,9 @@ def impute_simple(df: DataFrame, columns: list[str], strategy: str = "median") -
 # clipping
 
 
-def clip_bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[str, tuple[float | None, float | None]]:
+def clip_bounds(
+    df: DataFrame, columns: list[str], method: str = "iqr", stored: bool = False
+) -> dict[str, tuple[float | None, float | None]]:
     train = train_rows(df)
     if method == "zscore":
         aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]
@@ -122,17 +128,17 @@ def clip_bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[
             for c in columns
         }
     if method == "percentile":
-        return {c: (q[0], q[1]) for c, q in _train_quantiles(df, columns, list(PERCENTILE_RANGE)).items()}
+        return {c: (q[0], q[1]) for c, q in _train_quantiles(df, columns, list(PERCENTILE_RANGE), stored).items()}
     if method != "iqr":
         raise ValueError(f"unknown clipping method {method}")
     out = {}
-    for c, (q1, q3) in _train_quantiles(df, columns, [0.25, 0.75]).items():
+    for c, (q1, q3) in _train_quantiles(df, columns, [0.25, 0.75], stored).items():
         out[c] = (None, None) if q1 is None else (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
     return out
 
 
-def clip_outliers(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
-    bounds = clip_bounds(df, columns, method)
+def clip_outliers(df: DataFrame, columns: list[str], method: str = "iqr", stored: bool = False) -> DataFrame:
+    bounds = clip_bounds(df, columns, method, stored)
     return df.withColumns({c: clip(F.col(c).cast("double"), *bounds[c]) for c in columns})
 
 
@@ -156,12 +162,12 @@ class Scale:
 
 
 def fit_scales(
-    df: DataFrame, columns: list[str], method: str = "robust", interval: tuple[float, float] = (0.0, 1.0)
+    df: DataFrame, columns: list[str], method: str = "robust", interval: tuple[float, float] = (0.0, 1.0), stored: bool = False
 ) -> dict[str, Scale]:
     """Scales from training rows: median and quartile range, mean and population deviation, or the range."""
     train = train_rows(df)
     if method == "robust":
-        q = _train_quantiles(df, columns, [0.25, 0.5, 0.75])
+        q = _train_quantiles(df, columns, [0.25, 0.5, 0.75], stored)
         return {c: Scale(v[1] or 0.0, ((v[2] or 0.0) - (v[0] or 0.0)) or 1.0) for c, v in q.items()}
     if method not in ("standard", "minmax", "zscore"):
         raise ValueError(f"unknown scaling method {method}")
@@ -193,5 +199,5 @@ def undo_scales(df: DataFrame, scales: dict[str, Scale], names: dict[str, str] |
     return df.withColumns({p: scales[c].backward(F.col(p)) for p, c in pairs.items()})
 
 
-def scale_features(df: DataFrame, columns: list[str], method: str = "robust") -> DataFrame:
-    return apply_scales(df, fit_scales(df, columns, method))
+def scale_features(df: DataFrame, columns: list[str], method: str = "robust", stored: bool = False) -> DataFrame:
+    return apply_scales(df, fit_scales(df, columns, method, stored=stored))

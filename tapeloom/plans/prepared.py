@@ -26,21 +26,24 @@ def numeric_features(panel: DataFrame) -> list[str]:
     return [c for c in registry.feature_columns(numeric) if c not in registry.IDENTIFIERS]
 
 
-def clean_panel(panel: DataFrame, clip: str = "iqr") -> tuple[DataFrame, list[str], list[str]]:
+def clean_panel(panel: DataFrame, clip: str = "iqr", only: list[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """Identifiers, targets, split and numeric features: empty columns out, missing values filled, outliers clipped.
 
-    Everything fitted uses the training rows.  A step that needs several passes reads the one before from a written
-    stage.  Returns the table, its features and the empty columns.
+    Everything fitted uses the training rows.  Features are treated one by one, so with ``only`` the others are neither
+    computed nor written.  The panel is written once, and once more if a value was filled; clipping is a projection of
+    that.  Returns the table, its features and the empty columns.
     """
     panel = panel if "split" in panel.columns else splits.temporal_split(panel)
-    features = numeric_features(panel)
+    features = [c for c in numeric_features(panel) if only is None or c in only]
     ids = [c for c in panel.columns if c in registry.IDENTIFIERS or c == "split" or registry.is_target(c)]
     base = written(panel.select(*ids, *[finite(c).alias(c) for c in features]), "panel")
     shares = prepare.null_shares(base, features)
     empty = [c for c in features if shares[c] >= 1.0]
     features = [c for c in features if c not in empty]
-    filled = written(prepare.impute(base.drop(*empty), features), "filled")
-    return written(prepare.clip_outliers(filled, features, clip), "clipped"), features, empty
+    present = base.drop(*empty)
+    filled = prepare.impute(present, features, stored=True)
+    filled = filled if filled is present else written(filled, "filled")
+    return prepare.clip_outliers(filled, features, clip, stored=True), features, empty
 
 
 def prepared_panel(
@@ -54,7 +57,7 @@ def prepared_panel(
     cleaned, features, empty = clean_panel(panel, clip)
     chosen = selection.select_k_best(cleaned, features, target, with_sentiment, score, k)
     kept = selection.prune_correlated(cleaned, chosen, target, with_sentiment)
-    scales = prepare.fit_scales(cleaned, kept, scale)
+    scales = prepare.fit_scales(cleaned, kept, scale, stored=True)
     ids = [c for c in cleaned.columns if c not in features]
     table = prepare.apply_scales(cleaned.select(*ids, *kept), scales)
     gone = {"empty": empty, "not selected": [c for c in features if c not in chosen], "correlated": [c for c in chosen if c not in kept]}

@@ -240,3 +240,21 @@ def test_constant_columns_have_no_correlation(spark):
     assert scores["same"] is None and scores["holes"] == pytest.approx(want) and scores["x"] > 0.9
     assert {r.feature: r.score for r in selection.f_scores(df, ["x", "same"], "target_5").collect()}["same"] is None
     assert selection.prune_correlated(df, ["x", "same", "holes"], "target_5", False)
+
+
+def test_cleaning_some_features_writes_them_once(spark, monkeypatch):
+    """The features asked for come out as among all others, and nothing but the panel and its filled form is written."""
+    from tapeloom.operators import prepare as p
+    from tapeloom.plans import prepared
+
+    rows = [(f"S{s}", day(d), float(d * 7 % 31 + s), None if d % 5 == 0 else float(d), float(s), "train" if d < 30 else "test") for s in range(3) for d in range(40)]
+    panel = spark.createDataFrame(rows, "symbol string, date date, a double, b double, c double, split string")
+    every, features, _ = prepared.clean_panel(panel)
+    stages = []
+    for module in (p, prepared):
+        monkeypatch.setattr(module, "written", lambda df, name="stage", real=module.written: (stages.append((name, df.columns)), real(df, name))[1])
+    some, kept, _ = prepared.clean_panel(panel, only=["b", "c"])
+    assert kept == ["b", "c"] and {"a", "b", "c"} <= set(features)
+    assert [n for n, _ in stages] == ["panel", "filled"] and all("a" not in columns for _, columns in stages)
+    keys = ["symbol", "date", "b", "c"]
+    assert sorted(map(tuple, some.select(*keys).collect())) == sorted(map(tuple, every.select(*keys).collect()))
