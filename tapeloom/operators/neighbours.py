@@ -3,10 +3,11 @@
 Every pair (feature, target) of a row is a point.  Its radius is the distance to its k-th nearest neighbour in the maximum
 norm; the counts of points closer than that in either coordinate alone give the information.
 
-Points of a feature are cut into runs of neighbouring values.  A point finds its nearest ones in its own run; where its
-radius reaches beyond the run, it is sent to the runs it reaches, which answer with their nearest ones, if nearer.  Counts in one
-coordinate are differences of ranks: points ahead of a run, and places inside the one run that holds the value asked for.
-A task holds one run and the points that ask it.
+Points of a feature are cut into slabs by feature and each slab into cells by target, both by quantiles, so a cell is as
+narrow in one coordinate as in the other.  A point finds its nearest ones in its own cell; where its radius reaches beyond
+the cell, it is sent to the cells it reaches, which answer with their nearest ones, if nearer: few points at any size.
+Counts in one coordinate are differences of ranks: points ahead of a run of neighbouring values, and places inside the one
+run that holds the value asked for.  A task holds one cell or run and the points that ask it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .prepare import train_rows
 NEIGHBOURS, NOISE = 3, 1e-10
 # ---- end of fixed values ----
 
-#: Points of a run, about.
+#: Points of a run or a cell, about.
 RUN = 1024
 
 
@@ -91,6 +92,64 @@ def _placed(cuts: Cuts, key: str, value: str) -> Callable:
     return place
 
 
+#: Per feature: bounds of its slabs, bounds of the cells of each slab, number of the first cell of each slab.
+Cells = dict[str, tuple[np.ndarray, list[np.ndarray], np.ndarray]]
+
+
+def _cells(points: DataFrame, run: int) -> Cells:
+    """Slabs and cells of each feature with about ``run`` points a cell; a few numbers per cell."""
+    sizes = {r[0]: r[1] for r in points.groupBy("feature").count().collect()}
+    largest = max(sizes.values(), default=0)
+    most = -(-largest // run)
+    slabs = max(1, round(most**0.5))
+    each = -(-most // slabs)
+    cuts = _cuts(points, "feature", "x", max(1, -(-largest // slabs)))
+    inner: dict[tuple[str, int], np.ndarray] = {}
+    if each > 1:
+        probs = [i / each for i in range(1, each)]
+        in_slab = points.mapInArrow(_placed(cuts, "feature", "x"), "feature string, id long, x double, y double, run int")
+        found = in_slab.groupBy("feature", "run").agg(F.percentile_approx("y", probs, 20 * each).alias("cuts")).collect()
+        inner = {(r.feature, r.run): np.unique(np.array(r.cuts, float)) for r in found}
+    out = {}
+    for name, bounds in cuts.items():
+        rows = [inner.get((name, i), np.zeros(0)) for i in range(len(bounds) + 1)]
+        out[name] = bounds, rows, np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])])[:-1]
+    return out
+
+
+def _ranges(cells: tuple[np.ndarray, list[np.ndarray], np.ndarray], slab: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first and the last cell of a slab that hold targets from ``low`` to ``high``."""
+    _, rows, first = cells
+    a, b = np.zeros(len(slab), np.int64), np.zeros(len(slab), np.int64)
+    for s in np.unique(slab):
+        at = slab == s
+        a[at], b[at] = first[s] + np.searchsorted(rows[s], low[at], "right"), first[s] + np.searchsorted(rows[s], high[at], "right")
+    return a, b
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places repeated for every number from ``low`` to ``high``, and these numbers."""
+    n = high - low + 1
+    row = np.repeat(np.arange(len(low)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
+
+def _in_cells(cells: Cells) -> Callable:
+    """Adds ``run``, the cell that holds the point."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array(batch.column("feature").to_pylist(), object)
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in "xy")
+            run = np.zeros(len(batch), np.int32)
+            for name in set(names.tolist()):
+                at = names == name
+                run[at] = _ranges(cells[name], np.searchsorted(cells[name][0], x[at], "right"), y[at], y[at])[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run)], [*batch.schema.names, "run"])
+
+    return place
+
+
 def _distances(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
     return np.maximum(np.abs(x[:, None] - px[None, :]), np.abs(y[:, None] - py[None, :]))
 
@@ -119,23 +178,27 @@ def _in_own_run(k: int) -> Callable:
     return run
 
 
-def _reached(cuts: Cuts) -> Callable:
-    """A row per other run that a point's radius reaches."""
+def _reached(cells: Cells) -> Callable:
+    """A row per other cell that a point's radius reaches."""
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            x, own = _numbers(t, "x", "run")
+            x, y, own = _numbers(t, "x", "y", "run")
             radius = np.array([n[-1] for n in t.column("near").to_pylist()])
             names = np.array(t.column("feature").to_pylist(), object)
-            low, high = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            rows, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for name in set(names.tolist()):
-                at = names == name
-                low[at], high[at] = np.searchsorted(cuts[name], x[at] - radius[at], "right"), np.searchsorted(cuts[name], x[at] + radius[at], "right")
-            row = np.repeat(np.arange(len(x)), high - low + 1)
-            to = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
-            row, to = row[to != own[row]], to[to != own[row]]
-            asks = t.select(["feature", "id", "x", "y"]).take(pa.array(row)).append_column("run", pa.array(to.astype(np.int32)))
+                at = np.flatnonzero(names == name)
+                bounds = cells[name][0]
+                near, slab = _spread(np.searchsorted(bounds, x[at] - radius[at], "right"), np.searchsorted(bounds, x[at] + radius[at], "right"))
+                at = at[near]
+                place, cell = _spread(*_ranges(cells[name], slab, y[at] - radius[at], y[at] + radius[at]))
+                rows.append(at[place])
+                to.append(cell)
+            row, cell = np.concatenate(rows), np.concatenate(to)
+            row, cell = row[cell != own[row]], cell[cell != own[row]]
+            asks = t.select(["feature", "id", "x", "y"]).take(pa.array(row)).append_column("run", pa.array(cell.astype(np.int32)))
             yield from asks.append_column("radius", pa.array(radius[row])).combine_chunks().to_batches()
 
     return reach
@@ -200,11 +263,11 @@ def spread_runs(spark: SparkSession, cuts: Cuts) -> DataFrame:
 
 def radii_of(points: DataFrame, k: int = NEIGHBOURS, run: int = RUN) -> DataFrame:
     """``feature, id, radius``: the distance of each point to its k-th nearest neighbour; infinite with k points or fewer."""
-    cuts = _cuts(points, "feature", "x", run)
-    placed = written(points.mapInArrow(_placed(cuts, "feature", "x"), "feature string, id long, x double, y double, run int"), "runs")
+    cells = _cells(points, run)
+    placed = written(points.mapInArrow(_in_cells(cells), "feature string, id long, x double, y double, run int"), "cells")
     near = "feature string, id long, x double, y double, run int, near array<double>"
     own = written(placed.groupBy("feature", "run").applyInArrow(_in_own_run(k), near), "near")
-    asks = own.mapInArrow(_reached(cuts), "feature string, id long, x double, y double, run int, radius double")
+    asks = own.mapInArrow(_reached(cells), "feature string, id long, x double, y double, run int, radius double")
     other = asks.groupBy("feature", "run").cogroup(placed.groupBy("feature", "run")).applyInArrow(_in_other_run(k), "feature string, id long, near array<double>")
     both = own.select("feature", "id", "near").unionByName(other).groupBy("feature", "id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))  # k a run
     return written(both.select("feature", "id", F.col("near")[k - 1].alias("radius")), "radii")
