@@ -96,20 +96,33 @@ def _placed(cuts: Cuts, key: str, value: str) -> Callable:
 Cells = dict[str, tuple[np.ndarray, list[np.ndarray], np.ndarray]]
 
 
+def _off_noise(cuts: np.ndarray) -> np.ndarray:
+    """Cuts moved between the values that noise has parted, so that none lies among equal ones."""
+    if not len(cuts):
+        return cuts
+    step = 100.0 * NOISE * max(1.0, float(np.abs(cuts).max()))
+    return np.unique((np.floor(cuts / step) + 0.5) * step)
+
+
 def _cells(points: DataFrame, run: int) -> Cells:
-    """Slabs and cells of each feature with about ``run`` points a cell; a few numbers per cell."""
+    """Slabs and cells of each feature with about ``run`` points a cell; a few numbers per cell.
+
+    Bounds of slabs lie off the noise, so equal values share a slab, however many; a larger slab has more cells.
+    """
     sizes = {r[0]: r[1] for r in points.groupBy("feature").count().collect()}
     largest = max(sizes.values(), default=0)
-    most = -(-largest // run)
-    slabs = max(1, round(most**0.5))
-    each = -(-most // slabs)
-    cuts = _cuts(points, "feature", "x", max(1, -(-largest // slabs)))
+    slabs = max(1, round((-(-largest // run)) ** 0.5))
+    cuts = {k: _off_noise(c) for k, c in _cuts(points, "feature", "x", max(1, -(-largest // slabs))).items()}
+    in_slab = points.mapInArrow(_placed(cuts, "feature", "x"), "feature string, id long, x double, y double, run int")
+    held = {(r.feature, r.run): r.n for r in in_slab.groupBy("feature", "run").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = -(-max(held.values(), default=0) // run)
     inner: dict[tuple[str, int], np.ndarray] = {}
     if each > 1:
         probs = [i / each for i in range(1, each)]
-        in_slab = points.mapInArrow(_placed(cuts, "feature", "x"), "feature string, id long, x double, y double, run int")
         found = in_slab.groupBy("feature", "run").agg(F.percentile_approx("y", probs, 20 * each).alias("cuts")).collect()
-        inner = {(r.feature, r.run): np.unique(np.array(r.cuts, float)) for r in found}
+        for r in found:  # every so many of the bounds that the largest slab needs
+            step = max(1, each * run // held[(r.feature, r.run)])
+            inner[(r.feature, r.run)] = np.unique(np.array(r.cuts, float)[step - 1 :: step])
     out = {}
     for name, bounds in cuts.items():
         rows = [inner.get((name, i), np.zeros(0)) for i in range(len(bounds) + 1)]

@@ -82,7 +82,7 @@ def test_digamma(spark):
 def test_a_point_asks_few_cells_at_any_size(spark):
     """A feature with eight values: cells are narrow in both coordinates, so the cells a radius reaches do not grow with the rows."""
     asked = []
-    for n in (4_096, 16_384):
+    for n in (4_096, 32_768):
         rng = np.random.default_rng(n)
         x, y = rng.integers(0, 8, n) + rng.uniform(0, 1e-10, n), rng.normal(size=n)
         points = spark.createDataFrame([("f", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "feature string, id long, x double, y double")
@@ -92,4 +92,4 @@ def test_a_point_asks_few_cells_at_any_size(spark):
         near = placed.groupBy("feature", "run").applyInArrow(neighbours._in_own_run(3), "feature string, id long, x double, y double, run int, near array<double>")
         asks = near.mapInArrow(neighbours._reached(cells), "feature string, id long, x double, y double, run int, radius double")
         asked.append(asks.count() / n)
-    assert asked[1] < 1.5 * asked[0] and max(asked) < 4
+    assert max(asked) < 2, asked
