@@ -517,3 +517,23 @@ def test_runs_cut_batches():
     texts = pa.array(["ab", None, "", "x" * 10, "cd ef"])
     runs = list(scan.runs(texts.slice(1), 5))
     assert [(r.first, r.last) for r in runs] == [(0, 2), (2, 3), (3, 4)] and sum(len(r.data) for r in runs) == 15
+
+
+def test_language_model_counts_pairs_in_little_memory():
+    """A task that counts a million distinct pairs holds fewer than 115 bytes for each at its peak."""
+    import tracemalloc
+
+    from tapeloom.llm import language_model as module
+
+    class All:
+        value = None
+
+    draw = np.random.default_rng(3)
+    texts = [" ".join(map(str, draw.integers(0, 30000, 2000))) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        pairs = sum(n for b in module._count_pairs(8, All)(iter([batch])) for n in b.column("n").to_pylist())
+        assert pairs > 900_000 and tracemalloc.get_traced_memory()[1] < 115 * pairs
+    finally:
+        tracemalloc.stop()
