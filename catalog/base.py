@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tapeloom.functions import evaluate_once
 from tapeloom.operators import news
 from tapeloom.sources.bars import daily_bars
 
@@ -106,15 +107,13 @@ def articles_from(documents: DataFrame) -> DataFrame:
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     size = F.length("line")
     rest = F.length(F.replace("line", F.lit("e")))
-    slot = (size + rest) % 10
-    suffix = F.lit("")
-    for i, s in enumerate(SUFFIXES):
-        suffix = F.when(slot == i, s).otherwise(suffix)
+    suffix = F.coalesce(F.get(F.array(*[F.lit(s) for s in SUFFIXES]), (size + rest) % 10), F.lit(""))
+    lines = evaluate_once(lines, "headline", F.concat("line", suffix))  # the gate's filter must not derive it for each of its rules
     return lines.select(
         (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("article_id"),
         code(rest % 100).alias("symbol"),
         F.date_add(F.lit(FIRST_DAY).cast("date"), ((size * 7 + rest * 13) % DAYS).cast("int")).alias("date"),
-        F.concat(F.col("line"), suffix).alias("headline"),
+        "headline",
     )
 
 

@@ -83,8 +83,8 @@ def normalise_headline(x: Column) -> Column:
 
 
 def contains_any(lowered: Column, terms: list[str]) -> Column:
-    """True when any term is a substring of the already lower-cased text."""
-    return reduce(lambda a, b: a | b, [lowered.contains(t) for t in terms])
+    """True when any term is a substring of the already lower-cased text, which is computed once."""
+    return F.exists(F.array(lowered), lambda low: reduce(lambda a, b: a | b, [low.contains(t) for t in terms]))
 
 
 def quality_reason(headline: Column) -> Column:
@@ -94,7 +94,7 @@ def quality_reason(headline: Column) -> Column:
     return (
         F.when(size < MIN_HEADLINE, "too_short")
         .when(size > MAX_HEADLINE, "too_long")
-        .when(F.length(F.trim(squeeze_blanks(h))) == 0, "empty")
+        .when(~h.rlike(BLANKS.replace("[", "[^", 1).removesuffix("+")), "empty")
         .when(contains_any(F.lower(h), SPAM_PHRASES), "spam")
         .otherwise("valid")
     )

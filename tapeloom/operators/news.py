@@ -80,9 +80,7 @@ def score_lexicon(
     articles: DataFrame, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE
 ) -> DataFrame:
     """Class probabilities from the number of lexicon terms present, as plain expressions."""
-    h = F.lower("headline")
-
-    def hits(terms: list[str]) -> Column:
+    def hits(h: Column, terms: list[str]) -> Column:
         return sum((h.contains(t.lower()).cast("double") for t in terms), F.lit(0.0))
 
     p = _probabilities(
@@ -92,7 +90,8 @@ def score_lexicon(
             "sentiment_negative": F.col("__hits.down"),
         }
     )
-    counted = evaluate_once(articles, "__hits", F.struct(hits(positive).alias("up"), hits(negative).alias("down")))
+    both = F.transform(F.array(F.lower("headline")), lambda h: F.struct(hits(h, positive).alias("up"), hits(h, negative).alias("down")))
+    counted = evaluate_once(articles, "__hits", F.get(both, F.lit(0)))
     return with_scores(counted.withColumns(p).drop("__hits"))
 
 

@@ -279,3 +279,13 @@ def test_pieces_without_a_term_stay_in_their_task(spark, monkeypatch):
     many = rel.named_companies(texts, DICTIONARY)
     assert "LeftSemi" not in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_headlines_are_derived_once(spark):
+    """The gate asks for a headline in each of its rules; none of them derives it again."""
+    from catalog.base import SUFFIXES, articles
+
+    from .conftest import SF_DIR
+
+    plan = news.clean_articles(articles(spark, SF_DIR))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(SUFFIXES[0]) == 1
