@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeloom.functions import evaluate_once
 from tapeloom.operators import news
+from tapeloom.operators.windows import dealt
 from tapeloom.sources.bars import daily_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(t, code(F.col("l_suppkey")), F.col("l_shipdate"), price, F.col("l_quantity"), TRADE_ORDER)
 
 
+def dealt_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars for many windows by symbol; a bar has a trade at least, and trades are counted from the file footers."""
+    return dealt(bars(spark, sf_dir), table(spark, sf_dir, "lineitem").count())
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored articles, one per event."""
     return scored_from(table(spark, sf_dir, "events"))

@@ -9,7 +9,7 @@ from tapeloom.operators import indicators as ind, prepare, windows
 from tapeloom.session import stage_path
 from tapeloom.sources import bars as bar_source, files, schemas, standardize
 
-from .base import CTE, articles, bars, pick, pick_sql, query, rnd, table, with_sql
+from .base import CTE, articles, bars, dealt_bars, pick, pick_sql, query, rnd, table, with_sql
 
 KEY = ["symbol", "date"]
 OHLC = ["open", "high", "low", "close"]
@@ -347,7 +347,7 @@ def _(spark, sf):
 @query("all_indicators")
 def _(spark, sf):
     """Every indicator and lag of the feature table, carried forward."""
-    return ind.add_indicators(bars(spark, sf))
+    return ind.add_indicators(dealt_bars(spark, sf))
 
 
 @query(

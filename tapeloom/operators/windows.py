@@ -16,6 +16,8 @@ from ..functions.calendar import day_number
 #: Largest exponent inside one block of a scan, and the exponent beyond which a
 #: contribution is below the resolution of a double (exp(-40) = 4e-18).
 BLOCK, NEGLIGIBLE = 160.0, 40.0
+#: Panel rows of a task: the sorts of a row with all indicators take about 7 KB of its memory together.
+TASK_ROWS = 100_000
 
 
 def series(key: str = "symbol", order: str = "date") -> WindowSpec:
@@ -47,6 +49,16 @@ def rolling(agg, x: Column, n: int, need: int | None = None, **spec: str) -> Col
     return F.when(F.count(x).over(w) >= need, agg(x).over(w))
 
 
+def dealt(df: DataFrame, rows: int, key: str = "symbol") -> DataFrame:
+    """Series dealt to tasks of about ``TASK_ROWS`` rows, however many there are; ``rows`` is their number or one above it.
+
+    The windows below run where the rows lie then.  Left alone, a partition is judged by the size of the bars, not by
+    the twenty times wider rows that are sorted, and a fixed number of partitions grows with the table.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(parts, key)
+
+
 def forward_fill(df: DataFrame, columns: list[str], key: str = "symbol", order: str = "date") -> DataFrame:
     """Last known value within the symbol; never looks ahead."""
     w = running(key, order)

@@ -154,3 +154,19 @@ def test_headline_is_normalised_once_per_row(spark):
 def test_rates_are_scored_without_a_cross_join(spark):
     grid = decay.rate_grid(steps=4)
     assert grid[5] == [0.05, 0.133333, 0.216667, 0.3]
+
+
+def test_series_are_dealt_by_their_number_of_rows(spark, closes_of):
+    """Twice the rows are twice the tasks, and all indicators are computed where the rows lie."""
+    from tapeloom.operators.windows import TASK_ROWS, dealt
+
+    bars = closes_of(range(1, 50))
+    assert [dealt(bars, n * TASK_ROWS).rdd.getNumPartitions() for n in (1, 20, 40)] == [8, 20, 40]
+    plan = plan_of(ind.add_indicators(dealt(bars, 20 * TASK_ROWS)))
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_all_indicators_are_dealt(spark):
+    from __spark_entry__ import queries
+
+    assert "REPARTITION_BY_NUM" in plan_of(queries()["all_indicators"](spark, SF_DIR))
