@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -98,22 +99,25 @@ def score_windows(windows: DataFrame, load: Callable[[], Callable[[np.ndarray],
     ``load`` runs once per task and returns a function from ``[n, rows, features]``
     to ``[n]``.
     """
-    schema = T.StructType(
-        [*[f for f in windows.schema.fields if f.name != "sequence"], T.StructField("prediction", T.DoubleType())]
-    )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c for c in windows.columns if c != "sequence"]
+    schema = T.StructType([*[windows.schema[c] for c in names], T.StructField("prediction", T.DoubleType())])
+
+    def tensor(sequence: pa.Array) -> np.ndarray:
+        """The values as they lie in the batch, which has the lists of all windows end to end."""
+        steps, n = sequence.flatten(), len(sequence)
+        for lists in (sequence, steps):
+            size = pc.min_max(pc.fill_null(pc.list_value_length(lists), -1))
+            if size["min"] != size["max"]:
+                raise ValueError("windows differ in their numbers of rows or features")
+        return steps.flatten().to_numpy(zero_copy_only=False).reshape(n, len(steps) // n, -1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = load()
         for batch in batches:
-            out = batch.drop(columns="sequence")
-            if len(batch):
-                tensor = np.stack([np.stack(s) for s in batch["sequence"]])
-                out["prediction"] = np.asarray(predict(tensor), dtype=float)
-            else:
-                out["prediction"] = pd.Series(dtype=float)
-            yield out
-
-    return windows.mapInPandas(score, schema)
+            found = np.asarray(predict(tensor(batch.column("sequence"))), dtype=float) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, from_pandas=True)], [*names, "prediction"])
+
+    return windows.mapInArrow(score, schema)
 
 
 REGRESSORS = {

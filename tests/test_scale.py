@@ -170,3 +170,19 @@ def test_all_indicators_are_dealt(spark):
     from __spark_entry__ import queries
 
     assert "REPARTITION_BY_NUM" in plan_of(queries()["all_indicators"](spark, SF_DIR))
+
+
+def test_windows_are_scored_as_they_lie_in_a_batch(spark):
+    """A model gets the numbers of a batch without a Python object per step; uneven windows are an error."""
+    from tapeloom.operators.sequences import score_windows
+
+    def load():
+        return lambda x: x[:, -1, 0] + 10 * x[:, 0, 1] if x.dtype == np.float32 and x.shape[1:] == (2, 2) else 1 / 0
+
+    rows = [("A", [[1.0, 2.0], [3.0, 4.0]]), ("B", [[5.0, 6.0], [float("nan"), 8.0]])]
+    scored = score_windows(spark.createDataFrame(rows, "symbol string, sequence array<array<float>>"), load)
+    assert {r.symbol: r.prediction for r in scored.collect()} == {"A": 23.0, "B": None}
+    assert "MapInArrow" in plan_of(scored)
+    uneven = spark.createDataFrame([("A", [[1.0]]), ("B", [[1.0], [2.0]])], "symbol string, sequence array<array<float>>").coalesce(1)
+    with pytest.raises(Exception, match="differ in their numbers"):
+        score_windows(uneven, load).collect()
