@@ -52,7 +52,8 @@ def fold_bounds(panel: DataFrame, folds: int = FOLDS, embargo: int = EMBARGO, wa
     dates = dates.withColumns({"__p": F.row_number().over(over), "__n": F.count(F.lit(1)).over(Window.partitionBy())})
     dates = dates.withColumn("run", F.floor((F.col("__p") - 1) * runs / F.col("__n")).cast("int"))
     ends = panel.filter("label_end IS NOT NULL").groupBy(day.alias("date")).agg(F.max("label_end").alias("reach"))
-    spans = dates.join(ends, "date").groupBy("run").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.max("reach").alias("reach"))
+    spans = dates.join(ends, "date", "left").groupBy("run").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.max("reach").alias("reach"))
+    spans = spans.filter("reach IS NOT NULL")
     around = dates.select("date", F.lag("date", embargo).over(over).alias("before"), F.lead("date", embargo).over(over).alias("after"))
     spans = spans.join(around.select(F.col("date").alias("first"), "before"), "first", "left").join(around.select(F.col("date").alias("reach"), "after"), "reach", "left")
     least, most = (panel.agg(f(day)).scalar() for f in (F.min, F.max))
