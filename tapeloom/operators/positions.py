@@ -55,20 +55,20 @@ def rank_dictionary(long: DataFrame, by: str, value: str, rank: str, weight: str
     )
 
 
-def spearman(long: DataFrame, by: list[str], group: str, x: str, y: str) -> DataFrame:
+def spearman(long: DataFrame, by: list[str], group: str, x: str, y: str, ranked: bool = False) -> DataFrame:
     """Rank correlation of ``x`` and ``y`` per group; ``group`` is the key column of ``by``.
 
     Equal pairs are counted first, so a pair held by a third of the rows is one row
     from there on.  The counts are written once; both dictionaries and the weighted
-    correlation read them from there.
+    correlation read them from there.  ``ranked`` says that ``y`` holds its average ranks already.
     """
     counts = long.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*dict.fromkeys([*by, group]), x, y).agg(F.count(F.lit(1)).alias("__n"))
     counts = durable(counts)
-    ranked = counts
-    for value, rank in ((x, "__rx"), (y, "__ry")):
+    pairs = counts.withColumn("__ry", F.col(y)) if ranked else counts
+    for value, rank in ((x, "__rx"),) if ranked else ((x, "__rx"), (y, "__ry")):
         ranks = rank_dictionary(counts, group, value, rank, "__n")
-        ranked = ranked.join(ranks.select(group, value, rank), [group, value])
-    return ranked.groupBy(*by).agg(_weighted_corr(F.col("__rx"), F.col("__ry"), F.col("__n")).alias("spearman"), F.sum("__n").alias("rows"))
+        pairs = pairs.join(ranks.select(group, value, rank), [group, value])
+    return pairs.groupBy(*by).agg(_weighted_corr(F.col("__rx"), F.col("__ry"), F.col("__n")).alias("spearman"), F.sum("__n").alias("rows"))
 
 
 def _weighted_corr(x: Column, y: Column, n: Column) -> Column:

@@ -186,3 +186,21 @@ def test_windows_are_scored_as_they_lie_in_a_batch(spark):
     uneven = spark.createDataFrame([("A", [[1.0]]), ("B", [[1.0], [2.0]])], "symbol string, sequence array<array<float>>").coalesce(1)
     with pytest.raises(Exception, match="differ in their numbers"):
         score_windows(uneven, load).collect()
+
+
+def test_targets_are_ranked_once_for_all_rates(spark, monkeypatch):
+    """The returns of a horizon have the same ranks under each of its rates."""
+    calls, plain = [], positions.rank_dictionary
+
+    def noted(long, by, value, *more):
+        calls.append((by, value))
+        return plain(long, by, value, *more)
+
+    monkeypatch.setattr(positions, "rank_dictionary", noted)
+    monkeypatch.setattr(decay, "rank_dictionary", noted, raising=False)
+    rows = [("A", f"2020-01-{d:02d}", float(d * d % 7)) for d in range(1, 29)]
+    market = spark.createDataFrame(rows, "symbol string, date string, target_5d double").withColumn("date", F.to_date("date"))
+    daily = market.select("symbol", "date", (F.col("target_5d") / 7).alias("sentiment_compound"), F.lit(0.8).alias("confidence"), F.lit(1).alias("article_count"))
+    got = decay.score_rates(market, daily, {5: [0.05, 0.1, 0.3]}).collect()
+    assert len(got) == 3 and all(r.rows == 28 for r in got)
+    assert sorted(calls) == [("feature", "value"), ("horizon", "target")]
