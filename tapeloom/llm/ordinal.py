@@ -11,6 +11,7 @@ that rejects at most ``false_rejection`` of the good rows.  All texts are scored
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import scan
-from .shared import blobs, nullable, struct_of, with_row
+from .shared import Stage, blobs, nullable, struct_of, take_ranges, with_row
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
@@ -77,28 +78,39 @@ def tails(model: Model, scores: np.ndarray) -> np.ndarray:
     return 1 - _sigmoid(model.cuts[None, :] - scores[:, None])
 
 
-def fit(texts: list[tuple[np.ndarray, int]], held: np.ndarray, n_grades: int = 3, false_rejection: float = FALSE_REJECTION) -> Model:
-    """Fit on rows of (features, grade) that are not ``held``; held rows of the best grade set the rejection tail.
+class Sample(NamedTuple):
+    """Labelled rows; the features of row i are ``value[start[i] : start[i] + length[i]]``."""
+
+    value: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    grade: np.ndarray
+    doc_id: np.ndarray
+
+
+def fit(sample: Sample, held: np.ndarray, n_grades: int = 3, false_rejection: float = FALSE_REJECTION) -> Model:
+    """Fit on the rows that are not ``held``; held rows of the best grade set the rejection tail.
 
     Features found in fewer than ``LEAST_ROWS`` fitted rows keep the weight 0.
     AdaGrad on the negative log likelihood, in a fixed order, so that equal rows give an equal model.
     """
-    grades = np.array([g for _, g in texts], np.int64)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x, _ in texts])]).astype(np.int64)
-    value = np.concatenate([x for x, _ in texts])
+    value, start, length, grades, _ = sample
     fitted = np.flatnonzero(~held)
     share = np.array([(np.mean(grades[fitted] <= k) if len(fitted) else 0.5) for k in range(n_grades - 1)])
     cuts = np.log((share + 1e-3) / (1 - share + 1e-3)) + np.arange(n_grades - 1) * 1e-3
-    found = np.bincount(np.concatenate([texts[i][0] for i in fitted] or [value[:0]]), minlength=BUCKETS) >= LEAST_ROWS
+    found = np.zeros(BUCKETS, np.int32)
+    for a in range(0, len(fitted), BATCH):
+        rows = fitted[a : a + BATCH]
+        np.add.at(found, value[take_ranges(start[rows], length[rows])], 1)
+    found = found >= LEAST_ROWS
     weights, seen, seen_cuts = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), np.full(n_grades - 1, 1e-6)
     shuffle = np.random.default_rng(7)
     for _ in range(-(-STEPS * BATCH // max(len(fitted), 1)) if len(fitted) else 0):
         shuffle.shuffle(fitted)
         for a in range(0, len(fitted), BATCH):
             rows = fitted[a : a + BATCH]
-            lengths = bounds[rows + 1] - bounds[rows]
-            index = np.repeat(bounds[rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            v, g = value[index], grades[rows]
+            lengths = length[rows]
+            v, g = value[take_ranges(start[rows], lengths)], grades[rows]
             s = np.add.reduceat(weights[v], np.cumsum(lengths) - lengths)
             below = np.concatenate([np.zeros((len(rows), 1)), _sigmoid(cuts[None, :] - s[:, None]), np.ones((len(rows), 1))], axis=1)
             dens = below * (1 - below)
@@ -117,7 +129,7 @@ def fit(texts: list[tuple[np.ndarray, int]], held: np.ndarray, n_grades: int = 3
     best = held & (grades == n_grades - 1)
     if best.any():
         keep = np.flatnonzero(best)
-        s = np.array([weights[value[bounds[r] : bounds[r + 1]]].sum() for r in keep])
+        s = np.array([weights[value[start[r] : start[r] + length[r]]].sum() for r in keep])
         tail = np.sort(tails(model, s)[:, -1])
         model = model._replace(reject_below=float(min(tail[int(false_rejection * len(tail))], 0.5)))
     return model
@@ -171,12 +183,23 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     picked = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
-    rows = joined.mapInArrow(_read_features(), "doc_id long, grade int, features binary").collect()
-    if not rows:
+    stage = Stage(joined.mapInArrow(_read_features(), "doc_id long, grade int, features binary"), "labelled")
+    drawn = _gathered(stage.df)
+    stage.drop()
+    if not len(drawn.grade):
         return None
-    rows = sorted(((r.doc_id, r.grade, bytes(r.features)) for r in rows))
-    held = scan.mix(np.array([r[0] for r in rows], np.int64).view(np.uint64)) % np.uint64(5) == 0
-    return fit([(np.frombuffer(f, np.int32), g) for _, g, f in rows], held)
+    return fit(drawn, scan.mix(drawn.doc_id.view(np.uint64)) % np.uint64(5) == 0)
+
+
+def _gathered(rows: DataFrame) -> Sample:
+    """The rows in a fixed order.  One partition at a time is fetched and the driver holds every feature once."""
+    features, found = bytearray(), []
+    for r in rows.toLocalIterator():
+        found.append((r.doc_id, r.grade, blake2b(r.features, digest_size=16).digest(), len(features) // 4, len(r.features) // 4))
+        features += r.features
+    found.sort()  # rows with the same digest are equal
+    column = lambda i: np.array([f[i] for f in found], np.int64)
+    return Sample(np.frombuffer(features, np.int32), column(3), column(4), column(1), column(0))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:

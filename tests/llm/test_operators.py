@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import scan
+from tapeloom.llm import ordinal, scan
 from tapeloom.llm.chat_format import format_chat, parsed, read_back, unescaped
 from tapeloom.llm.components import components
 from tapeloom.llm.embedding_dedup import embedding_dedup
@@ -260,6 +261,20 @@ def test_classifier_held_out(spark):
     assert classify(docs, table.limit(0)).filter("kept AND expected_grade IS NULL").count() == len(rows)
 
 
+def test_classifier_holds_its_sample_once(spark, monkeypatch):
+    """What the driver holds of the labelled rows is their features, not several copies of them."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(600)), lambda x: F.md5(F.concat_ws("-", "id", x))), " ")
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(4)
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    monkeypatch.setattr(ordinal, "STEPS", 1)
+    monkeypatch.setattr(ordinal, "BUCKETS", 1 << 14)
+    tracemalloc.start()
+    ordinal.fit_on(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 2000 * 2 * 601 * 4, peak  # a term and its stem of each word; one batch of the fit takes about as much
+
+
 def test_token_counts(docs, plain):
     sentencepiece = pytest.importorskip("sentencepiece")
     tokenizers = pytest.importorskip("public_tokenizers")
