@@ -83,13 +83,15 @@ def ready_for_training(df: DataFrame, features: list[str], target: str) -> DataF
 def impute(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
     """Last value of the symbol, else its training median, else the training median of all, else 0.
 
+    The rows are read for the null shares, both kinds of medians and the result, so they are derived once and written.
     ``stored`` says here and below that ``df`` reads a table that is cheap to read again, so it is not written another time.
     """
+    df = df if stored else written(df, "unfilled")
     shares = null_shares(df, columns)
     columns = [c for c in columns if shares[c] > 0]  # the others need no fitting
     if not columns:
         return df
-    overall = _train_quantiles(df, columns, [0.5], stored)
+    overall = _train_quantiles(df, columns, [0.5], stored=True)
     medians = train_rows(df).groupBy(F.col("symbol").alias("__of")).agg(
         *[F.percentile(F.col(c), F.lit(0.5)).alias(f"__md_{c}") for c in columns]  # at most a series of values per column
     )

@@ -45,6 +45,20 @@ def test_imputation_order(spark):
     assert got == [("A", 3.0), ("A", 2.0), ("A", 2.0), ("A", 4.0), ("B", 3.0), ("B", 3.0)]
 
 
+
+def test_impute_derives_its_rows_once(spark):
+    derived = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    rows = series(spark, [None, 1, None, 3, 5])
+    assert [r.x for r in prepare.impute(rows.mapInArrow(count, rows.schema), ["x"]).orderBy("date").collect()] == [3, 1, 1, 3, 5]
+    assert derived.value == 5
+
+
 def test_constant_column_scales_by_one(spark):
     assert prepare.fit_scales(series(spark, [5, 5, 5]), ["x"])["x"] == prepare.Scale(5.0, 1.0)
 
