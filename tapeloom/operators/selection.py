@@ -22,12 +22,6 @@ BOTH_PROTECTED_LIMIT, PERFECT_LIMIT, SENTIMENT_ALLOWANCE = 0.995, 0.999, 0.03
 # ---- end of fixed values ----
 
 
-def long_scores(df: DataFrame, made: dict[str, object], name: str) -> DataFrame:
-    """One-row aggregate of many columns turned into ``(feature, name)`` rows."""
-    wide = df.agg(*[c.alias(f) for f, c in made.items()])
-    return wide.unpivot([], list(made), "feature", name)
-
-
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation over the rows with both values; NULL where one of them does not vary (the built-in fails there)."""
     both = x.isNotNull() & y.isNotNull()
@@ -35,19 +29,30 @@ def correlation(x: Column, y: Column) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
+def _by_feature(df: DataFrame, features: list[str], target: str, made: Column) -> DataFrame:
+    """Rows ``(feature, score)``: ``made`` over the values ``x`` of a feature and ``y`` of the target.
+
+    Values are grouped by the place of their feature.  One aggregate with a few expressions per feature is a method too
+    large to be compiled, and runs many times slower.  Without rows every feature has the score NULL.
+    """
+    values = F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("place", "x")
+    scores = df.select(F.col(target).alias("y"), values).groupBy("place").agg(made.alias("score"))
+    found = scores.agg(F.map_from_entries(F.collect_list(F.struct("place", "score"))).alias("found"))
+    labels = F.array(*[F.struct(F.lit(f).alias("feature"), F.try_element_at("found", F.lit(i)).alias("score")) for i, f in enumerate(features)])
+    return found.select(F.inline(labels))
+
+
 def correlation_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Absolute Pearson correlation with the target, all features in one aggregate."""
-    return long_scores(train_rows(df), {f: F.abs(correlation(F.col(f).cast("double"), F.col(target))) for f in features}, "score")
+    return _by_feature(train_rows(df), features, target, F.abs(correlation(F.col("x"), F.col("y"))))
 
 
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Regression F statistic from the squared correlation and the pair count."""
-    made = {}
-    for f in features:
-        r2 = F.pow(correlation(F.col(f).cast("double"), F.col(target)), 2)
-        n = F.count(F.when(F.col(f).isNotNull() & F.col(target).isNotNull(), 1))
-        made[f] = F.when(r2 < 1.0, r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (n - 2)).when(r2 >= 1.0, F.lit(float("inf")))
-    return long_scores(train_rows(df), made, "score")
+    r2 = F.pow(correlation(F.col("x"), F.col("y")), 2)
+    n = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
+    score = F.when(r2 < 1.0, r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (n - 2)).when(r2 >= 1.0, F.lit(float("inf")))
+    return _by_feature(train_rows(df), features, target, score)
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:

@@ -256,6 +256,20 @@ def test_constant_columns_have_no_correlation(spark):
     assert selection.prune_correlated(df, ["x", "same", "holes"], "target_5", False)
 
 
+def test_scores_of_many_features_keep_one_small_aggregate(spark):
+    """The number of aggregate expressions does not grow with the features, or the aggregate is too large to be compiled."""
+    names = [f"x{i}" for i in range(60)]
+    df = spark.range(200).select(F.lit("train").alias("split"), F.col("id").cast("double").alias("target_5"), *[F.sin(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(names)])
+    columns = {c: [r[c] for r in df.collect()] for c in ["target_5", *names]}
+    for score in (selection.correlation_scores, selection.f_scores):
+        made = score(df, names, "target_5")
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("covar_pop(") < 5 and plan.count("stddev_pop(") < 5
+        assert score(df.limit(0), names, "target_5").filter("score is null").count() == len(names)
+    got = {r.feature: r.score for r in selection.correlation_scores(df, names, "target_5").collect()}
+    assert got == pytest.approx({c: abs(np.corrcoef(columns[c], columns["target_5"])[0, 1]) for c in names})
+
+
 def test_cleaning_some_features_writes_them_once(spark, monkeypatch):
     """The features asked for come out as among all others, and nothing but the panel and its filled form is written."""
     from tapeloom.operators import prepare as p
