@@ -552,3 +552,57 @@ def test_language_model_counts_pairs_in_little_memory():
         assert pairs > 900_000 and tracemalloc.get_traced_memory()[1] < 115 * pairs
     finally:
         tracemalloc.stop()
+
+
+def test_language_model_sends_pairs_before_a_task_holds_them_all(monkeypatch):
+    """A counting task sends whenever it holds many distinct pairs, and the sums stay the same."""
+    from tapeloom.llm import language_model as module
+    from tapeloom.llm.wire import unpacked
+
+    class All:
+        value = None
+
+    draw = np.random.default_rng(3)
+    texts = [" ".join(map(str, draw.integers(0, 3000, 20000))) for _ in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 10])], ["text"]) for i in (0, 10, 20)]
+
+    def counts() -> tuple[int, dict]:
+        sums, rows = {}, [b for b in module._count_pairs(4, All)(iter(batches))]
+        for b in rows:
+            for n, data in zip(b.column("n").to_pylist(), b.column("data")):
+                for word, context, count in zip(*(c.tolist() for c in unpacked(data, n, ["<u8", "<u8", "<i8"]))):
+                    sums[word, context] = sums.get((word, context), 0) + count
+        return len(rows), sums
+
+    whole = counts()
+    monkeypatch.setattr(module, "SENT_KEYS", 100_000, raising=False)
+    parts = counts()
+    assert whole[0] == 1 and parts[0] > 2 and parts[1] == whole[1] and sum(whole[1].values()) == 30 * 20001
+
+
+def test_language_model_answers_blocks_of_training_rows_with_less(monkeypatch):
+    """Pairs of training rows are all counted, so their blocks get no probabilities of parents."""
+    from tapeloom.llm import language_model as module
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    texts = ["a b a c", "b c d", "a a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    (state,) = module._first_state(1)(module._count_pairs(1, Value(None))(iter([batch])))
+    totals = (9.0, 5.0, 0.5, 0.5, 5, 13)
+    sums = module._sent_tables(1, True)(iter([state]))
+    (places,) = module._first_contexts(sums)
+    (laid,) = module._summed_tables(iter([places, *module._sent_tables(1, False)(iter([state]))]))
+    (state,) = module._sweep(Value(totals), 0, True, True)(iter([state, laid]))
+    sizes = {}
+    for held_out in (False, True):
+        block = pa.table({"doc_id": [1, 2, 3], "text": texts, "held_out": [held_out] * 3, "block": pa.array([0] * 3, pa.int32())})
+        asked = module._ask(1, Value(None))(block).to_batches()
+        (answer,) = module._answer(Value([totals]))(iter([state, *asked]))
+        sizes[held_out] = answer
+    few, all_ = (module._boxes(iter([sizes[k]]))[0][module._ASKED][0] for k in (False, True))
+    assert few.shape[2] == 0 and all_.shape[2] == 1 and len(few.data[0].as_py()) < len(all_.data[0].as_py()) and few.data[1] == all_.data[1]
+    own = module.unpacked(few.data[1], few.shape[1], ["<f4"])[0]
+    assert (own > 0).all()
