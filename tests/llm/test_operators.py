@@ -21,6 +21,7 @@ from tapeloom.llm.mixing import mix, training_order
 from tapeloom.llm.ordinal import classify
 from tapeloom.llm.packing import LENGTHS, pack
 from tapeloom.llm.quality_rules import quality_rules, text_counts
+from tapeloom.llm.shared import Stage
 from tapeloom.llm.suffix_dedup import suffix_dedup
 from tapeloom.llm.token_counts import token_counts
 
@@ -606,3 +607,17 @@ def test_language_model_answers_blocks_of_training_rows_with_less(monkeypatch):
     assert few.shape[2] == 0 and all_.shape[2] == 1 and len(few.data[0].as_py()) < len(all_.data[0].as_py()) and few.data[1] == all_.data[1]
     own = module.unpacked(few.data[1], few.shape[1], ["<f4"])[0]
     assert (own > 0).all()
+
+
+def test_language_model_waves_score_alike(spark, monkeypatch):
+    """Blocks are scored in waves, each written before the next, and every row comes out once with the same numbers."""
+    from tapeloom.llm import language_model as module
+
+    rows = [(i, None if i == 5 else f"a b word{i % 7} c{i} a") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(score_texts(docs, sweeps=1, burn=0).collect())
+    written = []
+    monkeypatch.setattr(module, "WAVE_BYTES", 100, raising=False)
+    monkeypatch.setattr(module, "Stage", lambda df, name: written.append(name) or Stage(df, name), raising=False)
+    assert sorted(score_texts(docs, sweeps=1, burn=0).collect()) == whole and len(whole) == 60
+    assert len(written) == module.WAVES
