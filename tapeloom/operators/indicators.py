@@ -248,23 +248,25 @@ def technical_columns(df: DataFrame) -> list[str]:
 def add_indicators(df: DataFrame, fill: bool = True) -> DataFrame:
     """Every indicator and lag; non-finite values become NULL and are then carried forward.
 
-    Three layers of plain windows and two exponential scans, all on one hash
-    partitioning by symbol.  Remaining NULLs (the start of each series) are left
+    Two exponential scans and three layers of plain windows, all on one hash
+    partitioning by symbol.  The scans sort the rows several times, so they come
+    first, while a row holds little more than the bar.  Remaining NULLs (the start of each series) are left
     for the imputation step, whose medians are fitted on training rows only.
     """
     before = set(df.columns)
+    df = ewm_mean(df.withColumns(move_columns()), {**ema_specs(), **rsi_specs(), **macd_specs()})
+    df = df.withColumns({**rsi_columns(), "macd_line": F.col("__fast") - F.col("__slow")})
+    df = _macd_from_means(_visible(df))
+    smoothed = [c for c in df.columns if c not in before]
     plain_windows = {
-        **return_columns(), **vwap_columns(), **move_columns(), **simple_average_columns(),
+        **return_columns(), **vwap_columns(), **simple_average_columns(),
         **true_range_columns(), **rate_of_change_columns(),
     }
     df = _with_group(
         df, (plain_windows, {}), bollinger_columns(), stochastic_columns(), volume_columns(), price_shape_columns()
     )
-    df = df.withColumns(second_layer_columns(df))
-    df = ewm_mean(df, {**ema_specs(), **rsi_specs(), **macd_specs()})
-    df = df.withColumns({**rsi_columns(), "macd_line": F.col("__fast") - F.col("__slow")})
-    df = _visible(_macd_from_means(df))
-    df = df.withColumns(lag_columns())
+    df = _visible(df.withColumns(second_layer_columns(df)))
+    df = df.select(*[c for c in df.columns if c not in smoothed], *smoothed).withColumns(lag_columns())
     added = [c for c in df.columns if c not in before]
     if not fill:
         return df.withColumns({c: finite(c) for c in added})

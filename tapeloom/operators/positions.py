@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import finite
 from ..session import durable
+from .columns import Range, histogram
 
 
 def _range_split(df: DataFrame, order: list[str]) -> DataFrame:
@@ -86,10 +86,12 @@ def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
 # exact quantiles
 # --------------------------------------------------------------------------
 
-#: First-pass buckets per factor e of magnitude; second-pass buckets per first-pass bucket.
-_LOG_STEPS, _LINEAR_STEPS = 512, 1 << 22
+#: Buckets per factor e of magnitude.
+_LOG_STEPS = 512
 #: Above every ``floor(ln(x) * 512)`` of a double in absolute value.
 _LOG_OFFSET = 500_000
+#: Parts a bucket is cut into at a time; a bucket with no more values than that is cut into its values.
+_PARTS = 4096
 
 
 @dataclass(frozen=True)
@@ -97,6 +99,7 @@ class _Target:
     rank: int  # zero-based rank inside the bucket
     low: float
     high: float
+    rows: int  # values in the bucket
 
 
 def _bucket(v: Column) -> Column:
@@ -107,12 +110,12 @@ def _bucket(v: Column) -> Column:
 
 def _locate(histogram: DataFrame, wanted: dict[tuple, list[int]]) -> dict[tuple, list[_Target]]:
     """Bucket and rank inside it for each wanted rank; only those buckets reach the driver."""
-    w = Window.partitionBy("feature", "slot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("place", "slot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = histogram.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
-    listed = [(feature, slot, r) for (feature, slot), ranks in wanted.items() for r in ranks]
-    asked = F.broadcast(histogram.sparkSession.createDataFrame(listed, "feature string, slot int, rank bigint"))
-    hits = cum.join(asked, ["feature", "slot"]).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-    at = {(r.feature, r.slot, r["rank"]): _Target(r["rank"] - r.before, r.lo, r.hi) for r in hits.collect()}
+    listed = [(place, slot, r) for (place, slot), ranks in wanted.items() for r in ranks]
+    asked = F.broadcast(histogram.sparkSession.createDataFrame(listed, "place int, slot int, rank bigint"))
+    hits = cum.join(asked, ["place", "slot"]).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+    at = {(r.place, r.slot, r["rank"]): _Target(r["rank"] - r.before, r.lo, r.hi, r.n) for r in hits.collect()}
     return {key: [at[(*key, r)] for r in ranks] for key, ranks in wanted.items()}
 
 
@@ -120,81 +123,53 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     """Exact linear-interpolated quantiles of whole columns; NULL, NaN and infinite values are ignored.
 
     ``percentile`` would gather every distinct value of a column in one task.  Here
-    the ranks are located by counting: a histogram over monotone buckets, a finer
-    one inside the hit buckets, then a count per distinct value in what is left (a
-    2**-22 part of a bucket per rank).  Each pass is a
-    map-side aggregate; the driver sees a handful of bucket bounds and values.
+    the ranks are located by counting: a histogram over monotone buckets, finer ones
+    inside the hit buckets while these hold many values, then a count per distinct
+    value in what is left.  Each pass counts within the tasks; the driver sees a
+    handful of bucket bounds and values.
 
-    The input is read three times: pass a table or a ``written`` one when
+    The input is read two or three times: pass a table or a ``written`` one when
     its columns are costly to derive.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
-    long = long.filter(finite(F.col("value")).isNotNull())
-    summary = [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
-    first = (
-        long.groupBy("feature", F.lit(0).alias("slot"), _bucket(F.col("value")).alias("bucket")).agg(*summary)
-    )
-    first = durable(first)
-    counts = {r.feature: r.n for r in first.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    first = durable(histogram(df, columns))
+    counts = {r.place: r.n for r in first.groupBy("place").agg(F.sum("n").alias("n")).collect()}
     ranks: dict[tuple, list[int]] = {}
-    for feature, n in counts.items():
+    for place, n in counts.items():
         need = set()
         for p in probs:
             at = p * (n - 1)
             need.update({int(at), min(int(at) + 1, n - 1)})
-        ranks[(feature, 0)] = sorted(need)
+        ranks[(place, 0)] = sorted(need)
     if not ranks:
         return {c: [None] * len(probs) for c in columns}
     located = _locate(first, ranks)
-    targets = {(f, r): t for (f, _), rs in ranks.items() for r, t in zip(rs, located[(f, 0)])}
-    targets = _refine(long, targets, summary)
-    values = _resolve(long, targets, summary)
+    targets = {(p, r): t for (p, _), rs in ranks.items() for r, t in zip(rs, located[(p, 0)])}
+    while any(t.low < t.high for t in targets.values()):
+        targets = _narrowed(df, columns, targets)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    for feature, n in counts.items():
+    for place, n in counts.items():
         for i, p in enumerate(probs):
             at = p * (n - 1)
             k = int(at)
-            a, b = values[(feature, k)], values[(feature, min(k + 1, n - 1))]
-            out[feature][i] = a + (b - a) * (at - k)
+            a, b = targets[(place, k)].low, targets[(place, min(k + 1, n - 1))].low
+            out[columns[place]][i] = a + (b - a) * (at - k)
     return out
 
 
-Range = tuple[str, float, float]
-
-
-def _in_ranges(long: DataFrame, ranges: list[Range]) -> DataFrame:
-    """Rows that fall in a listed range, with its number and bounds: a join on the feature with a few ranges each."""
-    numbered = [(f, i, lo, hi) for i, (f, lo, hi) in enumerate(ranges)]
-    table = F.broadcast(long.sparkSession.createDataFrame(numbered, "feature string, slot int, low double, high double"))
-    return long.join(table, "feature").filter(F.col("value").between(F.col("low"), F.col("high")))
-
-
-def _open_ranges(long: DataFrame, targets: dict) -> tuple[list[Range], dict[tuple, list[int]], dict[tuple, list[tuple]]]:
-    """Ranges still to be narrowed, the ranks wanted in each, and whose ranks they are."""
-    ranges = sorted({(f, t.low, t.high) for (f, _), t in targets.items() if t.low < t.high})
-    at = {r: i for i, r in enumerate(ranges)}
+def _narrowed(df: DataFrame, columns: list[str], targets: dict[tuple, _Target]) -> dict[tuple, _Target]:
+    """Every rank in the part of its bucket that holds it; a small bucket, and one too narrow to be cut, is cut into its values."""
+    open_ = {(place, t.low, t.high): t.rows for (place, _), t in targets.items() if t.low < t.high}
+    slots = {bounds: i for i, bounds in enumerate(sorted(open_))}
+    ranges: dict[int, list[Range]] = {}
+    for (place, low, high), slot in slots.items():
+        step = (high - low) / _PARTS if open_[(place, low, high)] > _PARTS else 0.0
+        ranges.setdefault(place, []).append((slot, low, high, step))
     wanted: dict[tuple, list[int]] = {}
     owners: dict[tuple, list[tuple]] = {}
-    for (feature, rank), t in targets.items():
+    for (place, rank), t in targets.items():
         if t.low < t.high:
-            slot = (feature, at[(feature, t.low, t.high)])
-            wanted.setdefault(slot, []).append(t.rank)
-            owners.setdefault(slot, []).append((feature, rank))
-    return ranges, wanted, owners
-
-
-def _narrowed(long: DataFrame, targets: dict, bucket: Column, summary: list[Column]) -> dict:
-    ranges, wanted, owners = _open_ranges(long, targets)
-    if not ranges:
-        return targets
-    located = _locate(_in_ranges(long, ranges).groupBy("feature", "slot", bucket.alias("bucket")).agg(*summary), wanted)
-    return {**targets, **{owner: t for slot, names in owners.items() for owner, t in zip(names, located[slot])}}
-
-
-def _refine(long: DataFrame, targets: dict, summary: list[Column]) -> dict:
-    step = (F.col("high") - F.col("low")) / _LINEAR_STEPS
-    return _narrowed(long, targets, F.floor((F.col("value") - F.col("low")) / step), summary)
-
-
-def _resolve(long: DataFrame, targets: dict, summary: list[Column]) -> dict:
-    return {key: t.low for key, t in _narrowed(long, targets, F.col("value"), summary).items()}
+            key = (place, slots[(place, t.low, t.high)])
+            wanted.setdefault(key, []).append(t.rank)
+            owners.setdefault(key, []).append((place, rank))
+    located = _locate(histogram(df, columns, ranges), wanted)
+    return {**targets, **{owner: t for key, names in owners.items() for owner, t in zip(names, located[key])}}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clip
 from ..session import written
+from .columns import null_shares
 from .positions import exact_quantiles
 from .windows import running
 
@@ -50,11 +51,6 @@ def drop_sparse_symbols(df: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     return df.join(dense, "symbol", "left_semi")
 
 
-def null_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
-    return {c: row[c] if row[c] is not None else 1.0 for c in columns}
-
-
 def drop_null_columns(df: DataFrame, columns: list[str], most: float = MOST_NULLS, fill: float | None = 0.0) -> DataFrame:
     """Columns with more NULLs than allowed dropped, the rest filled."""
     shares = null_shares(df, columns)
@@ -80,14 +76,15 @@ def ready_for_training(df: DataFrame, features: list[str], target: str) -> DataF
 # imputation
 
 
-def impute(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
+def impute(df: DataFrame, columns: list[str], stored: bool = False, shares: dict[str, float] | None = None) -> DataFrame:
     """Last value of the symbol, else its training median, else the training median of all, else 0.
 
     The rows are read for the null shares, both kinds of medians and the result, so they are derived once and written.
     ``stored`` says here and below that ``df`` reads a table that is cheap to read again, so it is not written another time.
+    ``shares`` are the null shares of ``columns`` if they are known.
     """
     df = df if stored else written(df, "unfilled")
-    shares = null_shares(df, columns)
+    shares = shares or null_shares(df, columns)
     columns = [c for c in columns if shares[c] > 0]  # the others need no fitting
     if not columns:
         return df

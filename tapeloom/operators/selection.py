@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from . import registry
+from .columns import correlations, covariances
 from .neighbours import neighbour_information
 from .positions import exact_quantiles
 from .prepare import train_rows
@@ -19,6 +19,7 @@ K_BASELINE, K_ENHANCED = 80, 120
 PROTECTED_LIMIT, SENTIMENT_LIMIT, MIXED_LIMIT, TECHNICAL_LIMIT = 0.99, 0.98, 0.975, 0.97
 NEAR_IDENTICAL = 0.95
 BOTH_PROTECTED_LIMIT, PERFECT_LIMIT, SENTIMENT_ALLOWANCE = 0.995, 0.999, 0.03
+LEAST_VARIANCE = 1e-12
 # ---- end of fixed values ----
 
 
@@ -30,28 +31,25 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def _by_feature(df: DataFrame, features: list[str], target: str, made: Column) -> DataFrame:
-    """Rows ``(feature, score)``: ``made`` over the values ``x`` of a feature and ``y`` of the target.
+    """Rows ``(feature, score)``: ``made`` over the correlation ``r`` of a feature with the target and the number ``n`` of their pairs.
 
-    Values are grouped by the place of their feature.  One aggregate with a few expressions per feature is a method too
-    large to be compiled, and runs many times slower.  Without rows every feature has the score NULL.
+    Without rows every feature has the score NULL.
     """
-    values = F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("place", "x")
-    scores = df.select(F.col(target).alias("y"), values).groupBy("place").agg(made.alias("score"))
+    scores = correlations(df, features, target).select("place", made.alias("score"))
     found = scores.agg(F.map_from_entries(F.collect_list(F.struct("place", "score"))).alias("found"))
     labels = F.array(*[F.struct(F.lit(f).alias("feature"), F.try_element_at("found", F.lit(i)).alias("score")) for i, f in enumerate(features)])
     return found.select(F.inline(labels))
 
 
 def correlation_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Absolute Pearson correlation with the target, all features in one aggregate."""
-    return _by_feature(train_rows(df), features, target, F.abs(correlation(F.col("x"), F.col("y"))))
+    """Absolute Pearson correlation with the target, all features in one pass."""
+    return _by_feature(train_rows(df), features, target, F.abs("r"))
 
 
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Regression F statistic from the squared correlation and the pair count."""
-    r2 = F.pow(correlation(F.col("x"), F.col("y")), 2)
-    n = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
-    score = F.when(r2 < 1.0, r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (n - 2)).when(r2 >= 1.0, F.lit(float("inf")))
+    r2 = F.pow("r", F.lit(2))
+    score = F.when(r2 < 1.0, r2 / F.nullif(1.0 - r2, F.lit(0.0)) * (F.col("n") - 2)).when(r2 >= 1.0, F.lit(float("inf")))
     return _by_feature(train_rows(df), features, target, score)
 
 
@@ -106,18 +104,20 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair as rows ``(left, right, correlation)``.
 
     One distributed pass forms the column-by-column matrix, whose size depends on
-    the number of columns only.  Rows with a NULL in any column are left out.
+    the number of columns only.  Rows with a NULL in any column are left out,
+    and a column whose variance is below the resolution of its sums has no correlation.
     """
-    spark = df.sparkSession
-    numbers = df.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(columns)]).dropna()
-    vectors = VectorAssembler(inputCols=numbers.columns, outputCol="v").transform(numbers).select("v")
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
+    n, matrix = covariances(df, columns)
+    if n < 2:
+        raise ValueError(f"no correlations of {n} rows")
+    size = np.sqrt(np.where(np.diag(matrix) > LEAST_VARIANCE, np.diag(matrix), np.nan))
+    matrix = matrix / np.outer(size, size)
     rows = [
         (columns[i], columns[j], float(matrix[i, j]) if matrix[i, j] == matrix[i, j] else None)
         for i in range(len(columns))
         for j in range(i + 1, len(columns))
     ]
-    return spark.createDataFrame(rows, "left string, right string, correlation double")
+    return df.sparkSession.createDataFrame(rows, "left string, right string, correlation double")
 
 
 def near_identical(pairs: DataFrame, limit: float = NEAR_IDENTICAL) -> DataFrame:

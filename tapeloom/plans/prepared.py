@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, types as T
 
 from ..functions.numeric import finite
 from ..operators import prepare, quality, registry, selection, splits
-from ..session import written
+from ..session import compiled, written
 
 
 class Prepared(NamedTuple):
@@ -36,12 +36,13 @@ def clean_panel(panel: DataFrame, clip: str = "iqr", only: list[str] | None = No
     panel = panel if "split" in panel.columns else splits.temporal_split(panel)
     features = [c for c in numeric_features(panel) if only is None or c in only]
     ids = [c for c in panel.columns if c in registry.IDENTIFIERS or c == "split" or registry.is_target(c)]
-    base = written(panel.select(*ids, *[finite(c).alias(c) for c in features]), "panel")
+    with compiled(panel.sparkSession):
+        base = written(panel.select(*ids, *[finite(c).alias(c) for c in features]), "panel")
     shares = prepare.null_shares(base, features)
     empty = [c for c in features if shares[c] >= 1.0]
     features = [c for c in features if c not in empty]
     present = base.drop(*empty)
-    filled = prepare.impute(present, features, stored=True)
+    filled = prepare.impute(present, features, stored=True, shares=shares)
     filled = filled if filled is present else written(filled, "filled")
     return prepare.clip_outliers(filled, features, clip, stored=True), features, empty
 
